@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from slidemill.llm import exact_dedup, simhash
+from slidemill.llm import exact_dedup, packing, sentence_pieces, simhash, token_files
 from slidemill.session import ship_package
 
 
@@ -15,10 +15,22 @@ def op1_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(_documents(spark, sf_dir))
 
 
+def op3_token_files(spark, sf_dir):
+    return token_files.token_table(_documents(spark, sf_dir))
+
+
 def op4_simhash_near_dedup(spark, sf_dir):
     return simhash.near_components(_documents(spark, sf_dir))
 
 
+def op5_best_fit_packing(spark, sf_dir):
+    return packing.pack(_documents(spark, sf_dir))
+
+
+def op7_sentence_pieces(spark, sf_dir):
+    return sentence_pieces.round_trip(_documents(spark, sf_dir))
+
+
 OP1_SQL = r"""
 WITH n AS (
   SELECT doc_id, length(coalesce(text, '')) AS points,
@@ -31,7 +43,7 @@ FROM n WINDOW w AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id)
 
 
 def queries():
-    return {f.__name__: f for f in (op1_exact_dedup, op4_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_exact_dedup, op3_token_files, op4_simhash_near_dedup, op5_best_fit_packing, op7_sentence_pieces)}
 
 
 def oracle_sql():
