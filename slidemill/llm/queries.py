@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from slidemill.llm import exact_dedup, packing, sentence_pieces, simhash, token_files
+from slidemill.llm import exact_dedup, packing, quality, sentence_pieces, simhash, token_files
 from slidemill.session import ship_package
 
 
@@ -31,6 +31,10 @@ def op7_sentence_pieces(spark, sf_dir):
     return sentence_pieces.round_trip(_documents(spark, sf_dir))
 
 
+def op9_quality_rules(spark, sf_dir):
+    return quality.quality(_documents(spark, sf_dir))
+
+
 OP1_SQL = r"""
 WITH n AS (
   SELECT doc_id, length(coalesce(text, '')) AS points,
@@ -43,8 +47,8 @@ FROM n WINDOW w AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id)
 
 
 def queries():
-    return {f.__name__: f for f in (op1_exact_dedup, op3_token_files, op4_simhash_near_dedup, op5_best_fit_packing, op7_sentence_pieces)}
+    return {f.__name__: f for f in (op1_exact_dedup, op3_token_files, op4_simhash_near_dedup, op5_best_fit_packing, op7_sentence_pieces, op9_quality_rules)}
 
 
 def oracle_sql():
-    return {"op1_exact_dedup": OP1_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op9_quality_rules": quality.SQL}
