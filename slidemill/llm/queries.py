@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from slidemill.llm import exact_dedup, packing, quality, sentence_pieces, simhash, token_files
+from slidemill.llm import exact_dedup, licenses, packing, quality, sentence_pieces, simhash, token_files, toxicity
 from slidemill.session import ship_package
 
 
@@ -31,10 +31,19 @@ def op7_sentence_pieces(spark, sf_dir):
     return sentence_pieces.round_trip(_documents(spark, sf_dir))
 
 
+def op8_license_scan(spark, sf_dir):
+    return licenses.scan(_documents(spark, sf_dir)).drop("spans")
+
+
 def op9_quality_rules(spark, sf_dir):
     return quality.quality(_documents(spark, sf_dir))
 
 
+def op10_toxicity(spark, sf_dir):
+    docs = _documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 OP1_SQL = r"""
 WITH n AS (
   SELECT doc_id, length(coalesce(text, '')) AS points,
@@ -47,7 +56,7 @@ FROM n WINDOW w AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id)
 
 
 def queries():
-    return {f.__name__: f for f in (op1_exact_dedup, op3_token_files, op4_simhash_near_dedup, op5_best_fit_packing, op7_sentence_pieces, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_exact_dedup, op3_token_files, op4_simhash_near_dedup, op5_best_fit_packing, op7_sentence_pieces, op8_license_scan, op9_quality_rules, op10_toxicity)}
 
 
 def oracle_sql():
