@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from slidemill.llm import exact_dedup, licenses, packing, quality, sentence_pieces, simhash, token_files, toxicity
+from slidemill.llm import exact_dedup, licenses, packing, quality, repeats, sentence_pieces, simhash, token_files, toxicity
 from slidemill.session import ship_package
 
 
@@ -27,6 +27,10 @@ def op5_best_fit_packing(spark, sf_dir):
     return packing.pack(_documents(spark, sf_dir))
 
 
+def op6_suffix_array_dedup(spark, sf_dir):
+    return repeats.repeats(_documents(spark, sf_dir))
+
+
 def op7_sentence_pieces(spark, sf_dir):
     return sentence_pieces.round_trip(_documents(spark, sf_dir))
 
@@ -56,7 +60,7 @@ FROM n WINDOW w AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id)
 
 
 def queries():
-    return {f.__name__: f for f in (op1_exact_dedup, op3_token_files, op4_simhash_near_dedup, op5_best_fit_packing, op7_sentence_pieces, op8_license_scan, op9_quality_rules, op10_toxicity)}
+    return {f.__name__: f for f in (op1_exact_dedup, op3_token_files, op4_simhash_near_dedup, op5_best_fit_packing, op6_suffix_array_dedup, op7_sentence_pieces, op8_license_scan, op9_quality_rules, op10_toxicity)}
 
 
 def oracle_sql():
