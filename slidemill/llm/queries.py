@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from slidemill.llm import exact_dedup, licenses, packing, quality, repeats, sentence_pieces, simhash, token_files, toxicity
+from slidemill.llm import brown, exact_dedup, licenses, packing, quality, repeats, sentence_pieces, simhash, token_files, toxicity
 from slidemill.session import ship_package
 
 
@@ -15,6 +15,10 @@ def op1_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(_documents(spark, sf_dir))
 
 
+def op2_brown_scores(spark, sf_dir):
+    return brown.brown_scores(_documents(spark, sf_dir))
+
+
 def op3_token_files(spark, sf_dir):
     return token_files.token_table(_documents(spark, sf_dir))
 
@@ -60,7 +64,7 @@ FROM n WINDOW w AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id)
 
 
 def queries():
-    return {f.__name__: f for f in (op1_exact_dedup, op3_token_files, op4_simhash_near_dedup, op5_best_fit_packing, op6_suffix_array_dedup, op7_sentence_pieces, op8_license_scan, op9_quality_rules, op10_toxicity)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_brown_scores, op3_token_files, op4_simhash_near_dedup, op5_best_fit_packing, op6_suffix_array_dedup, op7_sentence_pieces, op8_license_scan, op9_quality_rules, op10_toxicity)}
 
 
 def oracle_sql():
