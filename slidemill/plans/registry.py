@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from slidemill.plans import tile_queries
+
+PACKS = (tile_queries,)
+
 
 def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    """A pyramid summary of each slide."""
+    return queries()["level_extent"](spark, sf_dir)
 
 
 def queries():
-    return {}
+    return {f.__name__: f for pack in PACKS for f in pack.QUERIES}
 
 
 def oracle_sql():
-    return {}
+    return {name: sql for pack in PACKS for name, sql in pack.SQL.items()}
