@@ -44,7 +44,9 @@ LENGTH, TRIGGER = 100, 32
 #: Bytes that are hashed together; a longer text is cut into overlapping parts.
 BLOCK = 1 << 20
 #: Phrases that a task gathers before it pre-aggregates and passes them on.
-HELD = 1_000_000
+HELD = 400_000
+#: Rows that are taken out of an Arrow batch at a time.
+TOGETHER = 256
 #: Phrases of one trigger that a single task compares at most, and bytes of a text to sort.
 CROWD, SORTED = 20_000, 3_000_000
 
@@ -179,10 +181,9 @@ def _parse(buckets: int, length: int, trigger: int):
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["bucket", "kind", "data"])
 
         for batch in batches:
-            texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
-            keys = batch.column(0).to_pylist()
-            for at in range(0, len(keys), 256):
-                found = parse(keys[at : at + 256], texts[at : at + 256], length, trigger)
+            for at in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(at, TOGETHER)
+                found = parse(part.column(0).to_pylist(), [(t or "").encode() for t in part.column(1).to_pylist()], length, trigger)
                 if len(found):
                     held.append(found)
                     size += len(found)
@@ -293,13 +294,12 @@ def _sort(length: int):
 
     def run(batches):
         held, size = [], 0
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if size > SORTED and row[0] != held[-1][0]:
-                    yield from settle(held)
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[4])
+        for row in _rows(batches):
+            if size > SORTED and row[0] != held[-1][0]:
+                yield from settle(held)
+                held, size = [], 0
+            held.append(row)
+            size += len(row[4])
         if held:
             yield from settle(held)
 
@@ -310,27 +310,35 @@ def _squeeze(batches):
     """Compresses the text, the last column; the others pass."""
     squeeze = zstandard.ZstdCompressor(level=1).compress
     for batch in batches:
-        packed = [squeeze((t or "").encode()) for t in batch.column(batch.num_columns - 1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(packed, pa.binary())], names=[*batch.schema.names[:-1], "packed"])
+        for at in range(0, batch.num_rows, TOGETHER):
+            part = batch.slice(at, TOGETHER)
+            packed = [squeeze((t or "").encode()) for t in part.column(part.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(packed, pa.binary())], names=[*part.schema.names[:-1], "packed"])
+
+
+def _rows(batches):
+    """The rows of Arrow batches as tuples, some at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, TOGETHER):
+            yield from zip(*(c.to_pylist() for c in batch.slice(at, TOGETHER).columns), strict=True)
 
 
 def _cut_phrases(length: int, crowded: bool):
     def run(batches):
         expand = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            for packed, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                text = expand(packed)
-                rows = [p for p in found if p["crowded"] == crowded]
-                if not rows:
-                    continue
-                key, start, many = ([p[c] for p in rows] for c in ("key", "start", "many"))
-                if not crowded:
-                    data = [text[s : s + m + length - 1] for s, m in zip(start, many, strict=True)]
-                    yield pa.RecordBatch.from_pydict({"trigger": [p["trigger"] for p in rows], "key": key, "start": start, "many": many, "text": data})
-                else:
-                    places = [s + i for s, m in zip(start, many, strict=True) for i in range(m)]
-                    digests = [hashlib.blake2b(text[s : s + length], digest_size=16).digest() for s in places]
-                    yield pa.RecordBatch.from_pydict({"digest": pa.array(digests, pa.binary()), "key": pa.array([key[0]] * len(places), pa.int64()), "start": pa.array(places, pa.int64())})
+        for packed, found in _rows(batches):
+            text = expand(packed)
+            rows = [p for p in found if p["crowded"] == crowded]
+            if not rows:
+                continue
+            key, start, many = ([p[c] for p in rows] for c in ("key", "start", "many"))
+            if not crowded:
+                data = [text[s : s + m + length - 1] for s, m in zip(start, many, strict=True)]
+                yield pa.RecordBatch.from_pydict({"trigger": [p["trigger"] for p in rows], "key": key, "start": start, "many": many, "text": data})
+            else:
+                places = [s + i for s, m in zip(start, many, strict=True) for i in range(m)]
+                digests = [hashlib.blake2b(text[s : s + length], digest_size=16).digest() for s in places]
+                yield pa.RecordBatch.from_pydict({"digest": pa.array(digests, pa.binary()), "key": pa.array([key[0]] * len(places), pa.int64()), "start": pa.array(places, pa.int64())})
 
     return run
 
