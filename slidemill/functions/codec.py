@@ -9,7 +9,7 @@ from __future__ import annotations
 import heapq
 import struct
 import zlib
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 
@@ -87,6 +87,7 @@ def segment(marker: int, body: bytes) -> bytes:
     return struct.pack(">BBH", 0xFF, marker, len(body) + 2) + body
 
 
+@cache
 def tables_of(quality: int) -> bytes:
     """The quantisation and code tables of a quality."""
     z = zigzag()
@@ -194,6 +195,12 @@ class _Codes:
         self.used = 17 + k
 
 
+@lru_cache(64)
+def _codes(body: bytes) -> _Codes:
+    """Tiles of a page share their tables, so a worker keeps the last ones."""
+    return _Codes(body)
+
+
 def _scan(data: bytes, start: int) -> list[bytes]:
     """The entropy-coded intervals from ``start``, without stuffing."""
     out, at = [], start
@@ -224,7 +231,7 @@ def decode_ycbcr(data: bytes) -> np.ndarray:
                 body = body[65 + 64 * wide :]
         elif marker == 0xC4:
             while body:
-                table = _Codes(body[1 : 17 + sum(body[1:17])])
+                table = _codes(body[1 : 17 + sum(body[1:17])])
                 (ac if body[0] >> 4 else dc)[body[0] & 15] = table
                 body = body[table.used :]
         elif marker == 0xDD:

@@ -38,7 +38,8 @@ def thumbnail_range(value: pd.Series, width: pd.Series, height: pd.Series) -> pd
 
 def _parts(spark, sf_dir):
     p = F.col("p_partkey")
-    return R.table(spark, sf_dir, "part").select("p_partkey", (p % 236 + 10).alias("grey"), (p % 37 + 1).cast("int").alias("w"), (p % 23 + 1).cast("int").alias("h"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # pixels cost far more than a shuffle of keys
+    return R.table(spark, sf_dir, "part").repartition(tasks, "p_partkey").select("p_partkey", (p % 236 + 10).alias("grey"), (p % 37 + 1).cast("int").alias("w"), (p % 23 + 1).cast("int").alias("h"))
 
 
 def jpeg_roundtrip(spark, sf_dir):
