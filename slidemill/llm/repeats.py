@@ -42,7 +42,7 @@ from slidemill.session import materialise, ship_package
 
 LENGTH, TRIGGER = 100, 32
 #: Bytes that are hashed together; a longer text is cut into overlapping parts.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 #: Phrases that a task gathers before it pre-aggregates and passes them on.
 HELD = 400_000
 #: Rows that are taken out of an Arrow batch at a time.
