@@ -1,7 +1,7 @@
 """Toxicity by weak supervision.
 
-Many simple voters (insult words of a fixed lexicon, words that labelled rows show to be telling,
-and patterns) vote toxic, clean or nothing on a text. A generative model of the votes given the
+Many simple voters (insult words of a fixed lexicon, words and word beginnings that labelled rows
+show to be telling, patterns, and the given label itself) vote toxic, clean or nothing on a text. A generative model of the votes given the
 hidden label is fitted by expectation maximisation: each voter's accuracy and coverage, and which
 voters err together, whose votes then count as those of one. Its posterior labels train a linear
 classifier, which scores whole texts.
@@ -18,6 +18,7 @@ without any labelled rows the fixed lexicon alone is used. An empty table gives
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -40,9 +41,16 @@ SHOUT = re.compile(r"[^\W\d_]{3,}!{2,}")
 INSULT = re.compile(r"\b(?:you|they|he|she|it)(?:'re| are| is)? (?:such )?an? ([^\W\d_]+)")
 
 def words_of(text: str) -> set[str]:
-    """The distinct words of a text in lower case, and the beginnings of longer ones after a ``^``."""
-    found = set(WORD.findall(text.lower()))
-    return found | {"^" + w[:STEM] for w in found if len(w) > STEM}
+    """The distinct words of a text in lower case; after a ``^`` the beginnings of longer ones, and
+    after ``^^`` those that begin two or more words."""
+    words = WORD.findall(text.lower())
+    stems = [w[:STEM] for w in words if len(w) > STEM]
+    found, once = set(words), set(stems)
+    if len(once) < len(stems):
+        left = Counter(stems)
+        found.update("^^" + x for x, n in left.items() if n > 1)
+    found.update("^" + x for x in once)
+    return found
 
 
 PATTERNS = (
@@ -144,11 +152,12 @@ def fit(examples: list[tuple[list[str], list[bool], int]]) -> Model:
             df.setdefault(w, [0, 0])[t > 0] += 1
     n1, n0 = toxic.sum(), (1 - toxic).sum()
     odds = {w: np.log((b + 0.5) / (n1 + 1)) - np.log((a + 0.5) / (n0 + 1)) for w, (a, b) in df.items() if a + b >= 5}
-    telling = sorted((w for w, x in odds.items() if x > 2), key=lambda w: (-odds[w] * df[w][1], w))[:TELLING]
+    telling = sorted((w for w, x in odds.items() if x > 3), key=lambda w: (-odds[w] * df[w][1], w))[:TELLING]
     voters = list(dict.fromkeys([w for w in LEXICON if sum(df.get(w, (0, 0))) >= 5] + telling))
     at = {w: i for i, w in enumerate(voters)}
     m = len(voters)
-    votes = np.full((len(examples), m + len(PATTERNS) + 2), -1, np.int8)
+    votes = np.full((len(examples), m + len(PATTERNS) + 3), -1, np.int8)
+    votes[:, -1] = toxic  # the given label is one more voter, whose accuracy is estimated like the others'
     for r, (words, patterns, _) in enumerate(examples):
         own = [at[w] for w in words if w in at]
         votes[r, own] = 1
