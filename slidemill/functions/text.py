@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: First line of the descriptions.
-VERSION = "Aperio Image Library v11.2.1"
+#: First line of the descriptions, by which viewers know the layout.
+VERSION = "Aperio Image Library v12.4.3"
 
 
 def extension(path: Column) -> Column:
@@ -45,7 +45,8 @@ def first_parse(kind: str, *values: Column) -> Column:
 
 
 def description(width: Column, height: Column, tile_w: Column, tile_h: Column, quality: Column, app_mag: Column, mpp: Column) -> Column:
-    return F.format_string(VERSION + "\n%dx%d [0,0 %dx%d] (%dx%d) JPEG/RGB Q=%d|AppMag = %d|MPP = %.6f", width, height, width, height, tile_w, tile_h, quality, app_mag, mpp)
+    mag = F.when(app_mag == F.floor(app_mag), app_mag.cast("long").cast("string")).otherwise(app_mag.cast("string"))
+    return F.format_string(VERSION + "\n%dx%d [0,0 %dx%d] (%dx%d) JPEG/RGB Q=%d|AppMag = %s|MPP = %.6f", width, height, width, height, tile_w, tile_h, quality, mag, mpp)
 
 
 def pyramid_summary(levels: DataFrame) -> DataFrame:

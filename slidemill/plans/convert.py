@@ -63,7 +63,7 @@ def pages(spark: SparkSession, path: str, folder: str | None = None, quality: in
     head = grid.join(F.broadcast(tables), want == F.col("q")).select(
         "path", page.alias("page"), F.lit(-1).cast("long").alias("slot"), "width", "height", F.col("out_w").alias("tile_w"), F.col("out_h").alias("tile_h"), (F.col("level") > 0).alias("reduced"),
         (resolution / F.when(F.col("level") > 0, F.col("downsample")).otherwise(1.0)).alias("resolution"),
-        description(F.col("width"), F.col("height"), F.col("out_w"), F.col("out_h"), want, F.col("app_mag").cast("long"), F.col("mpp")).alias("description"), "tables",
+        description(F.col("width"), F.col("height"), F.col("out_w"), F.col("out_h"), want, F.col("app_mag"), F.col("mpp")).alias("description"), "tables",
         none("binary").alias("data"), none("string").alias("error"),
     )
     body = encoded.select("path", page.alias("page"), "slot", *[none(t).alias(c) for c, t in (("width", "long"), ("height", "long"), ("tile_w", "long"), ("tile_h", "long"), ("reduced", "boolean"), ("resolution", "double"), ("description", "string"), ("tables", "binary"))], "data", "error")
