@@ -39,6 +39,9 @@ COMMON, SIGNATURES, CLASSES, SWEEPS = 2000, 1000, 128, 4
 FOLDS, ADDED, DISCOUNT = 10, 0.1, 0.75
 #: Tokens of a chunk, save for a longer single document.
 CHUNK = 2_000_000
+#: Rows of the bigram table that are summed together, and groups of tasks whose sums are summed first.
+BLOCK, LANES = 8, 64
+PAIRS = "block long, lane long, places binary, counts binary"
 
 
 def held_out(doc_id) -> bool:
@@ -196,30 +199,36 @@ def _pairs(common: np.ndarray, block: int):
                 now, before = with_ends(flat, sizes[train], n - 1)
                 if train.any():
                     table += np.bincount(before * n + now, minlength=n * n)
+        lane = TaskContext.get().partitionId() % LANES
         for b in range(-(-n // block)):
             part = table[b * block * n : (b + 1) * block * n]
             if len(at := np.flatnonzero(part)):
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([squeeze(at.astype(np.uint32))]), pa.array([squeeze(part[at].astype(np.int64))])], names=["block", "places", "counts"])
+                yield _sparse(b, lane, at, part[at])
 
     return run
 
 
+def _sparse(block: int, lane: int, at: np.ndarray, counts: np.ndarray):
+    columns = [pa.array([block], pa.int64()), pa.array([lane], pa.int64()), pa.array([squeeze(at.astype(np.uint32))]), pa.array([squeeze(counts.astype(np.int64))])]
+    return pa.RecordBatch.from_arrays(columns, names=["block", "lane", "places", "counts"])
+
+
 def _sum_pairs(size: int):
+    """Rows come ordered by block and lane; one sum for each."""
+
     def run(batches):
-        block, table = None, None
+        now, table = None, None
         for batch in batches:
-            for b, places, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if b != block:
-                    if block is not None:
-                        yield out(block, table)
-                    block, table = b, np.zeros(size, np.int64)
+            for block, lane, places, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (block, lane) != now:
+                    if now is not None:
+                        at = np.flatnonzero(table)
+                        yield _sparse(*now, at, table[at])
+                    now, table = (block, lane), np.zeros(size, np.int64)
                 table[expand(places, "<u4")] += expand(counts, "<i8")
-        if block is not None:
-            yield out(block, table)
-
-    def out(block, table):
-        at = np.flatnonzero(table)
-        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([squeeze(at.astype(np.uint32))]), pa.array([squeeze(table[at])])], names=["block", "places", "counts"])
+        if now is not None:
+            at = np.flatnonzero(table)
+            yield _sparse(*now, at, table[at])
 
     return run
 
@@ -350,11 +359,13 @@ def brown_scores(docs: DataFrame, chunk_tokens: int = CHUNK, common: int = COMMO
     for r in counted.where("kind = 2").groupBy("hash").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).collect():  # a row a signature
         tokens[len(hashes) + r["hash"]], words[len(hashes) + r["hash"]] = r["n"], r["words"]
     tokens[-1], words[-1] = ends, ends > 0
-    block = 64
     pairs = np.zeros(n * n)
-    found = chunks.select("docs", "null_ids", "sizes", "tokens", "hashes", "signatures").mapInArrow(_pairs(hashes, block), "block long, places binary, counts binary")
-    for r in found.repartition(tasks, "block").sortWithinPartitions("block").mapInArrow(_sum_pairs(block * n), "block long, places binary, counts binary").toLocalIterator():  # at most n * n numbers
-        pairs[r["block"] * block * n + expand(bytes(r["places"]), "<u4").astype(np.int64)] = expand(bytes(r["counts"]), "<i8")
+    found = chunks.select("docs", "null_ids", "sizes", "tokens", "hashes", "signatures").mapInArrow(_pairs(hashes, BLOCK), PAIRS)
+    for keys in (["block", "lane"], ["block"]):
+        found = found.repartition(tasks, *keys).sortWithinPartitions(*keys).mapInArrow(_sum_pairs(BLOCK * n), PAIRS)
+        found = found.withColumn("lane", F.lit(0).cast("long"))
+    for r in found.toLocalIterator():  # at most n * n numbers
+        pairs[r["block"] * BLOCK * n + expand(bytes(r["places"]), "<u4").astype(np.int64)] = expand(bytes(r["counts"]), "<i8")
     model = fit(pairs.reshape(n, n), tokens, words, classes, sweeps)
     back = counted.where("kind = 0").groupBy(F.col("chunk").alias("__chunk")).agg(F.collect_list(F.struct("part", "counts")).alias("found"))
     joined = chunks.join(back, F.col("chunk") == F.col("__chunk"), "left")
