@@ -16,10 +16,11 @@ import numpy as np
 from slidemill.llm.rounds import Merges, merge_words
 
 #: Distinct words that a worker keeps; beyond that it starts anew.
-CACHED = 600_000
+CACHED = 800_000
 
 LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 SIMPLE = re.compile(rf" ?[!-~{LETTER}]+")
+PLAIN = re.compile(rf" ?[{LETTER}]+")
 #: Python counts \x1c-\x1f as white space, the libraries don't; "<|" may begin a special token.
 WHOLE = re.compile("[\x1c-\x1f]|<\\|")
 SPACED = re.compile(r" ?\S+|\s+(?!\S)|\s")
@@ -65,10 +66,15 @@ class ByteLevel:
         for w, e in zip(odd, self.library.encode_batch(odd, add_special_tokens=False), strict=True):
             self.words[w] = np.array(e.ids, "<u2").tobytes()
         parts, per = [], []
-        for w in simple:
-            found = self.parts.findall(w.lower() if self.lower else w)
-            parts += found
-            per.append(len(found))
+        plain, find = PLAIN.fullmatch, self.parts.findall
+        for w in [w.lower() for w in simple] if self.lower else simple:
+            if plain(w):
+                parts.append(w)
+                per.append(1)
+            else:
+                found = find(w)
+                parts += found
+                per.append(len(found))
         if not parts:
             return
         raw = [p.encode() for p in parts]
@@ -85,9 +91,10 @@ class ByteLevel:
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as the library's encode with add_special_tokens=False gives them."""
         cut = [None if WHOLE.search(t) else t.split() if self.lower else SPACED.findall(t) for t in texts]
-        new = {w for words in cut if words for w in words}.difference(self.words)
+        every = set().union(*filter(None, cut))
+        new = every.difference(self.words)
         if len(self.words) + len(new) > CACHED:
-            new = {w for words in cut if words for w in words}
+            new = every
         if new:
             self._learn(list(new))
         get = self.words.__getitem__
@@ -162,7 +169,7 @@ class Pieces:
 
     def _cut(self, texts: list[str]) -> list[list[str]]:
         cut = [self.WORDS.findall(" " + t.replace("▁", " ")) if t else [] for t in texts]
-        new = {w for words in cut for w in words}
+        new = set().union(*cut)
         if len(self.words) + len(fresh := new.difference(self.words)) > CACHED:
             self.words.clear()
             self.decimal.clear()
