@@ -36,6 +36,8 @@ SEGMENTS, BUDGET, SHINGLE, SEED = 8, 4, 4, 42
 WIDTH = 64 // SEGMENTS
 #: Fingerprints of a bucket that one task compares with as many others at most.
 CHUNK = 2048
+#: Texts that are taken out of an Arrow batch at a time.
+TOGETHER = 256
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -60,8 +62,10 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 def _fingerprints(shingle: int):
     def run(batches):
         for batch in batches:
-            prints = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], names=["doc_id", "fp"])
+            for at in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(at, TOGETHER)
+                prints = np.array([fingerprint(t, shingle) for t in part.column(1).to_pylist()], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints)], names=["doc_id", "fp"])
 
     return run
 

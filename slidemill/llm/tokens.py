@@ -16,7 +16,7 @@ import numpy as np
 from slidemill.llm.rounds import Merges, merge_words
 
 #: Distinct words that a worker keeps; beyond that it starts anew.
-CACHED = 800_000
+CACHED = 500_000
 
 LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 SIMPLE = re.compile(rf" ?[!-~{LETTER}]+")

@@ -185,10 +185,17 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return fit([(sorted(r.words), list(r.patterns), r.toxic) for r in sorted(found.toLocalIterator(), key=lambda r: (r.doc_id, r.toxic, sorted(r.words)))][: 4 * sample])
 
 
+def _some(batches, rows: int = 256):
+    """Arrow batches a few rows at a time, so that few texts are Python strings at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _scores(model: Model):
     def run(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.score(t or "") for t in batch.column(1).to_pylist()], pa.float64())], names=["doc_id", "score"])
+        for part in _some(batches):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([model.score(t or "") for t in part.column(1).to_pylist()], pa.float64())], names=["doc_id", "score"])
 
     return run
 
@@ -203,9 +210,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def _clean(model: Model):
     def run(batches):
-        for batch in batches:
-            text = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            yield batch.filter(pa.array([model.score(t or "") < 0.5 for t in text], pa.bool_()))
+        for part in _some(batches):
+            text = part.column(part.schema.get_field_index("text")).to_pylist()
+            yield part.filter(pa.array([model.score(t or "") < 0.5 for t in text], pa.bool_()))
 
     return run
 
