@@ -279,27 +279,32 @@ def runs(key: np.ndarray, place: np.ndarray) -> np.ndarray:
     return out
 
 
-def _span_rows(found):
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[c])) for c in ("key", "start", "many")], names=["key", "start", "many"])
-
-
 def _sort(length: int):
-    """Rows (trigger, key, start, many, text) come ordered by trigger; yields spans."""
+    """Rows (trigger, salt, crowded, key, start, many, text) come ordered by trigger and salt. Yields the
+    spans of repeated strings, and of crowded triggers the digest of each string."""
+
+    def out(key, start, many, digest=None):
+        columns = [pa.array(np.ascontiguousarray(x)) for x in (key, start, many)]
+        return pa.RecordBatch.from_arrays([*columns, pa.nulls(len(key), pa.binary()) if digest is None else pa.array(digest, pa.binary())], names=["key", "start", "many", "digest"])
 
     def settle(held):
-        _, key, start, many, text = zip(*held, strict=True)
+        key, start, many, text = zip(*held, strict=True)
         found = repeated_strings(np.array(key), np.array(start), np.array(many), list(text), length)
         if len(found):
-            yield _span_rows(found)
+            yield out(found["key"], found["start"], found["many"])
 
     def run(batches):
-        held, size = [], 0
-        for row in _rows(batches):
-            if size > SORTED and row[0] != held[-1][0]:
+        held, size, last = [], 0, None
+        for trigger, _, crowded, key, start, many, text in _rows(batches):
+            if crowded:
+                digests = [hashlib.blake2b(text[i : i + length], digest_size=16).digest() for i in range(many)]
+                yield out(np.full(many, key), np.arange(start, start + many), np.ones(many, np.int64), digests)
+                continue
+            if size > SORTED and trigger != last:
                 yield from settle(held)
                 held, size = [], 0
-            held.append(row)
-            size += len(row[4])
+            held.append((key, start, many, text))
+            size, last = size + len(text), trigger
         if held:
             yield from settle(held)
 
@@ -323,22 +328,17 @@ def _rows(batches):
             yield from zip(*(c.to_pylist() for c in batch.slice(at, TOGETHER).columns), strict=True)
 
 
-def _cut_phrases(length: int, crowded: bool):
+def _cut_phrases(length: int):
+    """The bytes of each wanted phrase; those of a crowded trigger are dealt out by a salt."""
+
     def run(batches):
         expand = zstandard.ZstdDecompressor().decompress
         for packed, found in _rows(batches):
             text = expand(packed)
-            rows = [p for p in found if p["crowded"] == crowded]
-            if not rows:
-                continue
-            key, start, many = ([p[c] for p in rows] for c in ("key", "start", "many"))
-            if not crowded:
-                data = [text[s : s + m + length - 1] for s, m in zip(start, many, strict=True)]
-                yield pa.RecordBatch.from_pydict({"trigger": [p["trigger"] for p in rows], "key": key, "start": start, "many": many, "text": data})
-            else:
-                places = [s + i for s, m in zip(start, many, strict=True) for i in range(m)]
-                digests = [hashlib.blake2b(text[s : s + length], digest_size=16).digest() for s in places]
-                yield pa.RecordBatch.from_pydict({"digest": pa.array(digests, pa.binary()), "key": pa.array([key[0]] * len(places), pa.int64()), "start": pa.array(places, pa.int64())})
+            row = {c: [p[c] for p in found] for c in ("trigger", "crowded", "key", "start", "many")}
+            row["salt"] = [p["start"] + p["key"] if p["crowded"] else 0 for p in found]
+            row["text"] = [text[p["start"] : p["start"] + p["many"] + length - 1] for p in found]
+            yield pa.RecordBatch.from_pydict({c: row[c] for c in ("trigger", "salt", "crowded", "key", "start", "many", "text")})
 
     return run
 
@@ -366,10 +366,12 @@ def repeat_spans(rows: DataFrame, length: int = LENGTH, trigger: int = TRIGGER,
     unsettled = settled.where("trigger IS NOT NULL")
     wanted = unsettled.groupBy("key").agg(F.collect_list(F.struct("key", "start", "many", "trigger", "crowded")).alias("found"))
     joined = texts.mapInArrow(_squeeze, "key long, packed binary").join(wanted, "key").select("packed", "found")
-    cut = joined.mapInArrow(_cut_phrases(length, False), "trigger long, key long, start long, many long, text binary")
-    spans = spans.unionByName(cut.repartition(tasks, "trigger").sortWithinPartitions("trigger").mapInArrow(_sort(length), "key long, start long, many long"))
+    cut = joined.mapInArrow(_cut_phrases(length), "trigger long, salt long, crowded boolean, key long, start long, many long, text binary")
+    dealt = cut.repartition(tasks, "trigger", "salt").sortWithinPartitions("trigger", "salt")
+    ranked = materialise(dealt.mapInArrow(_sort(length), "key long, start long, many long, digest binary"), "ranked")
+    spans = spans.unionByName(ranked.where("digest IS NULL").select("key", "start", "many"))
     if not unsettled.where("crowded").isEmpty():
-        strings = materialise(joined.mapInArrow(_cut_phrases(length, True), "digest binary, key long, start long"), "strings")
+        strings = ranked.where("digest IS NOT NULL").select("digest", "key", "start")
         first = strings.groupBy("digest").agg(F.min(F.struct("key", "start")).alias("first"))
         again = strings.join(first, "digest").where(F.struct("key", "start") != F.col("first"))
         spans = spans.unionByName(again.select("key", "start", F.lit(1).cast("long").alias("many")))
