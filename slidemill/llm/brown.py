@@ -4,12 +4,16 @@ Tokens are the lower-cased words of a text and one end. P(w | v) = P(class w | c
 class transitions with absolute discounting over the class frequencies, word emissions with 0.1
 added, and in each class one more word for all that training has not seen.
 
-Classes: words that make up at least 1/``COMMON`` of the training tokens (so at most COMMON words)
-are types of their own; every other word, seen or not, belongs to the type of its signature, a hash
-of its last three bytes and its length into ``SIGNATURES`` types. The types are assigned to
-``CLASSES`` classes by the exchange algorithm: each in turn moves to the class that most raises the
-likelihood of the type bigrams, until none moves or ``SWEEPS`` are done. The bigram table of types
-is bounded by these parameters and covers all training documents; word counts cover all words.
+Classes: words that training has ``FLOOR`` times are types of their own, however many they are; a
+rarer word, seen or not, belongs to the type of its signature, a hash of its last three bytes and
+its length into ``SIGNATURES`` types. The types are assigned to ``CLASSES`` classes by the exchange
+algorithm in two steps. First on the driver over a bounded table: words that make up at least
+1/``COMMON`` of the training tokens, and all others by signature; each in turn moves to the class
+that most raises the likelihood of the type bigrams, until none moves or ``SWEEPS`` are done. From
+there over all types and their sparse bigrams, which are dealt out in blocks of types: in each of
+``ROUNDS`` every block moves a share of its types against the class bigrams as of the round's start
+and its own moves; a round that lowers the likelihood is undone and the share halved. The driver
+has one byte a type and the class bigrams; tasks have one byte a type and a block.
 
 The corpus is encoded once: chunks of documents with a dictionary of word hashes (64 bits) and
 token numbers. Dictionary parts are counted by hash, the counts go back to their chunks, and each
@@ -36,9 +40,15 @@ from pyspark.sql import functions as F
 from slidemill.session import materialise, ship_package
 
 COMMON, SIGNATURES, CLASSES, SWEEPS = 2000, 1000, 128, 4
+#: Training tokens from which a word is a type of its own, and rounds of exchange over all types.
+FLOOR, ROUNDS = 5, 6
+#: Types of a block, about, and (type, class) pairs that are weighed at once.
+BLOCK_TYPES, WEIGHED = 16384, 4096
 FOLDS, ADDED, DISCOUNT = 10, 0.1, 0.75
 #: Tokens of a chunk, save for a longer single document.
 CHUNK = 2_000_000
+#: Texts that are taken out of an Arrow batch at once.
+TEXTS = 256
 #: Rows of the bigram table that are summed together, and groups of tasks whose sums are summed first.
 BLOCK, LANES = 8, 64
 PAIRS = "block long, lane long, places binary, counts binary"
@@ -99,7 +109,7 @@ def _encode(chunk_tokens: int):
             words, ids, sizes, tokens, held, number = {}, [], [], [], 0, number + 1
             return pa.RecordBatch.from_arrays([pa.array([row[n]], t) for n, t in CHUNK_COLUMNS.items()], names=list(CHUNK_COLUMNS))
 
-        for batch in batches:
+        for batch in (b.slice(at, TEXTS) for b in batches for at in range(0, b.num_rows, TEXTS)):
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = (t or "").encode().lower().split()
                 own = words.setdefault
@@ -131,12 +141,13 @@ def _deal(parts: int):
     return run
 
 
-COUNTED = "kind int, part long, chunk long, counts binary, common binary, hash long, n long, words long"
+COUNTED = "kind int, part long, chunk long, counts binary, types binary, hash long, n long, words long"
 
 
 def _count(total: int, common: int):
     """Rows (part, chunk, hashes, counts, signatures) come ordered by part. Yields each chunk's counts
-    (kind 0), the common words (1), and tokens and distinct words of the signatures (2)."""
+    and its words' places among the part's types, from 1 (kind 0), the common words with their places
+    (1), the distinct words of the signatures that are no types (2), and the types' signatures (3)."""
 
     def settle(held):
         chunks, hashes, counts, signatures = zip(*((c, expand(h, "<u8"), expand(n, "<u4"), expand(s, "<u2")) for _, c, h, n, s in held), strict=True)
@@ -144,16 +155,18 @@ def _count(total: int, common: int):
         known, first, at = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
         sums = np.bincount(at, np.concatenate(counts)).astype(np.int64)
         often = sums * common >= total if total else np.zeros(len(sums), bool)
+        typed = often | (sums >= FLOOR)
+        place = np.where(typed, np.cumsum(typed), 0)
         own = np.concatenate(signatures)[first]
         rows, end = [], 0
         for chunk, h in zip(chunks, hashes, strict=True):
             mine = at[end : end + len(h)]
             end += len(h)
-            rows.append((0, part, chunk, squeeze(sums[mine].astype(np.uint64)), squeeze(often[mine].astype(np.uint8)), None, None, None))
-        rows += [(1, part, None, None, None, int(h), int(n), 1) for h, n in zip(known[often].view(np.int64), sums[often], strict=True)]
-        rest = ~often & (sums > 0)
-        tokens, words = np.bincount(own[rest], sums[rest], SIGNATURES), np.bincount(own[rest], minlength=SIGNATURES)
-        rows += [(2, part, None, None, None, int(s), int(tokens[s]), int(words[s])) for s in np.flatnonzero(words)]
+            rows.append((0, part, chunk, squeeze(sums[mine].astype(np.uint64)), squeeze(place[mine].astype(np.uint32)), None, None, None))
+        rows += [(1, part, None, None, None, int(h), int(x), 1) for h, x in zip(known[often].view(np.int64), place[often], strict=True)]
+        words = np.bincount(own[~typed & (sums > 0)], minlength=SIGNATURES)
+        rows += [(2, part, None, None, None, int(s), None, int(words[s])) for s in np.flatnonzero(words)]
+        rows.append((3, part, None, None, squeeze(own[typed].astype(np.uint16)), None, int(typed.sum()), None))
         types = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[c.split()[0] for c in COUNTED.split(", ")])
 
@@ -292,33 +305,259 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
     return of
 
 
+def class_model(of: np.ndarray, table: np.ndarray, size: np.ndarray, distinct: np.ndarray) -> dict:
+    """The model from the types' classes, class bigrams, and tokens and distinct words of each class."""
+    prior = (size + ADDED) / (size.sum() + ADDED * len(size))
+    seen = table.sum(axis=1)
+    rest = np.where(seen > 0, DISCOUNT * (table > 0).sum(axis=1) / np.maximum(seen, 1), 1.0)
+    step = np.maximum(table - DISCOUNT, 0) / np.maximum(seen, 1)[:, None] + rest[:, None] * prior
+    return {"of": of, "step": np.log10(step), "room": np.log10(size + ADDED * (distinct + 1)), "size": size, "distinct": distinct}
+
+
 def fit(pairs: np.ndarray, tokens: np.ndarray, words: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> dict:
     """The model from type bigrams, and tokens and distinct words of each type."""
     of = exchange(pairs, classes, sweeps)
     member = np.zeros((len(pairs), classes))
     member[np.arange(len(pairs)), of] = 1
-    table = member.T @ (pairs @ member)
-    size, distinct = np.bincount(of, tokens, classes), np.bincount(of, words, classes)
-    prior = (size + ADDED) / (size.sum() + ADDED * classes)
-    seen = table.sum(axis=1)
-    rest = np.where(seen > 0, DISCOUNT * (table > 0).sum(axis=1) / np.maximum(seen, 1), 1.0)
-    step = np.maximum(table - DISCOUNT, 0) / np.maximum(seen, 1)[:, None] + rest[:, None] * prior
-    return {"of": of, "step": np.log10(step), "room": np.log10(size + ADDED * (distinct + 1)), "size": size, "distinct": distinct}
+    return class_model(of, member.T @ (pairs @ member), np.bincount(of, tokens, classes), np.bincount(of, words, classes))
 
 
-def _score(model: dict, common: np.ndarray, total: int, distinct: int, ends: int):
-    """Rows of a chunk, with its counts by part; scores of its documents."""
-    n = len(common) + SIGNATURES + 1
+TYPED = "docs binary, null_ids binary, sizes binary, tokens binary, kinds binary, counts binary"
+
+
+def _typed(offsets: np.ndarray, types: int):
+    """Chunks with what came back by part: the type and the count of each dictionary word."""
+
+    def run(batches):
+        for batch in batches:
+            for docs, null_ids, sizes, tokens, signatures, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                kinds, counts = types + expand(signatures, "<u2").astype(np.int64), [np.zeros(0, np.uint64)]
+                end = 0
+                for x in sorted(found or [], key=lambda x: x["part"]):
+                    place = expand(x["types"], "<u4").astype(np.int64)
+                    kinds[end : end + len(place)] = np.where(place > 0, offsets[x["part"]] + place - 1, kinds[end : end + len(place)])
+                    counts.append(expand(x["counts"], "<u8"))
+                    end += len(place)
+                row = (docs, null_ids, sizes, tokens, squeeze(kinds.astype(np.uint32)), squeeze(np.concatenate(counts)))
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in row], names=[c.split()[0] for c in TYPED.split(", ")])
+
+    return run
+
+
+def pack(keys: np.ndarray) -> bytes:
+    """Rising keys by their differences, byte by byte, which leaves little of each."""
+    return squeeze(np.diff(keys.astype(np.uint64), prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T)
+
+
+def unpack(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(expand(data, "u1").reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64).astype(np.int64)
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[first], np.add.reduceat(counts[order], first) if len(first) else counts[:0]
+
+
+NEIGHBOURS = "block long, out_keys binary, out_counts binary, in_keys binary, in_counts binary"
+
+
+def _neighbours(block: int, sides) -> pa.RecordBatch:
+    out = [pa.array([block], pa.int64())]
+    for keys, counts in sides:
+        out += [pa.array([pack(keys)]), pa.array([squeeze(counts.astype(np.int64))])]
+    return pa.RecordBatch.from_arrays(out, names=[c.split()[0] for c in NEIGHBOURS.split(", ")])
+
+
+def _bigrams(n: int, blocks: int):
+    """Each training bigram of a chunk twice: with the block of its first type (out) and of its second (in).
+
+    Type i is number i // blocks of block i % blocks; a key is that number times n, plus the neighbour."""
+
+    def run(batches):
+        for batch in batches:
+            for docs, null_ids, sizes, tokens, kinds, _ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                sizes = expand(sizes, "<i8")
+                train = np.array([not (x or held_out(int(i))) for i, x in zip(expand(docs, "<i8"), expand(null_ids, "u1"), strict=True)])
+                if not train.any():
+                    continue
+                flat = expand(kinds, "<u4").astype(np.int64)[expand(tokens, "<u4")[np.repeat(train, sizes)]]
+                now, before = with_ends(flat, sizes[train], n - 1)
+                before *= n
+                before += now
+                del flat, now
+                keys, counts = np.unique(before, return_counts=True)
+                del before
+                for side in (0, 1):
+                    own, other = np.divmod(keys, n)
+                    if side:
+                        own, other = other, own
+                    # Ordered by block, number and neighbour.
+                    key = (own % blocks) * (n // blocks + 1) * n + own // blocks * n + other
+                    del own, other
+                    order = np.argsort(key)
+                    key, mine = key[order], counts[order]
+                    del order
+                    cut = np.searchsorted(key, np.arange(blocks + 1) * (n // blocks + 1) * n)
+                    for b in np.flatnonzero(np.diff(cut)):
+                        part = [(keys[:0], counts[:0])] * 2
+                        part[side] = (key[cut[b] : cut[b + 1]] - b * (n // blocks + 1) * n, mine[cut[b] : cut[b + 1]])
+                        yield _neighbours(int(b), part)
+
+    return run
+
+
+def _sum_neighbours(batches):
+    """Rows come ordered by block; one for each."""
+    now, held = None, []
+
+    def summed():
+        return [_summed(np.concatenate([h[x][0] for h in held]), np.concatenate([h[x][1] for h in held])) for x in (0, 1)]
+
+    for batch in batches:
+        for block, *packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if block != now and held:
+                yield _neighbours(now, summed())
+                held = []
+            now = block
+            held.append([(unpack(packed[0]), expand(packed[1], "<i8")), (unpack(packed[2]), expand(packed[3], "<i8"))])
+            if len(held) >= 32:
+                held = [summed()]
+    if held:
+        yield _neighbours(now, summed())
+
+
+def _class_pairs(of, classes: int, n: int, blocks: int):
+    """Class bigrams of the blocks of a task."""
+
+    def run(batches):
+        table = np.zeros(classes * classes)
+        for batch in batches:
+            for block, keys, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                own, other = np.divmod(unpack(keys), n)
+                table += np.bincount(of.value[own * blocks + block].astype(np.int64) * classes + of.value[other], expand(counts, "<i8"), classes * classes)
+        if table.any():
+            yield pa.RecordBatch.from_arrays([pa.array([squeeze(table)])], names=["pairs"])
+
+    return run
+
+
+def _weigh(table: np.ndarray, here: np.ndarray, out: np.ndarray, into: np.ndarray, same: np.ndarray) -> np.ndarray:
+    """What the objective gains by each type in each class, the type taken out of its own; ``out`` and
+    ``into`` are its neighbours by class without ``same``, its bigrams with itself."""
+    n, classes = out.shape
+    each = np.arange(n)
+    gain = np.zeros((n, classes))
+    for grid, mine, back in ((table.T, out, into), (table, into, out)):
+        i, d = np.nonzero(mine)
+        if not len(i):
+            continue
+        x, home = mine[i, d], d == here[i]
+        base, was = grid[d], _xlogx(grid)[d]
+        base[home] -= back[i[home]]
+        row = np.arange(len(i))
+        base[row, here[i]] -= x + home * same[i]
+        was[home] = _xlogx(base[home])
+        was[row, here[i]] = _xlogx(base[row, here[i]])
+        base += x[:, None]
+        first = np.flatnonzero(np.diff(i, prepend=-1))
+        gain[i[first]] += np.add.reduceat(_xlogx(base) - was, first, axis=0)
+        side = np.repeat(grid.sum(axis=0)[None], n, axis=0)
+        whole = mine.sum(axis=1) + same
+        side[each, here] -= whole
+        gain -= _xlogx(side + whole[:, None]) - _xlogx(side)
+    corner = np.repeat(np.diag(table)[None], n, axis=0)
+    corner[each, here] -= out[each, here] + into[each, here] + same
+    gain += _xlogx(corner + out + into + same[:, None]) - _xlogx(corner + out) - _xlogx(corner + into) + _xlogx(corner)
+    gain[:, 0] = -np.inf
+    return gain
+
+
+def _move(of, table: np.ndarray, turn: int, share: int, n: int, blocks: int):
+    """The classes of each block's types after every ``share``-th, from ``turn`` on, could move."""
+    classes = len(table)
+
+    def run(batches):
+        for batch in batches:
+            for block, *packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ids = np.arange(block, n, blocks)
+                mine = of.value[ids].astype(np.int64)
+                now, same, sides = table.copy(), np.zeros(len(ids)), []
+                for side, (keys, counts) in enumerate((packed[:2], packed[2:])):
+                    own, other = np.divmod(unpack(keys), n)
+                    counts = expand(counts, "<i8")
+                    self_ = ids[own] == other
+                    if not side:
+                        same += np.bincount(own[self_], counts[self_], len(ids))
+                    own, other, counts = own[~self_], other[~self_], counts[~self_]
+                    sides.append((own, other, counts))
+                sides = [np.bincount(own * classes + of.value[other], counts, len(ids) * classes).reshape(-1, classes) for own, other, counts in sides]
+                mass = sides[0].sum(axis=1) + same
+                todo = np.flatnonzero((ids < n - 1) & (mass > 0) & ((np.arange(len(ids)) + turn) % share == 0))
+                todo = todo[np.argsort(-mass[todo], kind="stable")]
+                weight = np.cumsum((sides[0][todo] > 0).sum(axis=1) + (sides[1][todo] > 0).sum(axis=1))
+                for at in np.split(todo, np.flatnonzero(np.diff(weight // WEIGHED)) + 1) if len(todo) else ():
+                    out, into, here = sides[0][at], sides[1][at], mine[at]
+                    gain = _weigh(now, here, out, into, same[at])
+                    best = gain.argmax(axis=1)
+                    go = np.flatnonzero(gain[np.arange(len(at)), best] > gain[np.arange(len(at)), here] + 1e-9)
+                    for x, to in ((here[go], -1), (best[go], 1)):
+                        np.add.at(now, x, to * out[go])
+                        np.add.at(now.T, x, to * into[go])
+                        np.add.at(now, (x, x), to * same[at][go])
+                    np.maximum(now, 0, out=now)
+                    mine[at[go]] = best[go]
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([squeeze(mine.astype(np.uint8))])], names=["block", "classes"])
+
+    return run
+
+
+def likelihood(table: np.ndarray) -> float:
+    return float(_xlogx(table).sum() - _xlogx(table.sum(axis=0)).sum() - _xlogx(table.sum(axis=1)).sum())
+
+
+def exchange_all(neighbours: DataFrame, of: np.ndarray, blocks: int, classes: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of all types, and class bigrams, from those that they start in; the last type stays."""
+    context, n = neighbours.sparkSession.sparkContext, len(of)
+
+    def pairs_of(shared):
+        found = np.zeros(classes * classes)
+        for r in neighbours.mapInArrow(_class_pairs(shared, classes, n, blocks), "pairs binary").collect():
+            found += expand(bytes(r["pairs"]), "<f8")
+        return found.reshape(classes, classes)
+
+    shared = context.broadcast(of)
+    table, share = pairs_of(shared), 2
+    for turn in range(rounds):
+        other = of.copy()
+        for r in neighbours.mapInArrow(_move(shared, table, turn, share, n, blocks), "block long, classes binary").collect():
+            other[r["block"] :: blocks] = expand(bytes(r["classes"]), "u1")
+        if (other == of).all():
+            continue
+        moved = context.broadcast(other)
+        found = pairs_of(moved)
+        if likelihood(found) > likelihood(table):
+            shared.unpersist()
+            of, table, shared = other, found, moved
+        else:
+            moved.unpersist()
+            share *= 2
+    return of, table
+
+
+def _score(model: dict, total: int, distinct: int, ends: int):
+    """Rows of a chunk, with its types and counts; scores of its documents."""
+    n = len(model["of"])
     room = np.log10(total + ADDED * (distinct + 1))
 
     def run(batches):
         for batch in batches:
-            for docs, null_ids, sizes, tokens, hashes, signatures, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for docs, null_ids, sizes, tokens, kinds, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 docs, null_ids, sizes = expand(docs, "<i8"), expand(null_ids, "u1").astype(bool), expand(sizes, "<i8")
-                parts = [expand(x["counts"], "<u8") for x in sorted(found or [], key=lambda x: x["part"])]
-                counts = np.append(np.concatenate(parts) if parts else np.zeros(0), ends).astype(float)
-                kinds = np.append(types_of(expand(hashes, "<u8"), expand(signatures, "<u2"), common), n - 1)
-                classes = model["of"][kinds]
+                counts = np.append(expand(counts, "<u8"), ends).astype(float)
+                kinds = np.append(expand(kinds, "<u4").astype(np.int64), n - 1)
+                classes = model["of"][kinds].astype(np.int64)
                 alone = np.log10(counts + ADDED)
                 now, before = with_ends(expand(tokens, "<u4").astype(np.int64), sizes, len(kinds) - 1)
                 base = alone[now] - room
@@ -350,15 +589,17 @@ def brown_scores(docs: DataFrame, chunk_tokens: int = CHUNK, common: int = COMMO
     total, ends = int(sums["tokens"]), int(sums["docs"])
     parts = chunks.select("chunk", "hashes", "counts", "signatures").mapInArrow(_deal(2 * tasks), "part long, chunk long, hashes binary, counts binary, signatures binary")
     counted = materialise(parts.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(_count(total, common), COUNTED), "counts")
-    often = counted.where("kind = 1").select("hash", "n").collect()  # at most `common` words
+    often = counted.where("kind = 1").select("part", "hash", "n").collect()  # at most `common` words
     hashes = np.sort(np.array([r["hash"] for r in often], np.int64).view(np.uint64))
     n = len(hashes) + SIGNATURES + 1
-    tokens, words = np.zeros(n), np.zeros(n)
-    tokens[np.searchsorted(hashes, np.array([r["hash"] for r in often], np.int64).view(np.uint64))] = [r["n"] for r in often]
-    words[: len(hashes)] = 1
-    for r in counted.where("kind = 2").groupBy("hash").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).collect():  # a row a signature
-        tokens[len(hashes) + r["hash"]], words[len(hashes) + r["hash"]] = r["n"], r["words"]
-    tokens[-1], words[-1] = ends, ends > 0
+    words = np.zeros(SIGNATURES, np.int64)
+    for r in counted.where("kind = 2").groupBy("hash").agg(F.sum("words").alias("words")).collect():  # a row a signature
+        words[r["hash"]] = r["words"]
+    offsets, types, start = np.zeros(2 * tasks + 1, np.int64), 0, []
+    for r in sorted(counted.where("kind = 3").select("part", "n", "types").toLocalIterator(), key=lambda r: r["part"]):  # two bytes a type
+        offsets[r["part"]] = types
+        types += r["n"]
+        start.append(expand(bytes(r["types"]), "<u2"))
     pairs = np.zeros(n * n)
     found = chunks.select("docs", "null_ids", "sizes", "tokens", "hashes", "signatures").mapInArrow(_pairs(hashes, BLOCK), PAIRS)
     for keys in (["block", "lane"], ["block"]):
@@ -366,8 +607,18 @@ def brown_scores(docs: DataFrame, chunk_tokens: int = CHUNK, common: int = COMMO
         found = found.withColumn("lane", F.lit(0).cast("long"))
     for r in found.toLocalIterator():  # at most n * n numbers
         pairs[r["block"] * BLOCK * n + expand(bytes(r["places"]), "<u4").astype(np.int64)] = expand(bytes(r["counts"]), "<i8")
-    model = fit(pairs.reshape(n, n), tokens, words, classes, sweeps)
-    back = counted.where("kind = 0").groupBy(F.col("chunk").alias("__chunk")).agg(F.collect_list(F.struct("part", "counts")).alias("found"))
-    joined = chunks.join(back, F.col("chunk") == F.col("__chunk"), "left")
-    scored = joined.select("docs", "null_ids", "sizes", "tokens", "hashes", "signatures", "found")
-    return scored.mapInArrow(_score(model, hashes, total, int(words.sum()), ends), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    coarse = exchange(pairs.reshape(n, n), classes, sweeps).astype(np.uint8)
+    of = np.concatenate([coarse[len(hashes) + np.concatenate([*start, np.zeros(0, np.uint16)]).astype(np.int64)], coarse[len(hashes) :]])
+    for r in often:
+        of[offsets[r["part"]] + r["n"] - 1] = coarse[np.searchsorted(hashes, np.array([r["hash"]], np.int64).view(np.uint64))[0]]
+    back = counted.where("kind = 0").groupBy(F.col("chunk").alias("__chunk")).agg(F.collect_list(F.struct("part", "counts", "types")).alias("found"))
+    # By number, so that few chunks' tokens are in a task.
+    joined = chunks.repartition(tasks, "chunk").join(back.repartition(tasks, "__chunk"), F.col("chunk") == F.col("__chunk"), "left").select("docs", "null_ids", "sizes", "tokens", "signatures", "found")
+    typed = materialise(joined.mapInArrow(_typed(offsets, types), TYPED), "typed")
+    blocks = max(tasks, types // BLOCK_TYPES + 1)
+    found = typed.mapInArrow(_bigrams(len(of), blocks), NEIGHBOURS).repartition(tasks, "block").sortWithinPartitions("block")
+    neighbours = materialise(found.mapInArrow(_sum_neighbours, NEIGHBOURS), "neighbours")
+    of, table = exchange_all(neighbours, of, blocks, classes)
+    distinct = np.bincount(of[:types], minlength=classes) + np.bincount(of[types:], np.append(words, ends > 0), classes)
+    model = class_model(of, table, table.sum(axis=0), distinct)
+    return typed.mapInArrow(_score(model, total, types + int(words.sum()) + (ends > 0), ends), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -83,3 +83,27 @@ def test_no_training_and_empty_tables(docs_of):
     out = B.brown_scores(docs).collect()
     assert len(out) == 2 and all(r.n_known == 0 and r.train_tokens == 0 and np.isfinite(r.score) for r in out)
     assert B.brown_scores(docs.where("doc_id < 0")).collect() == []
+
+
+def test_words_far_below_the_common_ones_get_classes_of_their_own(docs_of):
+    rng = random.Random(3)
+    kinds = [[f"{k}{i:05}abc" for i in range(2000)] for k in "nv"]
+    rows = [(i, " ".join(rng.choice(kinds[k % 2]) for k in range(200))) for i in range(300)]
+    held = [r for r in B.brown_scores(docs_of(rows), classes=6).collect() if r.held_out]
+    assert len(held) > 20 and sum(r.score for r in held) > sum(r.base_score for r in held) + 0.2 * sum(r.n_tokens for r in held)
+
+
+def test_weights_of_moves_are_differences_of_the_objective():
+    rng = np.random.default_rng(4)
+    pairs = rng.poisson(2, (12, 12)).astype(float)
+    of = np.append(1 + rng.integers(0, 3, 11), 0)
+    member = np.eye(4)[of]
+    own = np.diag(pairs)
+    bare = pairs - np.diag(own)
+    gain = B._weigh(member.T @ pairs @ member, of, bare @ member, bare.T @ member, own)
+    for i in range(11):
+        for c in range(1, 4):
+            other = of.copy()
+            other[i] = c
+            a, b = (B.likelihood(np.eye(4)[x].T @ pairs @ np.eye(4)[x]) for x in (other, of))
+            assert np.isclose(gain[i, c] - gain[i, of[i]], a - b)
