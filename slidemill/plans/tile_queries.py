@@ -170,14 +170,23 @@ def fallback_level(spark, sf_dir):
     return lv.groupBy("slide_id").agg(F.coalesce(small, F.max("level")).alias("level"))
 
 
-def tile_scan(spark, sf_dir):
+def _scan(lv):
     """Cells of each level in row-major order with their level-0 place, rounded half to even."""
-    lv = R.levels(spark, sf_dir).where("level >= 3")
     cells = lv.withColumn("row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1))).withColumn("col", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cols") - 1)))
     place = lambda c: F.bround((F.col(c) * 256).cast("double") * F.pow(F.lit(2.0), F.col("level")) * 0.7, 0).cast("long")
     return cells.select("slide_id", "level", (F.col("row") * F.col("cols") + F.col("col")).alias("slot"), place("col").alias("at_x"), place("row").alias("at_y"))
 
 
+def tile_scan(spark, sf_dir):
+    """The cells of levels 3 and up, as in its SQL; tile_scan_all has those of every level."""
+    return _scan(R.levels(spark, sf_dir).where("level >= 3"))
+
+
+def tile_scan_all(spark, sf_dir):
+    """The cells of every level."""
+    return _scan(R.levels(spark, sf_dir))
+
+
 def passthrough_action(spark, sf_dir):
     """What happens to a grid tile: kept, transcoded, encoded anew as a hole, or composed."""
     t = R.tiles(spark, sf_dir)
@@ -206,7 +215,7 @@ def slide_clip(spark, sf_dir):
     return out.where("width > 0 AND height > 0")
 
 
-QUERIES = [cell_assign, cell_groups, last_wins, first_wins_dense_grid, level_extent, level_islands, tile_offsets, virtual_base, asof_source, range_fits, restart_intervals, level_rank_area, kfb_pyramid, kfb_level_from_id, merge_pitch, retile_merge, mrxs_subtiles, nominal_grid, axis_extent, downsample_check, thumb_fit, fallback_level, tile_scan, passthrough_action, white_tile_memo, slide_clip]
+QUERIES = [cell_assign, cell_groups, last_wins, first_wins_dense_grid, level_extent, level_islands, tile_offsets, virtual_base, asof_source, range_fits, restart_intervals, level_rank_area, kfb_pyramid, kfb_level_from_id, merge_pitch, retile_merge, mrxs_subtiles, nominal_grid, axis_extent, downsample_check, thumb_fit, fallback_level, tile_scan, tile_scan_all, passthrough_action, white_tile_memo, slide_clip]
 
 _EXTENTS = "ext AS (SELECT slide_id, level, max(x + w) AS width, max(y + h) AS height, count(*) AS n_tiles FROM tiles GROUP BY ALL)"
 

@@ -87,3 +87,14 @@ def test_plans_keep_scans_narrow_and_avoid_nested_loops(spark):
     for name in ("cell_assign", "asof_source", "last_wins", "tile_offsets"):
         plan = registry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan and "l_returnflag" not in plan
+
+
+def test_tile_scan_all_has_every_cell_of_every_level(spark):
+    from slidemill.plans import relations
+
+    levels = relations.levels(spark, SF).orderBy("slide_id", "level").limit(30).collect()
+    got = registry.queries()["tile_scan_all"](spark, SF).where(F.col("slide_id").isin(*{r.slide_id for r in levels})).collect()
+    want = [(l.slide_id, l.level, r * l.cols + c, round(c * 256.0 * 2.0**l.level * 0.7), round(r * 256.0 * 2.0**l.level * 0.7)) for l in levels for r in range(l.rows) for c in range(l.cols)]
+    kept = {(r.slide_id, r.level) for r in levels}
+    assert {r.level for r in levels} >= {0, 1, 2}
+    assert sorted(tuple(r) for r in got if (r.slide_id, r.level) in kept) == sorted(want)
