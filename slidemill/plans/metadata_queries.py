@@ -102,14 +102,23 @@ def little_endian_fields(spark, sf_dir):
     return B.little_endian(rows, "b", np.dtype([("id", "<u2"), ("x", "<u4"), ("y", "<i4")]), 2)
 
 
-def splice_bytes(spark, sf_dir):
+def _spliced(t):
     """Header, body and trailer as one tile, and a header's frame size rewritten in place."""
-    t = R.tiles(spark, sf_dir).where("level = 0")
     head = F.lit(b"\xff\xd8\xff\xc0\x00\x11\x08\x00\x00\x00\x00")
     size = F.unhex(F.concat(F.lpad(F.hex("h"), 4, "0"), F.lpad(F.hex("w"), 4, "0")))
     patched = F.overlay(head, size, F.lit(8))
     body = F.encode(F.col("length").cast("string"), "UTF-8")
-    return t.select("slide_id", "ordinal", F.hex(B.splice(patched, body, F.lit(b"\xff\xd9"))).alias("tile"), B.begins_image(patched).alias("image"))
+    return t.select("slide_id", "level", "ordinal", F.hex(B.splice(patched, body, F.lit(b"\xff\xd9"))).alias("tile"), B.begins_image(patched).alias("image"))
+
+
+def splice_bytes(spark, sf_dir):
+    """The tiles of level 0, as in its SQL; splice_bytes_all has those of every level."""
+    return _spliced(R.tiles(spark, sf_dir).where("level = 0")).drop("level")
+
+
+def splice_bytes_all(spark, sf_dir):
+    """The tiles of every level."""
+    return _spliced(R.tiles(spark, sf_dir))
 
 
 def merge_tables(spark, sf_dir):
@@ -225,7 +234,7 @@ def resolution_rational(spark, sf_dir):
     return lv.select("slide_id", "level", F.round(F.greatest(value, F.lit(0.0)) * 1000).cast("long").alias("numerator"))
 
 
-QUERIES = [slide_info, format_dispatch, label_dedupe, mpp_from, mean_mpp, labeled_number, ini_map, first_parse, classify_page, aperio_description, find_all_marker, decode_xml_text, little_endian_fields, splice_bytes, merge_tables, tiff_fields, nonhier_recordno, descriptor_table, associated_classify, quality_estimate, bigtiff_switch, tiff_layout, batch_outputs, batch_outputs_cascading, queue_status, queue_add, drop_paths, bench_speedup, resolution_rational]
+QUERIES = [slide_info, format_dispatch, label_dedupe, mpp_from, mean_mpp, labeled_number, ini_map, first_parse, classify_page, aperio_description, find_all_marker, decode_xml_text, little_endian_fields, splice_bytes, splice_bytes_all, merge_tables, tiff_fields, nonhier_recordno, descriptor_table, associated_classify, quality_estimate, bigtiff_switch, tiff_layout, batch_outputs, batch_outputs_cascading, queue_status, queue_add, drop_paths, bench_speedup, resolution_rational]
 
 _FORMATS = "formats AS (SELECT * FROM (VALUES " + ", ".join(f"({o}, '{e}', '{n}', '{r}')" for o, e, n, r in formats.FORMATS) + ") AS v(ord, extension, label, reader))"
 _DISPATCH = f"{_FORMATS}, e AS (SELECT *, lower(regexp_extract(path, '[^/]\\.([^./]+)$', 1)) AS extension FROM files), disp AS (SELECT file_id, path, extension, label, reader, reader IS NOT NULL AS supported FROM e LEFT JOIN formats USING (extension))"

@@ -98,3 +98,12 @@ def test_tile_scan_all_has_every_cell_of_every_level(spark):
     kept = {(r.slide_id, r.level) for r in levels}
     assert {r.level for r in levels} >= {0, 1, 2}
     assert sorted(tuple(r) for r in got if (r.slide_id, r.level) in kept) == sorted(want)
+
+
+def test_splice_bytes_all_has_every_tile(spark):
+    from slidemill.plans import relations
+
+    tiles = relations.tiles(spark, SF).collect()
+    want = [(t.slide_id, t.level, t.ordinal, (b"\xff\xd8\xff\xc0\x00\x11\x08" + t.h.to_bytes(2, "big") + t.w.to_bytes(2, "big") + str(t.length).encode() + b"\xff\xd9").hex().upper(), True) for t in tiles]
+    assert len({t.level for t in tiles}) > 1
+    assert sorted(tuple(r) for r in registry.queries()["splice_bytes_all"](spark, SF).collect()) == sorted(want)
