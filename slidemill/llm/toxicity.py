@@ -8,7 +8,8 @@ classifier, which scores whole texts.
 
 Labelled rows serve to find telling words and to start the model; only those whose
 crc32(doc_id as text) mod 5 is not 0 are used, of them at most ``SAMPLE`` of either label (the
-first by a hash of doc_id). Nothing but the text is an input of a score.
+first by a hash of doc_id); the classifier's bias is then shifted to the mix of all of them. Nothing
+but the text is an input of a score.
 
 Defined results: a null text counts as empty and gets the score of a text without evidence; a null
 doc_id is held out; several labels of one doc_id count as toxic if one is; null labels are ignored;
@@ -69,6 +70,16 @@ def sample_labels(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     return rows.where("toxic > 0").orderBy(order, "doc_id").limit(sample).unionByName(rows.where("toxic <= 0").orderBy(order, "doc_id").limit(sample))
 
 
+def mix_shift(labels: DataFrame, sample: int = SAMPLE) -> float:
+    """What the sample's log odds of toxic lack to those of all labelled training rows."""
+    key = F.col("doc_id").cast("string").cast("binary")
+    rows = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(F.crc32(key) % FOLDS != 0)
+    rows = rows.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    n = rows.agg(F.count(F.when(F.col("toxic") > 0, 1)).alias("toxic"), F.count(F.when(F.col("toxic") <= 0, 1)).alias("clean")).first()
+    over = lambda x: np.log(max(1.0, x / sample))
+    return float(over(n["toxic"]) - over(n["clean"]))
+
+
 def _features(batches):
     for batch in batches:
         words, patterns = [], []
@@ -182,7 +193,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     wanted = sample_labels(labels, sample).select(F.col("doc_id").alias("__id"), F.col("toxic").alias("__toxic"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(wanted), F.col("doc_id") == F.col("__id"))
     found = texts.select("doc_id", "text", "__toxic").mapInArrow(_features, "doc_id long, toxic int, words array<string>, patterns array<boolean>")
-    return fit([(sorted(r.words), list(r.patterns), r.toxic) for r in sorted(found.toLocalIterator(), key=lambda r: (r.doc_id, r.toxic, sorted(r.words)))][: 4 * sample])
+    model = fit([(sorted(r.words), list(r.patterns), r.toxic) for r in sorted(found.toLocalIterator(), key=lambda r: (r.doc_id, r.toxic, sorted(r.words)))][: 4 * sample])
+    model.bias += mix_shift(labels, sample)
+    return model
 
 
 def _some(batches, rows: int = 256):

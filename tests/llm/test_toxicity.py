@@ -71,3 +71,15 @@ def test_label_model_finds_accuracies():
     assert ((post > 0.5) == truth).mean() > ((best > 0) == truth).mean() - 0.005
     assert np.abs(found["accuracy"][:4] - right[:4]).max() < 0.06
     assert (found["weight"][4:] < 0.5).all() and (found["weight"][:4] == 1).all()
+
+
+def test_bias_follows_the_mix_of_all_labelled_rows(spark):
+    rows = [(i, int(i % 10 == 0)) for i in range(2000)]
+    train = [t for i, t in rows if zlib.crc32(str(i).encode()) % X.FOLDS]
+    labels = spark.createDataFrame(rows, "doc_id long, toxic int")
+    docs = spark.createDataFrame([(i, f"word{i % 7} plain text") for i, _ in rows], "doc_id long, text string")
+    toxic = sum(train)
+    assert abs(X.mix_shift(labels, 50) - np.log((toxic / 50) / ((len(train) - toxic) / 50))) < 1e-9
+    assert X.mix_shift(labels) == 0
+    # The texts say nothing, so scores are near the share of toxic rows, also from a sample of 50:50.
+    assert X.train(docs, labels, 50).score("word1 plain text") < 0.3
