@@ -1,25 +1,29 @@
 """Toxicity by weak supervision.
 
 Many simple voters (insult words of a fixed lexicon, words and word beginnings that labelled rows
-show to be telling, patterns, and the given label itself) vote toxic, clean or nothing on a text. A generative model of the votes given the
-hidden label is fitted by expectation maximisation: each voter's accuracy and coverage, and which
-voters err together, whose votes then count as those of one. Its posterior labels train a linear
-classifier, which scores whole texts.
+show to be telling, patterns) vote toxic or nothing on a text. A generative model of the votes given
+the hidden label is fitted by expectation maximisation, from the lexicon's own vote: each voter's
+accuracy and coverage, and a tree of the voters that depend on each other given the label, in which
+a voter's table is conditional on its parent's vote. Its posterior labels, not the given ones, train
+a linear classifier, which scores whole texts.
 
-Labelled rows serve to find telling words and to start the model; only those whose
+Labelled rows serve to choose voters and for the share of toxic rows; only those whose
 crc32(doc_id as text) mod 5 is not 0 are used, of them at most ``SAMPLE`` of either label (the
-first by a hash of doc_id); the classifier's bias is then shifted to the mix of all of them. Nothing
-but the text is an input of a score.
+first by a hash of doc_id); the classifier's bias is then shifted to the mix of all of them. Without
+rows of both labels the voters are the lexicon and the patterns, the texts those of the first
+2 * ``SAMPLE`` doc_ids by hash, and the share is ``PRIOR``. Nothing but the text is an input of a score.
 
 Defined results: a null text counts as empty and gets the score of a text without evidence; a null
 doc_id is held out; several labels of one doc_id count as toxic if one is; null labels are ignored;
-without any labelled rows the fixed lexicon alone is used. An empty table gives an empty result.
+of rows that share a doc_id one text (the first in their order) is learnt from, and each is scored.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +35,21 @@ from slidemill.session import ship_package
 #: Labelled rows of either label that the model is fitted on.
 SAMPLE = 4000
 FOLDS = 5
+#: Texts that are taken out of an Arrow batch at once.
+TOGETHER = 128
 #: Words found telling, and words the classifier looks at, at most.
 TELLING, VOCABULARY = 300, 600
 #: Common English insults.
 LEXICON = "idiot idiots moron morons stupid loser losers scum trash garbage pathetic worthless disgusting clown imbecile dumb fool vermin pig filth filthy creep freak bastard bitch asshole shit fuck fucking damn cunt whore slut retard hate kill die".split()
 WORD = re.compile(r"[^\W\d_]+")
+#: Share of toxic texts where no labels tell it.
+PRIOR = 0.1
+#: Belief before the data: how often a voter votes on toxic and on other texts, and the texts that this counts for.
+VOTES_TOXIC, VOTES_CLEAN, BELIEF = 0.05, 0.002, 100.0
+#: Twice the evidence (in nats) from which two voters count as dependent given the label.
+SURE = 45.0
+#: Share of a voter's information from which another that holds it counts as much the same.
+ALIKE = 0.9
 #: Letters of a word's beginning that count as a feature of its own, for words longer than that.
 STEM = 5
 SHOUT = re.compile(r"[^\W\d_]{3,}!{2,}")
@@ -83,48 +97,97 @@ def mix_shift(labels: DataFrame, sample: int = SAMPLE) -> float:
 def _features(batches):
     for batch in batches:
         words, patterns = [], []
-        for t in batch.column(1).to_pylist():
+        for t in (t for at in range(0, batch.num_rows, TOGETHER) for t in batch.column(1).slice(at, TOGETHER).to_pylist()):
             found = words_of(t or "")
             words.append(list(found))
             patterns.append([bool(p(t or "", found)) for p in PATTERNS])
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(words, pa.list_(pa.string())), pa.array(patterns, pa.list_(pa.bool_()))], names=["doc_id", "toxic", "words", "patterns"])
 
 
-def label_model(votes: np.ndarray, start: np.ndarray, prior: float, rounds: int = 50) -> tuple[np.ndarray, dict]:
+def dependence(is_: list[np.ndarray], post: np.ndarray) -> np.ndarray:
+    """Mutual information of each two voters' votes given the label, 0 where it may be chance."""
+    n, m = is_[0].shape
+    found = np.zeros((m, m))
+    for w in (post, 1 - post):
+        total = w.sum() + 1e-9
+        alone = [(w @ x + 1e-9) / total for x in is_]
+        for a, x in enumerate(is_):
+            left = (x * w[:, None]).T
+            for b, y in enumerate(is_):
+                both = left @ y / total
+                found += total / n * both * np.log((both + 1e-12) / (alone[a][:, None] * alone[b][None, :] + 1e-12))
+    np.fill_diagonal(found, 0)
+    return np.where(2 * n * found > SURE, found, 0)
+
+
+def shares(is_: list[np.ndarray], strength: np.ndarray, post: np.ndarray) -> np.ndarray:
+    """The dependences as a share of what the less telling of the two votes holds."""
+    entropy = np.zeros(len(strength))
+    for w in (post, 1 - post):
+        spread = [(w @ x + 1e-9) / (w.sum() + 1e-9) for x in is_]
+        entropy -= w.mean() * sum(p * np.log(p) for p in spread)
+    return strength / (np.minimum(entropy[:, None], entropy[None, :]) + 1e-9)
+
+
+def parents(strength: np.ndarray) -> np.ndarray:
+    """The parent of each voter, -1 for none, in the strongest spanning forest of the dependences."""
+    m = len(strength)
+    parent, best, open_ = np.full(m, -1), np.zeros(m), np.ones(m, bool)
+    for _ in range(m):
+        j = int(np.argmax(np.where(open_, best, -1)))
+        open_[j] = False
+        if best[j] <= 0:
+            parent[j] = -1
+        closer = open_ & (strength[j] > best)
+        best[closer], parent[closer] = strength[j][closer], j
+    return parent
+
+
+def label_model(votes: np.ndarray, start: np.ndarray, prior: float, rounds: int = 50, learn: int = 5, belief: float = 0.0) -> tuple[np.ndarray, dict]:
     """Posterior of label 1 for each row of votes (1, 0, or -1 for none), by expectation maximisation.
 
-    Votes are independent given the label but for groups that err together: voters whose residuals
-    correlate by over 0.5 share one vote's weight. ``start`` are first posteriors.
+    P(votes | label) is a product over the voters: of P(vote | label), and from round ``learn`` on of
+    P(vote | label, the parent's vote) for those with a parent; voters that say much the same whatever
+    the label have a parent from the beginning. ``start`` are first posteriors;
+    ``belief`` is the number of texts that VOTES_TOXIC and VOTES_CLEAN stand for beside the given ones. Also
+    gives each voter's accuracy, parent, and weight: one over the number of voters that it stands for,
+    itself and those that depend on it by the share of its information that they hold.
     """
     n, m = votes.shape
-    post, weight, seen = start.astype(float), np.ones(m), votes >= 0
+    value = votes.astype(np.int64) + 1
+    is_ = [(value == k).astype(float) for k in range(3)]
+    post, weight, each = start.astype(float), np.ones(m), np.arange(m)
+    alike = dependence(is_, np.ones(n))
+    alike = np.where(shares(is_, alike, np.ones(n)) > ALIKE, alike, 0)
+    parent = parents(alike)
     for step in range(rounds):
-        p1 = np.empty((m, 3))
-        p0 = np.empty((m, 3))
-        for k, v in enumerate((-1, 0, 1)):
-            is_v = votes == v
-            p1[:, k] = (post @ is_v + 0.1) / (post.sum() + 0.3)
-            p0[:, k] = ((1 - post) @ is_v + 0.1) / ((1 - post).sum() + 0.3)
-        ratio = np.log(p1) - np.log(p0)
-        if step == 2:
-            expected = post[:, None] * p1[:, 2] + (1 - post[:, None]) * p0[:, 2]
-            left = (votes == 1) - expected
-            left /= np.sqrt((left**2).mean(axis=0)) + 1e-9
-            weight = 1 / np.maximum(1, (np.abs(left.T @ left / n) > 0.5).sum(axis=1))
-        logit = np.log(prior / (1 - prior)) + sum(((votes == v) * (ratio[:, k] * weight)).sum(axis=1) for k, v in enumerate((-1, 0, 1)))
+        if step == learn:
+            strength = np.maximum(alike, dependence(is_, post))
+            parent = parents(strength)
+            weight = 1 / (1 + shares(is_, strength, post).sum(axis=1))
+        code = np.where(parent >= 0, value[:, parent], 0) * 3 + value
+        ratio = np.zeros((9, m))
+        for sign, w, often in ((1, post, VOTES_TOXIC), (-1, 1 - post, VOTES_CLEAN)):
+            alone = np.array([(w @ x + 0.1 + belief * b) / (w.sum() + 0.3 + belief) for x, b in zip(is_, (1 - often, 0, often), strict=True)])
+            joint = np.array([w @ (code == k) for k in range(9)]).reshape(3, 3, m)
+            table = (joint + 5 * alone) / (joint.sum(axis=1, keepdims=True) + 5)
+            ratio += sign * np.log(np.where(parent >= 0, table, alone[None])).reshape(9, m)
+        logit = np.log(prior / (1 - prior)) + ratio[code, each].sum(axis=1)
         new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        if np.abs(new - post).max() < 1e-4 and step > 3:
+        if np.abs(new - post).max() < 1e-4 and step > learn:
             post = new
             break
         post = new
-    accuracy = (post @ (votes == 1) + (1 - post) @ (votes == 0) + 0.5) / (seen.sum(axis=0) + 1)
-    return post, {"accuracy": accuracy, "weight": weight}
+    seen = is_[1] + is_[2]
+    accuracy = (post @ is_[2] + (1 - post) @ is_[1] + 0.5) / (seen.sum(axis=0) + 1)
+    return post, {"accuracy": accuracy, "weight": weight, "parent": parent}
 
 
-def logistic(rows: np.ndarray, columns: np.ndarray, shape: tuple[int, int], target: np.ndarray, ridge: float = 0.3, steps: int = 300) -> tuple[np.ndarray, float]:
-    """Weights and bias of a ridge logistic regression on binary features, given as (row, column) places."""
+def logistic(rows: np.ndarray, columns: np.ndarray, shape: tuple[int, int], target: np.ndarray, ridge: float = 0.3, steps: int = 300, center: np.ndarray | float = 0.0) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic regression on binary features, given as (row, column) places;
+    the ridge pulls the weights towards ``center``."""
     n, m = shape
-    w, b = np.zeros(m), 0.0
+    w, b = np.zeros(m) + center, 0.0
     # Nesterov's method, each weight with a step by the curvature that its column can have.
     size = np.bincount(rows, minlength=n) + 1.0
     step = 1 / (0.25 * np.bincount(columns, size[rows], m) + ridge)
@@ -135,12 +198,12 @@ def logistic(rows: np.ndarray, columns: np.ndarray, shape: tuple[int, int], targ
         slope, at = w + push * (w - w_old), b + push * (b - b_old)
         gap = 1 / (1 + np.exp(-np.clip(at + np.bincount(rows, slope[columns], n), -30, 30))) - target
         w_old, b_old = w, b
-        w, b = slope - step * (np.bincount(columns, gap[rows], m) + ridge * slope), at - step_b * gap.sum()
+        w, b = slope - step * (np.bincount(columns, gap[rows], m) + ridge * (slope - center)), at - step_b * gap.sum()
     return w, b
 
 
 class Model:
-    """Words with weights, pattern weights, bias and decision shift."""
+    """Words with weights, pattern weights, and bias."""
 
     def __init__(self, words: dict[str, float], patterns: list[float], bias: float):
         self.words, self.patterns, self.bias = words, patterns, bias
@@ -152,53 +215,65 @@ class Model:
         return float(1 / (1 + np.exp(-min(30.0, max(-30.0, logit)))))
 
 
-def fit(examples: list[tuple[list[str], list[bool], int]]) -> Model:
-    """Voters, label model and classifier from (words, patterns, toxic) of labelled texts."""
-    toxic = np.array([t for *_, t in examples], float)
-    if len(set(toxic)) < 2:
-        return Model(dict.fromkeys(LEXICON, 4.0), [0.0] * len(PATTERNS), -3.0)
+def fit(examples: list[tuple[list[str], list[bool], int | None]]) -> Model:
+    """Voters, label model and classifier from (words, patterns, toxic or None) of texts."""
+    toxic = [t for *_, t in examples if t is not None]
     df: dict[str, list[int]] = {}
     for words, _, t in examples:
         for w in words:
-            df.setdefault(w, [0, 0])[t > 0] += 1
-    n1, n0 = toxic.sum(), (1 - toxic).sum()
-    odds = {w: np.log((b + 0.5) / (n1 + 1)) - np.log((a + 0.5) / (n0 + 1)) for w, (a, b) in df.items() if a + b >= 5}
-    telling = sorted((w for w, x in odds.items() if x > 3), key=lambda w: (-odds[w] * df[w][1], w))[:TELLING]
-    voters = list(dict.fromkeys([w for w in LEXICON if sum(df.get(w, (0, 0))) >= 5] + telling))
+            df.setdefault(w, [0, 0])[(t or 0) > 0] += 1
+    n1 = sum(t > 0 for t in toxic)
+    n0 = len(toxic) - n1
+    told = n1 and n0
+    telling = []
+    if told:
+        odds = {w: np.log((b + 0.5) / (n1 + 1)) - np.log((a + 0.5) / (n0 + 1)) for w, (a, b) in df.items() if a + b >= 5}
+        telling = sorted((w for w, x in odds.items() if x > 3), key=lambda w: (-odds[w] * df[w][1], w))[:TELLING]
+    voters = list(dict.fromkeys([w for w in LEXICON if not told or sum(df.get(w, (0, 0))) >= 5] + telling))
     at = {w: i for i, w in enumerate(voters)}
-    m = len(voters)
-    votes = np.full((len(examples), m + len(PATTERNS) + 3), -1, np.int8)
-    votes[:, -1] = toxic  # the given label is one more voter, whose accuracy is estimated like the others'
+    m, n = len(voters), len(examples)
+    weight = float(np.log(VOTES_TOXIC / VOTES_CLEAN))
+    if not n:
+        return Model(dict.fromkeys(LEXICON, weight), [0.0] * len(PATTERNS), float(np.log(PRIOR / (1 - PRIOR))))
+    votes = np.full((n, m + len(PATTERNS)), -1, np.int8)
     for r, (words, patterns, _) in enumerate(examples):
-        own = [at[w] for w in words if w in at]
-        votes[r, own] = 1
-        votes[r, m : m + len(PATTERNS)] = np.where(patterns, 1, -1)
-        votes[r, m + len(PATTERNS)] = 0 if not own else -1  # no insult at all: clean
-        votes[r, m + len(PATTERNS) + 1] = 1 if len(own) >= 2 else -1  # several: toxic
-    start = np.clip(toxic, 0.05, 0.95)
-    posterior, _ = label_model(votes, start, n1 / (n1 + n0))
-    seen = sorted(df, key=lambda w: (-abs(odds.get(w, 0)) * sum(df[w]), w))[:VOCABULARY]
-    names = list(dict.fromkeys(voters + [w for w in seen if w in odds]))
+        votes[r, [at[w] for w in words if w in at]] = 1
+        votes[r, m:] = np.where(patterns, 1, -1)
+    start = np.where((votes[:, :m] == 1).any(axis=1), 0.95, 0.02)
+    posterior, _ = label_model(votes, start, n1 / len(toxic) if told else PRIOR, belief=BELIEF)
+    # The classifier's words: those whose counts differ most between the posterior labels.
+    mass: dict[str, float] = {}
+    for (words, _, _), p in zip(examples, posterior, strict=True):
+        for w in words:
+            mass[w] = mass.get(w, 0.0) + p
+    whole = posterior.sum()
+    gap = {w: abs(np.log((b + 0.5) / (whole + 1)) - np.log((sum(df[w]) - b + 0.5) / (n - whole + 1))) * sum(df[w]) for w, b in mass.items() if sum(df[w]) >= 5}
+    seen = sorted(gap, key=lambda w: (-gap[w], w))[:VOCABULARY]
+    names = list(dict.fromkeys(voters + LEXICON + seen))
     col = {w: i for i, w in enumerate(names)}
     places = [(r, col[w]) for r, (words, _, _) in enumerate(examples) for w in words if w in col]
     places += [(r, len(names) + k) for r, (_, patterns, _) in enumerate(examples) for k, p in enumerate(patterns) if p]
     rows, columns = np.array(places, np.int64).reshape(-1, 2).T
-    w, b = logistic(rows, columns, (len(examples), len(names) + len(PATTERNS)), posterior)
+    center = np.array([weight if x in LEXICON else 0.0 for x in names] + [0.0] * len(PATTERNS))
+    w, b = logistic(rows, columns, (n, len(names) + len(PATTERNS)), posterior, center=center)
     return Model({x: float(w[i]) for x, i in col.items() if abs(w[i]) > 1e-3}, [float(x) for x in w[len(names) :]], float(b))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fits the model; the driver gets the distinct words of at most 2 * ``sample`` texts."""
     ship_package(docs.sparkSession)
-    wanted = sample_labels(labels, sample).select(F.col("doc_id").alias("__id"), F.col("toxic").alias("__toxic"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(wanted), F.col("doc_id") == F.col("__id"))
-    found = texts.select("doc_id", "text", "__toxic").mapInArrow(_features, "doc_id long, toxic int, words array<string>, patterns array<boolean>")
-    model = fit([(sorted(r.words), list(r.patterns), r.toxic) for r in sorted(found.toLocalIterator(), key=lambda r: (r.doc_id, r.toxic, sorted(r.words)))][: 4 * sample])
+    wanted = sample_labels(labels, sample)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id IS NOT NULL")
+    if wanted.select("toxic").distinct().count() < 2:
+        wanted = texts.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * sample).withColumn("toxic", F.lit(None).cast("int"))
+    own = texts.join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    found = own.select("doc_id", "text", "toxic").mapInArrow(_features, "doc_id long, toxic int, words array<string>, patterns array<boolean>")
+    model = fit([(sorted(r.words), list(r.patterns), r.toxic) for r in sorted(found.toLocalIterator(), key=lambda r: r.doc_id)])
     model.bias += mix_shift(labels, sample)
     return model
 
 
-def _some(batches, rows: int = 256):
+def _some(batches, rows: int = TOGETHER):
     """Arrow batches a few rows at a time, so that few texts are Python strings at once."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
@@ -221,15 +296,15 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(_scores(model), "doc_id long, score double").select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
-def _clean(model: Model):
-    def run(batches):
-        for part in _some(batches):
-            text = part.column(part.schema.get_field_index("text")).to_pylist()
-            yield part.filter(pa.array([model.score(t or "") < 0.5 for t in text], pa.bool_()))
+def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The documents that aren't predicted toxic, with all their columns, in one pass.
 
-    return run
+    Only texts go to Python, and only a verdict comes back."""
+    model = train(docs, labels, sample)
 
+    @F.arrow_udf("boolean")
+    def clean(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in texts:
+            yield pa.array([model.score(t or "") < 0.5 for at in range(0, len(batch), TOGETHER) for t in batch.slice(at, TOGETHER).to_pylist()], pa.bool_())
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The documents that aren't predicted toxic, with all their columns, in one pass."""
-    return docs.mapInArrow(_clean(train(docs, labels, sample)), docs.schema)
+    return docs.where(clean(F.col("text").cast("string")))

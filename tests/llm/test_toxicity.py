@@ -83,3 +83,76 @@ def test_bias_follows_the_mix_of_all_labelled_rows(spark):
     assert X.mix_shift(labels) == 0
     # The texts say nothing, so scores are near the share of toxic rows, also from a sample of 50:50.
     assert X.train(docs, labels, 50).score("word1 plain text") < 0.3
+
+
+def test_label_model_against_loops():
+    """The same expectation maximisation, a vote at a time, without and with a dependent voter."""
+    rng = np.random.default_rng(8)
+    truth = rng.random(300) < 0.3
+    votes = np.where(rng.random((300, 3)) < 0.85, truth[:, None], ~truth[:, None]).astype(int)
+    votes[rng.random(votes.shape) < 0.3] = -1
+    votes = np.column_stack([votes, votes[:, 2]])
+    start = np.where((votes == 1).sum(axis=1) >= 2, 0.9, 0.1)
+    fast, found = X.label_model(votes.astype(np.int8), start, 0.3, rounds=9, learn=3)
+    parent = found["parent"]
+    assert [int(p) for p in parent[:2]] == [-1, -1] and {int(parent[2]), int(parent[3])} in ({-1, 2}, {-1, 3})
+    post = list(start)
+    for _ in range(9):
+        tree = parent  # the copy has its parent from the beginning, and no other dependence is found
+        table = {}
+        for y in (1, 0):
+            w = [p if y else 1 - p for p in post]
+            for j in range(4):
+                alone = {b: (sum(x for x, v in zip(w, votes) if v[j] == b) + 0.1) / (sum(w) + 0.3) for b in (-1, 0, 1)}
+                for a in (-1, 0, 1):
+                    group = [(x, v) for x, v in zip(w, votes) if tree[j] >= 0 and v[tree[j]] == a]
+                    for b in (-1, 0, 1):
+                        both = sum(x for x, v in group if v[j] == b)
+                        table[y, j, a, b] = (both + 5 * alone[b]) / (sum(x for x, _ in group) + 5) if tree[j] >= 0 else alone[b]
+        new = []
+        for v in votes:
+            p1, p0 = 0.3, 0.7
+            for j in range(4):
+                a = v[tree[j]] if tree[j] >= 0 else -1
+                p1, p0 = p1 * table[1, j, a, v[j]], p0 * table[0, j, a, v[j]]
+            new.append(p1 / (p1 + p0))
+        post = new
+    assert np.abs(np.array(post) - fast).max() < 1e-3
+
+
+def test_scores_against_sums(docs_of, spark):
+    """Each score is the logistic of bias and weights of what the text holds, whole texts and repeated rows too."""
+    rows, labels = corpus(300)
+    rows += [(7, rows[7][1]), (7, "zarg " * 3), (9001, "the river " * 100_000 + "zarg blint snorb"), (9002, "")]
+    docs = docs_of(rows)
+    model = X.train(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = sorted((r.doc_id, round(r.score, 9)) for r in X.score(docs, model).collect())
+    want = []
+    for i, t in rows:
+        words = X.WORD.findall(t.lower())
+        stems = [w[:5] for w in words if len(w) > 5]
+        held = {*words, *("^" + x for x in stems), *("^^" + x for x in stems if stems.count(x) > 1)} if len(words) < 1000 else {"the", "river", "zarg", "blint", "snorb"}
+        logit = model.bias + sum(model.words.get(w, 0) for w in held) + sum(x for x, p in zip(model.patterns, X.PATTERNS) if p(t, held))
+        want.append((i, round(1 / (1 + np.exp(-logit)), 9)))
+    assert got == sorted(want)
+    assert dict(got)[9001] > dict(got)[9002]
+
+
+def test_given_labels_do_not_vote():
+    """Two texts alike but for their label have one posterior, and so the classifier one score."""
+    rng = random.Random(3)
+    texts = [[*rng.sample(CLEAN, 6), *(rng.sample(RUDE, 2) if i % 3 == 0 else [])] for i in range(600)]
+    right = [(sorted(t), [False] * 3, int(i % 3 == 0)) for i, t in enumerate(texts)]
+    wrong = [(w, p, 1 if i % 40 == 1 else t) for i, (w, p, t) in enumerate(right)]
+    model = X.fit(wrong)
+    scores = [model.score(" ".join(t)) for t in texts]
+    assert [x >= 0.5 for x in scores] == [t == 1 for *_, t in right]
+    assert max(x for x, (*_, t) in zip(scores, right, strict=True) if not t) < 0.2
+
+
+def test_one_doc_id_of_many_rows(docs_of, spark):
+    rows, labels = corpus(200)
+    docs = docs_of(rows + [(1, f"the garden {i}") for i in range(500)])
+    frame = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    out = X.score(docs, X.train(docs, frame, 40)).collect()
+    assert len(out) == 700 and not any(r.predicted for r in out if r.doc_id == 1)
