@@ -90,3 +90,34 @@ def test_drop_repeats(docs_of, odd_rows):
 def test_empty_table(docs_of):
     none = docs_of([(1, "a")]).where("doc_id < 0")
     assert R.repeats(none).collect() == R.drop_repeats(none).collect() == []
+
+
+def test_hot_triggers_in_lanes(docs_of):
+    """A passage at whose end very many different texts follow, dealt out from the start, and in tasks of three."""
+    rng = random.Random(9)
+    passage = "the same words in each of these texts, again and again and again. "
+    rows = [(i, passage + "".join(rng.choice("abcd ") for _ in range(60))) for i in range(300)]
+    for crowd, hot in ((R.CROWD, 5), (3, R.HOT), (3, 5)):
+        out = R.repeats(docs_of(rows), 20, 6, crowd, hot).collect()
+        assert sorted(map(tuple, out), key=str) == brute(rows, 20)
+
+
+def test_second_parse_is_prefix_free():
+    rng = random.Random(6)
+    data = bytes(rng.choice(b"ab\x00") for _ in range(3000)) + bytes(40) + b"a" * 200
+    raw = data + bytes(R.WINDOW)
+    words = R._words(np.frombuffer(raw + bytes(7), np.uint8), len(raw))
+    begins, names, places = R.second_parse(raw, words, len(data))
+    assert names == sorted(set(names))
+    whole = b"".join(names[p][: -R.WINDOW] for p in places) + bytes(R.WINDOW)
+    assert whole == raw and len(begins) == len(places)
+    tails = sorted({x[i:] for x in names for i in range(len(x) - R.WINDOW)})
+    assert not any(b != a and b.startswith(a) for a, b in zip(tails, tails[1:], strict=False))
+
+
+def test_clashing_names(spark):
+    rows = [(1, "é" * 80, 1, "a", 2, 3), (2, "x" + "é" * 80 + "y", 4, "b", 5, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key long, spans string, of long, __key long")
+    out = R.drop_repeats(docs)
+    assert out.columns == docs.columns
+    assert {tuple(r)[2:] for r in out.collect()} == {r[2:] for r in rows}
