@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -11,6 +12,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+#: Bytes of an Arrow batch: rows with long texts come some at a time, short ones many. Set once, unless the application sets it.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+_scratch: list[str] = []
 
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: str = "slidemill") -> SparkSession:
@@ -44,31 +48,53 @@ def ship_package(spark: SparkSession) -> None:
         for p in sorted(root.rglob("*.py")):
             z.write(p, f"slidemill/{p.relative_to(root)}")
     spark.sparkContext.addPyFile(str(archive))
+    if not spark.sparkContext.getConf().contains(BATCH):
+        spark.conf.set(BATCH, "8m")
     _shipped.add(app)
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (a single machine, tests) is a temporary folder made and set.
+    Only where that is unset on a single machine (a local master, as in tests) is a temporary folder
+    made and set; elsewhere its absence is an error.
     """
     conf = spark.sparkContext.getConf()
     path = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="slidemill-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path under the shared folder, deleted when the application's JVM ends."""
+    """A fresh path under the shared folder, deleted by ``release`` or when the application's JVM ends."""
     path = f"{shared_dir(spark)}/slidemill-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex[:12]}"
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    _scratch.append(path)
     return path
 
 
+def scratch_mark() -> int:
+    """A point in time for ``release``."""
+    return len(_scratch)
+
+
+def release(spark: SparkSession, since: int, keep: DataFrame) -> None:
+    """Deletes the scratch copies made since a mark, but for those that ``keep`` reads."""
+    read = set(keep.inputFiles())
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _scratch[since:]:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        if not any(f"/{path.rpartition('/')[2]}/" in f for f in read):
+            where.getFileSystem(conf).delete(where, True)
+            _scratch.remove(path)
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Cuts lineage: writes ``df`` as Parquet under the shared folder and reads it back.
 
