@@ -39,6 +39,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -183,7 +184,7 @@ def _parse(buckets: int, length: int, trigger: int, hot: int):
     and 1 those that are known to be repeats. A phrase of no strings tells a trigger's part that it is hot."""
 
     def run(batches):
-        held, size = [], 0
+        held, size, turn = [], 0, TaskContext.get().partitionId()
 
         def dealt(found, lane, kind):
             to = (_mix(found["trigger"] + lane.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
@@ -201,7 +202,7 @@ def _parse(buckets: int, length: int, trigger: int, hot: int):
             plain = np.concatenate([first[~laned], marks])
             rows = dealt(plain, np.zeros(len(plain), np.int64), 0) + dealt(first[laned], lanes_of(first[laned]), 2)
             if len(others):
-                rows.append((int(others["trigger"][0] % np.uint64(buckets)), 1, pack(others, SPAN)))
+                rows.append((turn % buckets, 1, pack(others, SPAN)))
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["bucket", "kind", "data"])
 
         for batch in batches:
@@ -213,7 +214,7 @@ def _parse(buckets: int, length: int, trigger: int, hot: int):
                     size += len(found)
                 if size > HELD:
                     yield flush()
-                    held, size = [], 0
+                    held, size, turn = [], 0, turn + 1
         if held:
             yield flush()
 
