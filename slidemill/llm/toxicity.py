@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -95,13 +95,14 @@ def mix_shift(labels: DataFrame, sample: int = SAMPLE) -> float:
 
 
 def _features(batches):
+    """The words of each text, joined by spaces, and what its patterns say."""
     for batch in batches:
         words, patterns = [], []
         for t in (t for at in range(0, batch.num_rows, TOGETHER) for t in batch.column(1).slice(at, TOGETHER).to_pylist()):
             found = words_of(t or "")
-            words.append(list(found))
+            words.append(" ".join(sorted(found)))
             patterns.append([bool(p(t or "", found)) for p in PATTERNS])
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(words, pa.list_(pa.string())), pa.array(patterns, pa.list_(pa.bool_()))], names=["doc_id", "toxic", "words", "patterns"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(words, pa.string()), pa.array(patterns, pa.list_(pa.bool_()))], names=["doc_id", "toxic", "words", "patterns"])
 
 
 def dependence(is_: list[np.ndarray], post: np.ndarray) -> np.ndarray:
@@ -215,48 +216,56 @@ class Model:
         return float(1 / (1 + np.exp(-min(30.0, max(-30.0, logit)))))
 
 
-def fit(examples: list[tuple[list[str], list[bool], int | None]]) -> Model:
+def fit(examples: Iterable[tuple[list[str], list[bool], int | None]]) -> Model:
     """Voters, label model and classifier from (words, patterns, toxic or None) of texts."""
-    toxic = [t for *_, t in examples if t is not None]
-    df: dict[str, list[int]] = {}
-    for words, _, t in examples:
-        for w in words:
-            df.setdefault(w, [0, 0])[(t or 0) > 0] += 1
-    n1 = sum(t > 0 for t in toxic)
-    n0 = len(toxic) - n1
-    told = n1 and n0
-    telling = []
-    if told:
-        odds = {w: np.log((b + 0.5) / (n1 + 1)) - np.log((a + 0.5) / (n0 + 1)) for w, (a, b) in df.items() if a + b >= 5}
-        telling = sorted((w for w, x in odds.items() if x > 3), key=lambda w: (-odds[w] * df[w][1], w))[:TELLING]
-    voters = list(dict.fromkeys([w for w in LEXICON if not told or sum(df.get(w, (0, 0))) >= 5] + telling))
-    at = {w: i for i, w in enumerate(voters)}
-    m, n = len(voters), len(examples)
     weight = float(np.log(VOTES_TOXIC / VOTES_CLEAN))
-    if not n:
+    number: dict[str, int] = {}
+    held, patterns, toxic = [], [], []
+    for words, own, t in examples:  # each distinct word is held once, texts as numbers
+        held.append(np.array([number.setdefault(w, len(number)) for w in words], np.int32))
+        patterns.append(own)
+        toxic.append(t)
+    if not held:
         return Model(dict.fromkeys(LEXICON, weight), [0.0] * len(PATTERNS), float(np.log(PRIOR / (1 - PRIOR))))
+    for w in LEXICON:
+        number.setdefault(w, len(number))
+    names, n = list(number), len(held)
+    row, word = np.repeat(np.arange(n, dtype=np.int32), [len(x) for x in held]), np.concatenate(held)
+    del held
+    patterns = np.array(patterns, bool).reshape(n, len(PATTERNS))
+    known = np.array([t is not None for t in toxic])
+    label = np.array([(t or 0) > 0 for t in toxic])
+    often = np.bincount(word, minlength=len(names))
+    n1 = int(label.sum())
+    n0 = int(known.sum()) - n1
+    told, voters = n1 > 0 and n0 > 0, [number[w] for w in LEXICON]
+    if told:
+        b = np.bincount(word, label[row], len(names))
+        odds = np.where(often >= 5, np.log((b + 0.5) / (n1 + 1)) - np.log((often - b + 0.5) / (n0 + 1)), 0)
+        telling = sorted(np.flatnonzero(odds > 3).tolist(), key=lambda i: (-odds[i] * b[i], names[i]))[:TELLING]
+        voters = list(dict.fromkeys([i for i in voters if often[i] >= 5] + telling))
+    m = len(voters)
+    at = np.full(len(names), -1)
+    at[voters] = np.arange(m)
+    mine = at[word] >= 0
     votes = np.full((n, m + len(PATTERNS)), -1, np.int8)
-    for r, (words, patterns, _) in enumerate(examples):
-        votes[r, [at[w] for w in words if w in at]] = 1
-        votes[r, m:] = np.where(patterns, 1, -1)
+    votes[row[mine], at[word[mine]]] = 1
+    votes[:, m:] = np.where(patterns, 1, -1)
     start = np.where((votes[:, :m] == 1).any(axis=1), 0.95, 0.02)
-    posterior, _ = label_model(votes, start, n1 / len(toxic) if told else PRIOR, belief=BELIEF)
+    posterior, _ = label_model(votes, start, n1 / (n1 + n0) if told else PRIOR, belief=BELIEF)
     # The classifier's words: those whose counts differ most between the posterior labels.
-    mass: dict[str, float] = {}
-    for (words, _, _), p in zip(examples, posterior, strict=True):
-        for w in words:
-            mass[w] = mass.get(w, 0.0) + p
-    whole = posterior.sum()
-    gap = {w: abs(np.log((b + 0.5) / (whole + 1)) - np.log((sum(df[w]) - b + 0.5) / (n - whole + 1))) * sum(df[w]) for w, b in mass.items() if sum(df[w]) >= 5}
-    seen = sorted(gap, key=lambda w: (-gap[w], w))[:VOCABULARY]
-    names = list(dict.fromkeys(voters + LEXICON + seen))
-    col = {w: i for i, w in enumerate(names)}
-    places = [(r, col[w]) for r, (words, _, _) in enumerate(examples) for w in words if w in col]
-    places += [(r, len(names) + k) for r, (_, patterns, _) in enumerate(examples) for k, p in enumerate(patterns) if p]
-    rows, columns = np.array(places, np.int64).reshape(-1, 2).T
-    center = np.array([weight if x in LEXICON else 0.0 for x in names] + [0.0] * len(PATTERNS))
-    w, b = logistic(rows, columns, (n, len(names) + len(PATTERNS)), posterior, center=center)
-    return Model({x: float(w[i]) for x, i in col.items() if abs(w[i]) > 1e-3}, [float(x) for x in w[len(names) :]], float(b))
+    mass, whole = np.bincount(word, posterior[row], len(names)), posterior.sum()
+    gap = np.where(often >= 5, np.abs(np.log((mass + 0.5) / (whole + 1)) - np.log((often - mass + 0.5) / (n - whole + 1))) * often, 0)
+    seen = sorted(np.flatnonzero(gap > 0).tolist(), key=lambda i: (-gap[i], names[i]))[:VOCABULARY]
+    chosen = list(dict.fromkeys(voters + [number[w] for w in LEXICON] + seen))
+    at[:] = -1
+    at[chosen] = np.arange(len(chosen))
+    mine = at[word] >= 0
+    marked, kind = np.nonzero(patterns)
+    rows, columns = np.concatenate([row[mine], marked]), np.concatenate([at[word[mine]], len(chosen) + kind])
+    center = np.array([weight if names[i] in LEXICON else 0.0 for i in chosen] + [0.0] * len(PATTERNS))
+    w, b = logistic(rows, columns, (n, len(center)), posterior, center=center)
+    return Model({names[i]: float(x) for i, x in zip(chosen, w, strict=False) if abs(x) > 1e-3}, [float(x) for x in w[len(chosen) :]], float(b))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -267,8 +276,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     if wanted.select("toxic").distinct().count() < 2:
         wanted = texts.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * sample).withColumn("toxic", F.lit(None).cast("int"))
     own = texts.join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    found = own.select("doc_id", "text", "toxic").mapInArrow(_features, "doc_id long, toxic int, words array<string>, patterns array<boolean>")
-    model = fit([(sorted(r.words), list(r.patterns), r.toxic) for r in sorted(found.toLocalIterator(), key=lambda r: r.doc_id)])
+    found = own.select("doc_id", "text", "toxic").mapInArrow(_features, "doc_id long, toxic int, words string, patterns array<boolean>")
+    model = fit((r.words.split(), list(r.patterns), r.toxic) for r in found.orderBy("doc_id").toLocalIterator())
     model.bias += mix_shift(labels, sample)
     return model
 
