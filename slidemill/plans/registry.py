@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from slidemill.plans import metadata_queries, pixel_queries, tile_queries
+from slidemill.plans import container_queries, metadata_queries, pixel_queries, tile_queries
 
-PACKS = (tile_queries, metadata_queries, pixel_queries)
+PACKS = (tile_queries, metadata_queries, pixel_queries, container_queries)
 
 
 def flagship(spark, sf_dir):
