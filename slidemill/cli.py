@@ -1,4 +1,4 @@
-"""Command line: ``python -m slidemill.cli PATH [--output-dir DIR] [--quality N] [--overwrite] [--info]``."""
+"""Command line: ``python -m slidemill.cli PATH [--output-dir DIR | -o FILE] [--quality N] [--overwrite] [--info]``."""
 
 from __future__ import annotations
 
@@ -36,6 +36,8 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="slidemill", description="Converts whole-slide images to pyramidal TIFFs.")
     p.add_argument("path", help="a slide, a folder or a glob")
     p.add_argument("--output-dir", help="where outputs go; beside each input if it isn't given")
+    p.add_argument("-o", "--output", help="the output file, for a single input")
+    p.add_argument("--keep-folders", action="store_true", help="below the output folder, keep the folders of the inputs")
     p.add_argument("--quality", type=int, help="1 to 100; the source's if it isn't given")
     p.add_argument("--overwrite", action="store_true", help="replace outputs that are there")
     p.add_argument("--skip-associated", action="store_true", help="leave label and macro images out")
@@ -50,6 +52,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     args = parser().parse_args(argv)
     try:
         check_quality(args.quality)
+        if args.output and args.output_dir:
+            raise ValueError("either an output file or an output folder")
         if args.format != "auto":
             readers = {e: r for _, e, _, r in FORMATS}
             if other := [p for p in slide_source.list_files(args.path) if readers[extension_of(p)] != args.format]:
@@ -58,7 +62,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if args.info:
             print("\n".join(info(spark, args.path)))
             return 0
-        rows = convert(spark, args.path, args.output_dir, args.quality, args.overwrite, not args.skip_associated, args.bigtiff).orderBy("path").collect()
+        rows = convert(spark, args.path, args.output_dir, args.quality, args.overwrite, not args.skip_associated, args.bigtiff, args.output, args.keep_folders).orderBy("path").collect()
     except (ValueError, OSError) as e:
         print(f"Error: {e}", file=sys.stderr)
         return 1

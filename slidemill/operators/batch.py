@@ -12,8 +12,11 @@ def output_name(path: Column) -> Column:
     return F.concat(F.regexp_replace(F.regexp_extract(path, "([^/]+)$", 1), r"(.)\.[^.]*$", "$1"), F.lit(".svs"))
 
 
-def output_path(path: Column, folder: str | None = None) -> Column:
-    """In ``folder``, or beside the input."""
+def output_path(path: Column, folder: str | None = None, root: str | None = None) -> Column:
+    """In ``folder``, or beside the input; with a ``root`` in the folder's like of the input's place below it."""
+    if folder and root:
+        below = F.when(path.startswith(root), F.regexp_extract(F.substring(path, F.lit(len(root) + 1), F.length(path)), "^(.*/)?", 0)).otherwise("")
+        return F.concat(F.lit(folder.rstrip("/") + "/"), below, output_name(path))
     return F.concat(F.lit(folder.rstrip("/") + "/") if folder else F.regexp_extract(path, "^(.*/)?", 0), output_name(path))
 
 
@@ -28,8 +31,9 @@ def numbered_outputs(jobs: DataFrame, output: str, order: str) -> DataFrame:
 
 
 def _reserve(pdf: pd.DataFrame) -> pd.DataFrame:
-    taken, out, following = set(), [], {}
-    for path in pdf.sort_values("ord")["output"]:
+    taken, out, following = {n.lower() for n in pdf["output"][pdf["fixed"]]}, [], {}
+    pdf = pdf.sort_values(["fixed", "ord"])
+    for path in pdf["output"][~pdf["fixed"]]:
         name, stem = path, path.rpartition(".")[0]
         number = following.get(path.lower(), 2)
         while name.lower() in taken:
@@ -37,15 +41,19 @@ def _reserve(pdf: pd.DataFrame) -> pd.DataFrame:
         following[path.lower()] = number
         taken.add(name.lower())
         out.append(name)
-    return pdf.sort_values("ord").assign(unique=out)
+    return pdf.assign(unique=out + pdf["output"][pdf["fixed"]].tolist())
 
 
-def reserved_outputs(jobs: DataFrame, output: str, order: str) -> DataFrame:
+def reserved_outputs(jobs: DataFrame, output: str, order: str, taken: DataFrame | None = None) -> DataFrame:
     """As ``numbered_outputs``, but in sequence, so that sample_2 meeting a numbered sample_2 becomes
-    sample_2_2. Names collide only within the root before any trailing _numbers, which is the group."""
-    root = F.regexp_replace(F.lower(F.regexp_replace(output, r"\.[^./]*$", "")), r"(_\d+)+$", "")
-    grouped = jobs.withColumns({"output": F.col(output), "ord": F.col(order).cast("long"), "root": root}).select("root", "ord", "output")
-    return grouped.groupBy("root").applyInPandas(_reserve, "root string, ord long, output string, unique string").drop("root")
+    sample_2_2; names of ``taken`` (output) are avoided. Names collide only within the root before any
+    trailing _numbers, which is the group."""
+    root = F.regexp_replace(F.lower(F.regexp_replace("output", r"\.[^./]*$", "")), r"(_\d+)+$", "")
+    rows = jobs.select(F.col(order).alias("ord"), F.col(output).alias("output"), F.lit(False).alias("fixed"))
+    kind = rows.schema["ord"].dataType.simpleString()
+    if taken is not None:
+        rows = rows.unionByName(taken.select(F.lit(None).cast(kind).alias("ord"), "output", F.lit(True).alias("fixed")))
+    return rows.withColumn("root", root).groupBy("root").applyInPandas(_reserve, f"ord {kind}, output string, fixed boolean, root string, unique string").where("NOT fixed").drop("root", "fixed")
 
 
 def add_paths(queue: DataFrame, paths: DataFrame) -> DataFrame:

@@ -157,7 +157,7 @@ def convert_states(spark, sf_dir):
     """What becomes of a folder of slides of every format and damaged ones: state and output below the folder."""
     folder = written(spark, R.table(spark, sf_dir, "nation").select("n_nationkey"), ("sdpc", "tiff", "csp", "kfb"), cut=True)
     out = scratch_path(spark, "converted")
-    done = convert(spark, folder, out, 80)
+    done = convert(spark, folder, out, 80, mirror=True)
     key = F.regexp_extract("path", KEY, 1).cast("long").alias("n_nationkey")
     return done.select(F.regexp_extract("path", "([a-z]+)/[^/]+$", 1).alias("folder"), key, "state", F.regexp_replace("output", f"^{local_path(out)}/|^{out}/", "").alias("output"))
 

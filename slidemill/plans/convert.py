@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import json
 import os
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from slidemill.functions import codec
 from slidemill.functions.text import description
 from slidemill.operators import batch, compose
-from slidemill.session import local_path, materialise
+from slidemill.session import local_path, materialise, scratch_path
 from slidemill.sources import slide_source
 from slidemill.sources.svs_sink import SCHEMA, write_svs
 
@@ -23,25 +26,49 @@ def check_quality(quality: int | None) -> int | None:
     return quality
 
 
-def outputs(slides: DataFrame, folder: str | None) -> DataFrame:
-    """(path, output): in the folder, or beside the input; numbered where names repeat."""
-    named = slides.select("path", batch.output_path(F.col("path"), folder).alias("name"))
-    return batch.numbered_outputs(named, "name", "path").select("path", F.col("unique").alias("output"))
+def root_of(path: str) -> str:
+    """The folder that a folder's or glob's slides lie below, with a slash at its end."""
+    return path.partition("*")[0].rpartition("/")[0] + "/" if "*" in path else path.rstrip("/") + "/"
 
 
-def pages(spark: SparkSession, path: str, folder: str | None = None, quality: int | None = None, overwrite: bool = False, associated: bool = True) -> DataFrame:
-    """The rows that the sink writes, and an ``error`` column.
+def outputs(slides: DataFrame, folder: str | None, root: str | None = None, taken: DataFrame | None = None) -> DataFrame:
+    """(path, output): in the folder, below it as the input lies below ``root``, or beside the input;
+    numbered where names repeat, so that no two are equal and none is one of ``taken``."""
+    named = slides.select("path", batch.output_path(F.col("path"), folder, root).alias("name"))
+    return batch.reserved_outputs(named, "name", "path", taken).select(F.col("ord").alias("path"), F.col("unique").alias("output"))
+
+
+@F.pandas_udf(BooleanType())
+def is_there(path: pd.Series) -> pd.Series:
+    """Whether an output on a mounted file system exists."""
+    return pd.Series([bool((p := local_path(x)) and os.path.exists(p)) for x in path])
+
+
+def planned(spark: SparkSession, path: str | list[str], folder: str | None = None, output: str | None = None, overwrite: bool = False, mirror: bool = False, taken: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """All relations of the slides at a path, each container parsed once, and (path, output, there)."""
+    slide_source.register(spark)
+    where = {"paths": json.dumps(path)} if isinstance(path, list) else {}
+    read = spark.read.format("slide").options(relation="all", **where)
+    parsed = materialise(read.load() if where else read.load(path), "parsed")
+    slides = parsed.where("relation = 'slides'").select("path")
+    if output is not None:
+        if slides.count() + parsed.where("relation = 'errors'").count() != 1:
+            raise ValueError("an output file is for one input only; name a folder for several")
+        plan = slides.select("path", F.lit(output).alias("output"))
+    else:
+        plan = outputs(slides, folder, root_of(path) if mirror and not isinstance(path, list) else None, taken)
+    there = F.lit(False) if overwrite else is_there("output")
+    return parsed, materialise(plan.withColumn("there", there), "outputs")
+
+
+def pages(spark: SparkSession, parsed: DataFrame, plan: DataFrame, quality: int | None = None, associated: bool = True) -> DataFrame:
+    """The rows that the sink writes for the slides of a plan (path, output), and an ``error`` column.
 
     Page order: level 0, thumbnail, further levels, embedded images.
     """
     check_quality(quality)
-    slide_source.register(spark)
-    read = lambda r: slide_source.read_slides(spark, path, r, mode="permissive")
-    slides = materialise(read("slides"), "slides")
-    plan = materialise(outputs(slides, folder), "outputs")
-    if not overwrite:
-        there = [r["path"] for r in plan.collect() if (p := local_path(r["output"])) and os.path.exists(p)]  # a row a slide
-        plan = plan.where(~F.col("path").isin(there)) if there else plan
+    read = lambda r: parsed.where(F.col("relation") == r).select(*slide_source.columns_of(r))
+    slides = read("slides")
     slides = slides.join(plan.select("path"), "path", "left_semi")
     own = plan.select("path")
     files = read("files").join(own, "path", "left_semi").select("path", F.col("file"), "base")
@@ -79,17 +106,24 @@ def pages(spark: SparkSession, path: str, folder: str | None = None, quality: in
     return rows.join(plan, "path")
 
 
-def convert(spark: SparkSession, path: str, folder: str | None = None, quality: int | None = None, overwrite: bool = False, associated: bool = True, bigtiff: str = "auto") -> DataFrame:
-    """Converts all slides at a path; (path, output, state, message) of each: Done, Skipped or Failed.
+def convert(spark: SparkSession, path: str | list[str], folder: str | None = None, quality: int | None = None, overwrite: bool = False, associated: bool = True, bigtiff: str = "auto", output: str | None = None, mirror: bool = False, taken: DataFrame | None = None) -> DataFrame:
+    """Converts all slides at a path (a file, folder, glob, or list of files); (path, output, state,
+    message) of each: Done, Skipped or Failed.
 
-    A slide that fails keeps no other from being written.
+    A slide that fails, in reading, encoding or writing, keeps no other from being written. With
+    ``mirror`` the folders below the path are kept; ``output`` names the file for a single input;
+    names of ``taken`` (output) aren't used.
     """
-    rows = pages(spark, path, folder, quality, overwrite, associated)
+    check_quality(quality)
+    parsed, plan = planned(spark, path, folder, output, overwrite, mirror, taken)
+    rows = pages(spark, parsed, plan.where("NOT there").select("path", "output"), quality, associated)
     faults = materialise(rows.where("error IS NOT NULL").groupBy("path").agg(F.min("error").alias("message")), "faults")
     good = rows.join(faults, "path", "left_anti")
-    write_svs(good.select(*[c.split()[0] for c in SCHEMA.split(", ")]), bigtiff=bigtiff)
-    slides = slide_source.read_slides(spark, path, "slides", mode="permissive")
-    unread = slide_source.read_slides(spark, path, "errors")
-    planned = outputs(slides, folder).join(good.select("path").distinct().withColumn("done", F.lit(True)), "path", "left").join(faults, "path", "left")
-    state = F.when(F.col("message").isNotNull(), "Failed").when(F.col("done"), "Done").otherwise("Skipped")
-    return planned.select("path", "output", state.alias("state"), "message").unionByName(unread.select("path", F.lit(None).cast("string").alias("output"), F.lit("Failed").alias("state"), "message"))
+    failures = local_path(scratch_path(spark, "failures"))
+    write_svs(good.select(*[c.split()[0] for c in SCHEMA.split(", ")]), bigtiff=bigtiff, failures=f"{failures}/failures.json")
+    unwritten = spark.read.schema("output string, message string").json(f"file://{failures}/failures.json").withColumnRenamed("message", "fault")
+    told = plan.join(faults, "path", "left").join(unwritten.withColumnRenamed("output", "file"), F.regexp_replace("output", "^file:/+", "/") == F.col("file"), "left")
+    message = F.coalesce("message", "fault")
+    state = F.when(F.col("there"), "Skipped").when(message.isNotNull(), "Failed").otherwise("Done")
+    unread = parsed.where("relation = 'errors'").select("path", F.lit(None).cast("string").alias("output"), F.lit("Failed").alias("state"), "message")
+    return told.select("path", "output", state.alias("state"), message.alias("message")).unionByName(unread)

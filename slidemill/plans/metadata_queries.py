@@ -96,9 +96,9 @@ def decode_xml_text(spark, sf_dir):
 
 
 def little_endian_fields(spark, sf_dir):
-    """A packed record read from each page's first bytes; null where it is cut short."""
+    """A packed record read from each document's bytes; null where it is cut short."""
     ship_package(spark)
-    rows = R.table(spark, sf_dir, "documents").select("doc_id", F.encode(F.regexp_replace(F.substring("text", 1, 40), "[^ -~]", "?"), "UTF-8").alias("b"))
+    rows = R.table(spark, sf_dir, "documents").select("doc_id", F.encode(F.regexp_replace("text", "[^ -~]", "?"), "UTF-8").alias("b"))
     return B.little_endian(rows, "b", np.dtype([("id", "<u2"), ("x", "<u4"), ("y", "<i4")]), 2)
 
 
@@ -112,13 +112,14 @@ def _spliced(t):
 
 
 def splice_bytes(spark, sf_dir):
-    """The tiles of level 0, as in its SQL; splice_bytes_all has those of every level."""
-    return _spliced(R.tiles(spark, sf_dir).where("level = 0")).drop("level")
+    """The tiles of every level, each as one image."""
+    return _spliced(R.tiles(spark, sf_dir))
 
 
+#: The same by its former name.
 def splice_bytes_all(spark, sf_dir):
-    """The tiles of every level."""
-    return _spliced(R.tiles(spark, sf_dir))
+    """``splice_bytes``."""
+    return splice_bytes(spark, sf_dir)
 
 
 def merge_tables(spark, sf_dir):
@@ -159,7 +160,7 @@ def associated_classify(spark, sf_dir):
 
 def quality_estimate(spark, sf_dir):
     """The quality of 1 to 100 whose scaled standard table is nearest to a slide's, the lower of equals."""
-    table = layout.LUMINANCE[:16]
+    table = layout.LUMINANCE
     scale = lambda q: F.when(q < 50, F.expr("5000 div q")).otherwise(200 - q * 2)
     s = R.slides(spark, sf_dir).select("slide_id", (F.col("slide_id") % 100 + 1).alias("q"))
     scaled = lambda v: F.greatest(F.lit(1), F.least(F.lit(255), F.expr(f"({v} * s + 50) div 100")))
@@ -193,7 +194,7 @@ def batch_outputs(spark, sf_dir):
 def batch_outputs_cascading(spark, sf_dir):
     """The same where numbered names themselves collide."""
     ship_package(spark)
-    f = R.files(spark, sf_dir).where("file_id % 97 <> 0")
+    f = R.files(spark, sf_dir)
     name = F.concat(F.lit("/out/s"), (F.col("file_id") % 50).cast("string"), F.when(F.col("file_id") % 7 == 0, "_2").otherwise(""), F.lit(".svs"))
     return batch.reserved_outputs(f.withColumn("output", name), "output", "file_id")
 
@@ -239,7 +240,7 @@ QUERIES = [slide_info, format_dispatch, label_dedupe, mpp_from, mean_mpp, labele
 _FORMATS = "formats AS (SELECT * FROM (VALUES " + ", ".join(f"({o}, '{e}', '{n}', '{r}')" for o, e, n, r in formats.FORMATS) + ") AS v(ord, extension, label, reader))"
 _DISPATCH = f"{_FORMATS}, e AS (SELECT *, lower(regexp_extract(path, '[^/]\\.([^./]+)$', 1)) AS extension FROM files), disp AS (SELECT file_id, path, extension, label, reader, reader IS NOT NULL AS supported FROM e LEFT JOIN formats USING (extension))"
 _QUEUE = "q AS (SELECT event_id, ts, user_id AS item, (['Waiting', 'Running', 'Done', 'Failed', 'Cancelled'])[event_id % 5 + 1] AS state FROM events), latest AS (SELECT item, arg_max(state, (ts, event_id)) AS state, count(*) AS n_events FROM q GROUP BY item)"
-_STD = "[" + ", ".join(map(str, layout.LUMINANCE[:16])) + "]"
+_STD = "[" + ", ".join(map(str, layout.LUMINANCE)) + "]"
 
 SQL = {
     "slide_info": R.sql(
@@ -272,10 +273,10 @@ SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN NULL WHEN contains(t, 'label') T
     "aperio_description": R.sql("slides", f" SELECT slide_id, '{T.VERSION}' || chr(10) || printf('%dx%d [0,0 %dx%d] (256x256) JPEG/RGB Q=75|AppMag = %d|MPP = %.6f', width, height, width, height, app_mag, mpp) AS description FROM slides"),
     "find_all_marker": "WITH b AS (SELECT page_id, hex(encode(html)) AS h FROM pages), i AS (SELECT page_id, h, unnest(generate_series(0, length(h) // 2 - 3)) AS \"at\" FROM b WHERE length(h) >= 6) SELECT page_id, \"at\" FROM i WHERE substr(h, \"at\" * 2 + 1, 6) = '3C703E'",
     "decode_xml_text": "SELECT p_partkey, '<Name value=''' || p_name || '''/>' AS xml FROM part",
-    "little_endian_fields": r"""WITH h AS (SELECT doc_id, hex(encode(regexp_replace(substr(text, 1, 40), '[^ -~]', '?', 'g'))) AS h FROM documents),
+    "little_endian_fields": r"""WITH h AS (SELECT doc_id, hex(encode(regexp_replace(text, '[^ -~]', '?', 'g'))) AS h FROM documents),
 b AS (SELECT doc_id, length(h) >= 24 AS ok, list_transform(range(2, 12), lambda i: CAST('0x' || substr(h || '000000000000000000000000', i * 2 + 1, 2) AS BIGINT)) AS b FROM h)
 SELECT doc_id, CASE WHEN ok THEN b[1] + b[2] * 256 END AS id, CASE WHEN ok THEN b[3] + b[4] * 256 + b[5] * 65536 + b[6] * 16777216 END AS x, CASE WHEN ok THEN b[7] + b[8] * 256 + b[9] * 65536 + b[10] * 16777216 - CASE WHEN b[10] >= 128 THEN 4294967296 ELSE 0 END END AS y FROM b""",
-    "splice_bytes": R.sql("tiles", " SELECT slide_id, ordinal, 'FFD8FFC0001108' || lpad(printf('%X', h), 4, '0') || lpad(printf('%X', w), 4, '0') || hex(encode(CAST(length AS VARCHAR))) || 'FFD9' AS tile, true AS image FROM tiles WHERE level = 0"),
+    "splice_bytes": R.sql("tiles", " SELECT slide_id, level, ordinal, 'FFD8FFC0001108' || lpad(printf('%X', h), 4, '0') || lpad(printf('%X', w), 4, '0') || hex(encode(CAST(length AS VARCHAR))) || 'FFD9' AS tile, true AS image FROM tiles"),
     "merge_tables": """WITH p AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'FFD8FFDB01' ELSE 'FFD8FFC402' END AS t, CASE WHEN p_size % 2 = 0 THEN 'FFD8' ELSE '' END AS a, hex(encode(p_brand)) AS b, CASE WHEN p_size % 3 = 0 THEN 'FFD9' ELSE '' END AS c FROM part)
 SELECT p_partkey, CASE WHEN t = '' THEN a || b || c ELSE t || b || 'FFD9' END AS merged FROM p""",
     "tiff_fields": R.sql(
@@ -322,6 +323,13 @@ SELECT slide_id, level, CAST(start AS BIGINT) AS start, CAST((start + payload +
 k AS (SELECT *, row_number() OVER (PARTITION BY lower(output) ORDER BY file_id) AS k FROM o)
 SELECT file_id, output, CASE WHEN k = 1 THEN output ELSE regexp_replace(output, '\.[^./]*$', '') || '_' || k || '.svs' END AS "unique" FROM k""",
     ),
+    # Row by row within each root: the first of the name and its numbered forms that no earlier row has.
+    "batch_outputs_cascading": "WITH RECURSIVE " + R.SQL["files"] + """,
+o AS (SELECT file_id AS ord, '/out/s' || (file_id % 50) || CASE WHEN file_id % 7 = 0 THEN '_2' ELSE '' END AS stem, file_id % 50 AS root, row_number() OVER (PARTITION BY file_id % 50 ORDER BY file_id) AS i FROM files),
+r AS (SELECT root, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS ord, '' AS stem, '' AS pick, CAST([] AS VARCHAR[]) AS taken FROM o GROUP BY root
+ UNION ALL SELECT root, i, ord, stem, pick, list_append(taken, pick) FROM (
+  SELECT o.root, o.i, o.ord, o.stem, r.taken, list_filter(list_prepend(o.stem || '.svs', list_transform(range(2, o.i + 2), lambda n: o.stem || '_' || n || '.svs')), lambda x: NOT list_contains(r.taken, x))[1] AS pick FROM r JOIN o ON o.root = r.root AND o.i = r.i + 1))
+SELECT ord, stem || '.svs' AS output, pick AS "unique" FROM r WHERE i > 0""",
     "queue_status": f"WITH {_QUEUE} SELECT state, count(*) AS items, CAST(sum(n_events) AS BIGINT) AS n_events FROM latest GROUP BY state",
     "queue_add": R.sql(
         "files",

@@ -5,10 +5,10 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 
 from slidemill.functions import codec
 from slidemill.functions.bytes import jpeg_is_420
+from slidemill.functions.codec_columns import RANGE, grey_jpeg, picture_range
 from slidemill.plans import relations as R
 from slidemill.session import scratch_path, ship_package
 from slidemill.sources import slide_source
@@ -16,20 +16,6 @@ from slidemill.sources.svs_sink import write_svs
 from slidemill.streaming import arrivals
 
 
-RANGE = StructType([StructField(c, IntegerType()) for c in ("width", "height", "least", "most")])
-
-
-@F.pandas_udf(BinaryType())
-def grey_jpeg(value: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
-    return pd.Series([codec.encode_jpeg(np.full((h, w, 3), v, np.uint8), 75) for v, w, h in zip(value, width, height, strict=True)])
-
-
-@F.pandas_udf(RANGE)
-def picture_range(data: pd.Series) -> pd.DataFrame:
-    images = [codec.decode_image(bytes(b)) for b in data]
-    return pd.DataFrame([(i.shape[1], i.shape[0], int(i.min()), int(i.max())) for i in images], columns=["width", "height", "least", "most"])
-
-
 @F.pandas_udf(RANGE)
 def thumbnail_range(value: pd.Series, width: pd.Series, height: pd.Series) -> pd.DataFrame:
     images = [codec.thumbnail(np.full((h, w, 3), v, np.uint8), 64) for v, w, h in zip(value, width, height, strict=True)]

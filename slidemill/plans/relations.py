@@ -48,14 +48,25 @@ def slides(spark, sf_dir) -> DataFrame:
     )
 
 
-def levels(spark, sf_dir, count: int = 7) -> DataFrame:
+def supplier_slides(spark, sf_dir) -> DataFrame:
+    """slide_id, width and height of one slide a supplier."""
+    k = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").select(k.alias("slide_id"), (2048 + k % 64 * 256).alias("width"), (1536 + k % 48 * 256).alias("height"))
+
+
+def levels_of(slides: DataFrame, count: int = 7) -> DataFrame:
     """slide_id, level, width, height, cols, rows of a pyramid that halves."""
     halved = lambda n: F.greatest(F.expr(f"{n} div shiftleft(1L, level)"), F.lit(1))
     ceil = lambda n: F.expr(f"({n} + {TILE - 1}) div {TILE}")
-    out = slides(spark, sf_dir).withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+    out = slides.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
     return out.withColumns({"width": halved("width"), "height": halved("height")}).withColumns({"cols": ceil("width"), "rows": ceil("height")}).select("slide_id", "level", "width", "height", "cols", "rows")
 
 
+def levels(spark, sf_dir, count: int = 7) -> DataFrame:
+    """The levels of each order's slide."""
+    return levels_of(slides(spark, sf_dir), count)
+
+
 def files(spark, sf_dir) -> DataFrame:
     """path and length of files with supported and other extensions."""
     names = F.array(*map(F.lit, EXTENSIONS))
@@ -92,9 +103,13 @@ SQL = {
     "slides": """slides AS (SELECT o_orderkey AS slide_id, 2048 + (o_custkey % 64) * 256 AS width, 1536 + (o_custkey % 48) * 256 AS height,
  CAST(CASE WHEN o_orderkey % 2 = 0 THEN 20 ELSE 40 END AS BIGINT) AS app_mag, CAST(CASE WHEN o_orderkey % 2 = 0 THEN 0.5 ELSE 0.25 END AS DOUBLE) AS mpp,
  o_orderkey % 4 AS kinds FROM orders)""",
-    "levels": f"""levels AS (SELECT slide_id, CAST(l AS INTEGER) AS level, greatest(width // (1 << l), 1) AS width, greatest(height // (1 << l), 1) AS height,
+    "supplier_slides": "supplier_slides AS (SELECT s_suppkey AS slide_id, 2048 + (s_suppkey % 64) * 256 AS width, 1536 + (s_suppkey % 48) * 256 AS height FROM supplier)",
+    **{
+        f"{prefix}levels": f"""{prefix}levels AS (SELECT slide_id, CAST(l AS INTEGER) AS level, greatest(width // (1 << l), 1) AS width, greatest(height // (1 << l), 1) AS height,
  (greatest(width // (1 << l), 1) + {TILE - 1}) // {TILE} AS cols, (greatest(height // (1 << l), 1) + {TILE - 1}) // {TILE} AS rows
- FROM slides, generate_series(0, 6) AS g(l))""",
+ FROM {prefix}slides, generate_series(0, 6) AS g(l))"""
+        for prefix in ("", "supplier_")
+    },
     "files": f"""files AS (SELECT o_orderkey AS file_id, CASE WHEN o_orderkey % 97 = 0 THEN '/in/s' || o_orderkey
  ELSE '/in/d' || (o_orderkey % 5) || '/s' || (o_orderkey % 301) || '.' || ({_EXT})[o_custkey % {len(EXTENSIONS)} + 1] END AS path,
  CAST(floor(o_totalprice) AS BIGINT) AS length FROM orders)""",
@@ -102,7 +117,7 @@ SQL = {
  WHEN p_partkey % 7 = 3 THEN '' WHEN p_partkey % 7 = 5 THEN '; ' || p_type
  ELSE '  ' || ({_KEYS})[p_partkey % {len(INI_KEYS)} + 1] || ' = ' || CASE WHEN p_partkey % 5 = 0 THEN '' WHEN p_partkey % 5 = 1 THEN p_type ELSE CAST(p_size AS VARCHAR) END || ' ' END AS text FROM part)""",
 }
-NEEDS = {"levels": ("slides",)}
+NEEDS = {"levels": ("slides",), "supplier_levels": ("supplier_slides",)}
 
 
 def sql(relations: str, body: str) -> str:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from slidemill.functions import codec_columns as codec
 from slidemill.operators import geometry as G
 from slidemill.operators import lookup as L
 from slidemill.plans import relations as R
+from slidemill.session import ship_package
 
 COLS, ROWS, PITCH = 16, 12, 256
 WIDE = 1024  # the pitch of dense grids
@@ -69,15 +71,15 @@ def virtual_base(spark, sf_dir):
 
 
 def _probes(spark, sf_dir):
-    total = F.sum("length").over(Window.partitionBy("slide_id"))
-    return R.tiles(spark, sf_dir).select("slide_id", "level", "ordinal", F.expr("(x * 7919 + y * 104729) % 400000").alias("at"), total.alias("total")).where("at < total").drop("total")
+    return R.tiles(spark, sf_dir).select("slide_id", "level", "ordinal", F.expr("(x * 7919 + y * 104729) % 400000").alias("at"))
 
 
 def asof_source(spark, sf_dir):
-    """The backing file of each address: the last that begins at or before it."""
+    """The backing file of each address: the last that begins at or before it; null beyond the end."""
     bases = virtual_base(spark, sf_dir).select("slide_id", "base", F.col("level").alias("file"), F.col("length").alias("file_length"))
     found = L.asof(_probes(spark, sf_dir), bases, ["slide_id"], "at", "base")
-    return found.select("slide_id", "level", "ordinal", "at", "file", "base", (F.col("at") + 100 <= F.col("base") + F.col("file_length")).alias("whole"))
+    inside = F.col("at") < F.col("base") + F.col("file_length")
+    return found.select("slide_id", "level", "ordinal", "at", *[F.when(inside, F.col(c)).alias(c) for c in ("file", "base")], (F.col("at") + 100 <= F.col("base") + F.col("file_length")).alias("whole"))
 
 
 BASES = """sums AS (SELECT slide_id, level, sum(length) AS length FROM tiles GROUP BY ALL),
@@ -178,12 +180,12 @@ def _scan(lv):
 
 
 def tile_scan(spark, sf_dir):
-    """The cells of levels 3 and up, as in its SQL; tile_scan_all has those of every level."""
-    return _scan(R.levels(spark, sf_dir).where("level >= 3"))
+    """The cells of every level of a slide for each supplier."""
+    return _scan(R.levels_of(R.supplier_slides(spark, sf_dir)))
 
 
 def tile_scan_all(spark, sf_dir):
-    """The cells of every level."""
+    """The cells of every level of a slide for each order."""
     return _scan(R.levels(spark, sf_dir))
 
 
@@ -199,10 +201,11 @@ def passthrough_action(spark, sf_dir):
 
 
 def white_tile_memo(spark, sf_dir):
-    """White tiles are encoded once for each geometry and joined back."""
-    white = R.tiles(spark, sf_dir).where("length % 4 = 0").select("slide_id", "level", "ordinal", "w", "h")
-    once = white.select("w", "h").distinct().withColumn("encoded", 300 + F.expr("w * h div 64"))
-    return white.join(once, ["w", "h"]).select("slide_id", "level", "ordinal", "encoded")
+    """White tiles are encoded once for each geometry, of which there are few, and joined back to all tiles."""
+    ship_package(spark)
+    tiles = R.tiles(spark, sf_dir).select("slide_id", "level", "ordinal", F.col("w").cast("int").alias("w"), F.col("h").cast("int").alias("h"), (F.col("length") % 4 == 0).alias("white"))
+    once = tiles.where("white").select("w", "h", "white").distinct().select("*", codec.picture_range(codec.grey_jpeg(F.lit(255), "w", "h")).alias("i"))
+    return tiles.join(once, ["w", "h", "white"], "left").select("slide_id", "level", "ordinal", F.col("i.width").alias("encoded_w"), F.col("i.height").alias("encoded_h"), F.col("i.least").alias("least"))
 
 
 def slide_clip(spark, sf_dir):
@@ -245,8 +248,8 @@ SELECT *, first_value(width) OVER (PARTITION BY slide_id ORDER BY run) / width A
     "virtual_base": R.sql("tiles", f", {BASES} SELECT slide_id, level, base, length FROM bases"),
     "asof_source": R.sql(
         "tiles",
-        f""", {BASES}, p AS (SELECT slide_id, level, ordinal, (x * 7919 + y * 104729) % 400000 AS at, sum(length) OVER (PARTITION BY slide_id) AS total FROM tiles)
-SELECT p.slide_id, p.level, p.ordinal, p.at, b.level AS file, b.base, p.at + 100 <= b.base + b.length AS whole FROM p ASOF JOIN bases b ON p.slide_id = b.slide_id AND p.at >= b.base WHERE p.at < p.total""",
+        f""", {BASES}, p AS (SELECT slide_id, level, ordinal, (x * 7919 + y * 104729) % 400000 AS at FROM tiles)
+SELECT p.slide_id, p.level, p.ordinal, p.at, CASE WHEN p.at < b.base + b.length THEN b.level END AS file, CASE WHEN p.at < b.base + b.length THEN b.base END AS base, p.at + 100 <= b.base + b.length AS whole FROM p ASOF JOIN bases b ON p.slide_id = b.slide_id AND p.at >= b.base""",
     ),
     "range_fits": R.sql(
         "tiles",
@@ -315,16 +318,16 @@ SELECT slide_id, greatest(CAST(trunc(CAST(w AS FLOAT) * scale) AS INTEGER), 1) A
     ),
     "fallback_level": R.sql("levels", " SELECT slide_id, coalesce(min(level) FILTER (level > 0 AND greatest(width, height) <= 2048), max(level)) AS level FROM levels GROUP BY slide_id"),
     "tile_scan": R.sql(
-        "levels",
+        "supplier_levels",
         """ SELECT slide_id, level, r * cols + c AS slot, CAST(round_even(CAST(c * 256 AS DOUBLE) * pow(2.0, level) * CAST(0.7 AS DOUBLE), 0) AS BIGINT) AS at_x, CAST(round_even(CAST(r * 256 AS DOUBLE) * pow(2.0, level) * CAST(0.7 AS DOUBLE), 0) AS BIGINT) AS at_y
-FROM levels, LATERAL (SELECT unnest(generate_series(0, rows - 1)) AS r), LATERAL (SELECT unnest(generate_series(0, cols - 1)) AS c) WHERE level >= 3""",
+FROM supplier_levels, LATERAL (SELECT unnest(generate_series(0, rows - 1)) AS r), LATERAL (SELECT unnest(generate_series(0, cols - 1)) AS c)""",
     ),
     "passthrough_action": R.sql(
         "tiles",
         f""", {_EXTENTS} SELECT slide_id, level, ordinal, CASE WHEN NOT (t.w % 16 = 0 AND slide_id % 3 <> 0 AND y // {PITCH} + 1 < (height + {PITCH - 1}) // {PITCH} AND x // {PITCH} + 1 < (width + {PITCH - 1}) // {PITCH}) THEN 'compose'
  WHEN length % 17 = 0 THEN 'encode' WHEN length % 5 = 0 THEN 'transcode' ELSE 'copy' END AS action FROM tiles t JOIN ext USING (slide_id, level)""",
     ),
-    "white_tile_memo": R.sql("tiles", " SELECT slide_id, level, ordinal, 300 + w * h // 64 AS encoded FROM tiles WHERE length % 4 = 0"),
+    "white_tile_memo": R.sql("tiles", " SELECT slide_id, level, ordinal, CASE WHEN length % 4 = 0 THEN CAST(w AS INTEGER) END AS encoded_w, CASE WHEN length % 4 = 0 THEN CAST(h AS INTEGER) END AS encoded_h, CASE WHEN length % 4 = 0 THEN 255 END AS least FROM tiles"),
     "slide_clip": R.sql(
         "tiles",
         f""", c AS (SELECT t.*, cell_row, cell_col FROM tiles t,

@@ -3,12 +3,15 @@
 ``spark.read.format("slide").option("relation", ...).load(path)`` reads a file, a folder (all supported
 files below it) or a glob. Each file is a partition; only indexes are read, never pixels. Filters on
 path and level are applied in the source. Options: ``relation`` (slides, levels, tiles, images, files,
-errors) and ``mode`` (``failfast``, or ``permissive``: files that can't be read are left to ``errors``).
+errors, or ``all`` for the rows of each by one parse of a file), ``mode`` (``failfast``, or ``permissive``:
+files that can't be read are left to ``errors``), and ``paths``, a JSON list of files in the path's stead.
 """
 
 from __future__ import annotations
 
 import fnmatch
+import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +31,14 @@ SCHEMAS = {
     "files": "path string, file string, base long, length long",
     "errors": "path string, message string",
 }
+#: Relation ``all``: the rows of every relation, by its name, over the columns of all; equal names are of one type.
+COLUMNS = dict(c.split(" ", 1) for v in SCHEMAS.values() for c in re.split(r", (?=\w+ \w+)(?![^<]*>)", v))
+SCHEMAS["all"] = "relation string, " + ", ".join(f"{c} {t}" for c, t in COLUMNS.items())
+ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary(), "array<struct<offset: long, length: long>>": pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())]))}
+
+
+def columns_of(relation: str) -> list[str]:
+    return [c.split(" ", 1)[0] for c in re.split(r", (?=\w+ \w+)(?![^<]*>)", SCHEMAS[relation])]
 
 
 def list_files(path: str) -> list[str]:
@@ -68,6 +79,35 @@ def tile_batches(slide: Slide, only: int | None = None, most: int = 100_000):
             yield pa.RecordBatch.from_arrays([pa.array([slide.path] * n), pa.array(np.full(n, i, np.int32)), pa.array(np.arange(a, a + n)), pa.array(v.offset[a : a + most]), pa.array(v.length[a : a + most]), *place], names=names)
 
 
+def rows_of(slide: Slide, relation: str, level: int | None = None):
+    """The rows of a slide in a relation other than tiles."""
+    if relation == "slides":
+        yield slide.path, READERS[extension_of(slide.path)], slide.width, slide.height, slide.tile_w, slide.tile_h, slide.mpp, slide.app_mag, slide.quality, slide.compression, len(slide.levels)
+    elif relation == "levels":
+        yield from level_rows(slide, level)
+    elif relation == "images":
+        for i, m in enumerate(slide.images):
+            yield slide.path, i, m.kind, m.width, m.height, [tuple(map(int, s)) for s in m.strips], m.tables
+    elif relation == "files":
+        yield from ((slide.path, *f) for f in slide.files or [(slide.path, 0, None)])
+
+
+def wide(relation: str, rows) -> pa.RecordBatch:
+    """Rows, or a batch, of a relation as a batch of relation ``all``."""
+    names, n = columns_of(relation), rows.num_rows if isinstance(rows, pa.RecordBatch) else len(rows)
+    out = [pa.array([relation] * n, pa.string())]
+    for c, t in COLUMNS.items():
+        if c not in names:
+            out.append(pa.nulls(n, ARROW[t]))
+        elif isinstance(rows, pa.RecordBatch):
+            out.append(rows.column(names.index(c)))
+        elif t.startswith("array"):
+            out.append(pa.array([[{"offset": o, "length": k} for o, k in r[names.index(c)]] for r in rows], ARROW[t]))
+        else:
+            out.append(pa.array([r[names.index(c)] for r in rows], ARROW[t]))
+    return pa.RecordBatch.from_arrays(out, names=["relation", *COLUMNS])
+
+
 class SlidePartition(InputPartition):
     def __init__(self, path: str):
         super().__init__(path)
@@ -77,8 +117,9 @@ class SlidePartition(InputPartition):
 class SlideReader(DataSourceReader):
     def __init__(self, options: dict, relation: str):
         self.path, self.relation = options.get("path"), relation
-        self.permissive = options.get("mode", "failfast").lower() == "permissive" or relation == "errors"
-        if not self.path:
+        self.paths = json.loads(options["paths"]) if "paths" in options else None
+        self.permissive = options.get("mode", "failfast").lower() == "permissive" or relation in ("errors", "all")
+        if not self.path and self.paths is None:
             raise ValueError("a path is needed")
         self.level: int | None = None
         self.only: str | None = None
@@ -93,7 +134,7 @@ class SlideReader(DataSourceReader):
                 yield f
 
     def partitions(self):
-        return [SlidePartition(p) for p in list_files(self.path) if self.only in (None, p)]
+        return [SlidePartition(p) for p in (list_files(self.path) if self.paths is None else self.paths) if self.only in (None, p)]
 
     def read(self, partition: SlidePartition) -> Iterator:
         try:
@@ -103,18 +144,18 @@ class SlideReader(DataSourceReader):
                 raise SlideError(f"{partition.path}: {e}") from e
             if self.relation == "errors":
                 yield partition.path, str(e)
+            elif self.relation == "all":
+                yield wide("errors", [(partition.path, str(e))])
             return
-        if self.relation == "slides":
-            yield slide.path, READERS[extension_of(slide.path)], slide.width, slide.height, slide.tile_w, slide.tile_h, slide.mpp, slide.app_mag, slide.quality, slide.compression, len(slide.levels)
-        elif self.relation == "levels":
-            yield from level_rows(slide, self.level)
-        elif self.relation == "tiles":
+        if self.relation == "tiles":
             yield from tile_batches(slide, self.level)
-        elif self.relation == "images":
-            for i, m in enumerate(slide.images):
-                yield slide.path, i, m.kind, m.width, m.height, [tuple(map(int, s)) for s in m.strips], m.tables
-        elif self.relation == "files":
-            yield from ((slide.path, *f) for f in slide.files or [(slide.path, 0, None)])
+        elif self.relation == "all":
+            for relation in ("slides", "levels", "images", "files"):
+                yield wide(relation, list(rows_of(slide, relation)))
+            for batch in tile_batches(slide):
+                yield wide("tiles", batch)
+        else:
+            yield from rows_of(slide, self.relation, self.level)
 
 
 class SlideSource(DataSource):

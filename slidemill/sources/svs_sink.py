@@ -4,11 +4,14 @@ Rows (see ``SCHEMA``) come in partitions that each hold whole outputs, ordered b
 slot. Slot -1 describes its page; further slots are its tiles or its one strip. Payloads are written
 as they come, all directories after them, so nothing but offsets is held. A file grows under another
 name; the commit moves it, an abort deletes it. Outputs of 4 GiB and more are BigTIFF, if option
-``bigtiff`` is ``auto``; with ``never`` they fail.
+``bigtiff`` is ``auto``; with ``never`` they fail. Option ``failures`` names a file: an output that can't
+be written is then left out and told there (a JSON object of output and message a line), and all others
+are written; without it the first fault ends the write.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
@@ -113,15 +116,33 @@ class Output:
 @dataclass
 class Written(WriterCommitMessage):
     moves: list
+    failures: list
 
 
 class SvsWriter(DataSourceWriter):
     def __init__(self, options: dict):
-        self.bigtiff = options.get("bigtiff", "auto")
+        self.bigtiff, self.failures = options.get("bigtiff", "auto"), options.get("failures")
 
     def write(self, iterator) -> Written:
         done: list[tuple[str, str]] = []
+        failed: dict[str, str] = {}
         now: Output | None = None
+
+        def end() -> None:
+            if now is not None and now.path not in failed:
+                now.finish(self.bigtiff)
+                done.append((now.temporary, now.path))
+
+        def tried(step, name: str, output: Output | None) -> None:
+            try:
+                step()
+            except (ValueError, OSError, TypeError, struct.error) as e:
+                if self.failures is None:
+                    raise
+                failed[name] = str(e)
+                if output is not None:
+                    output.drop()
+
         try:
             for row in iterator:
                 path = local_path(row["output"])
@@ -129,25 +150,30 @@ class SvsWriter(DataSourceWriter):
                     raise ValueError(f"outputs have to be on a mounted file system: {row['output']}")
                 if now is None or now.path != path:
                     if now is not None:
-                        now.finish(self.bigtiff)
-                        done.append((now.temporary, now.path))
+                        tried(end, now.path, now)
                     now = Output(path)
-                now.add(row)
+                if path not in failed:
+                    tried(lambda r=row: now.add(r), path, now)
             if now is not None:
-                now.finish(self.bigtiff)
-                done.append((now.temporary, now.path))
+                tried(end, now.path, now)
         except BaseException:
             if now is not None:
                 now.drop()
             for temporary, _ in done:
                 os.remove(temporary)
             raise
-        return Written(done)
+        return Written(done, list(failed.items()))
 
     def commit(self, messages) -> None:
+        lines = []
         for m in messages:
             for temporary, path in m.moves if m else []:
                 os.replace(temporary, path)
+            lines += [json.dumps({"output": path, "message": text}) + "\n" for path, text in (m.failures if m else [])]
+        if self.failures is not None:
+            os.makedirs(os.path.dirname(self.failures), exist_ok=True)
+            with open(self.failures, "w", encoding="utf-8") as f:
+                f.writelines(lines)
 
     def abort(self, messages) -> None:
         for m in messages:
@@ -168,7 +194,7 @@ class SvsSink(DataSource):
         return SvsWriter(dict(self.options))
 
 
-def write_svs(rows, partitions: int | None = None, bigtiff: str = "auto") -> None:
+def write_svs(rows, partitions: int | None = None, bigtiff: str = "auto", failures: str | None = None) -> None:
     """Writes the rows of outputs, each by one task."""
     n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows.repartition(n, "output").sortWithinPartitions("output", "page", "slot").write.format("svs").option("bigtiff", bigtiff).mode("append").save()
+    rows.repartition(n, "output").sortWithinPartitions("output", "page", "slot").write.format("svs").options(bigtiff=bigtiff, **({"failures": failures} if failures else {})).mode("append").save()

@@ -12,23 +12,40 @@ from slidemill.session import materialise, scratch_path
 from slidemill.sources.formats.registry import READERS
 
 
-def arrived(spark: SparkSession, folder: str) -> DataFrame:
+def arrived(spark: SparkSession, folder: str, most: int = 1000) -> DataFrame:
     """Paths of supported files as they arrive; their contents aren't read."""
-    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").load(folder)
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", most).load(folder)
     return files.select("path", "modificationTime", "length").where(extension(F.col("path")).isin(*READERS))
 
 
-def convert_arrivals(spark: SparkSession, folder: str, out: str, checkpoint: str, quality: int | None = None, once: bool = False) -> StreamingQuery:
-    """Converts each slide when it arrives. Outputs that are there already are left, so that a batch may run again."""
+def convert_arrivals(spark: SparkSession, folder: str, out: str, checkpoint: str, quality: int | None = None, once: bool = False, most: int = 1000) -> StreamingQuery:
+    """Converts slides when they arrive, those of a trigger (``most`` at most) as one batch.
 
-    def batch(rows: DataFrame, _: int) -> None:
-        for r in rows.select("path").collect():  # the slides of one trigger
-            convert(rows.sparkSession, r["path"], out, quality).write.format("noop").mode("overwrite").save()
+    Beside the checkpoint stands which output each path has got: a batch that runs again gives its
+    paths the same ones and leaves what is there, and no later path gets one of them.
+    """
+    given = f"{checkpoint.rstrip('/')}-outputs"
+    schema = "path string, output string"
 
-    writer = arrived(spark, folder).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    def batch(rows: DataFrame, number: int) -> None:
+        session = rows.sparkSession
+        paths = sorted(r["path"] for r in rows.select("path").distinct().collect())  # of one trigger
+        if not paths:
+            return
+        kept = session.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{given}/part=*") if any_of(session, given) else session.createDataFrame([], schema)
+        earlier = kept.join(session.createDataFrame([(p,) for p in paths], "path string"), "path", "left_anti")
+        done = materialise(convert(session, paths, out, quality, taken=earlier.select("output")), "arrived")
+        done.where("output IS NOT NULL").select("path", "output").coalesce(1).write.mode("overwrite").parquet(f"{given}/part={number}")
+
+    writer = arrived(spark, folder, most).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def any_of(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))

@@ -126,3 +126,53 @@ def test_big_directory():
     d = T.directories(Blob(path))[0]
     assert d.numbers(T.TILE_OFFSETS).tolist() == [1 << 33, 5] and d.rational(T.X_RESOLUTION) == 2.5 and d.raw(T.TABLES) == b"tables"
     os.remove(path)
+
+
+def test_equal_stems_and_a_damaged_slide(spark, tmp_path):
+    """Numbered names that collide with another slide's own keep all outputs apart; a damaged slide costs only itself."""
+    d, out = f"{tmp_path}/in", f"{tmp_path}/out"
+    K.csp(f"{d}/s.csp", [[(0, 0, K.picture(32, 16))]], [])
+    K.kfb(f"{d}/s.kfb", (40, 60), 32, [(0, 0, 0, K.picture(32, 32))], [None, None, None])
+    K.tiff(f"{d}/s_2.tif", [K.picture(48, 32)])
+    K.write(f"{d}/bad.kfb", b"KFB")
+    got = {os.path.basename(r.path): r for r in convert(spark, d, out).collect()}
+    assert {k: v.state for k, v in got.items()} == {"s.csp": "Done", "s.kfb": "Done", "s_2.tif": "Done", "bad.kfb": "Failed"}
+    assert sorted(os.listdir(out)) == ["s.svs", "s_2.svs", "s_2_2.svs"] and len({r.output for r in got.values() if r.output}) == 3
+
+
+def test_folders_are_kept_and_one_output_is_named(spark, folder, tmp_path):
+    out = f"{tmp_path}/out"
+    got = {os.path.basename(r.path): r.output for r in convert(spark, f"{folder}/two", out, mirror=True).collect()}
+    assert got == {"b.sdpc": f"{out}/b.svs", "c.kfb": f"{out}/deep/c.svs"} and os.path.exists(f"{out}/deep/c.svs")
+    assert [tuple(r)[1:3] for r in convert(spark, f"{folder}/one/a.tif", output=f"{out}/x/named.svs").collect()] == [(f"{out}/x/named.svs", "Done")]
+    assert os.path.exists(f"{out}/x/named.svs")
+    with pytest.raises(ValueError, match="one input"):
+        convert(spark, f"{folder}/two", output=f"{out}/y.svs")
+
+
+def test_sink_leaves_out_what_cannot_be_written(spark, tmp_path):
+    """An output whose rows lack a slot fails by itself where failures are told, and ends the write where not."""
+    from slidemill.sources.svs_sink import SCHEMA, write_svs
+
+    S.register(spark)
+    data = bytearray(C.encode_jpeg(K.picture(16, 16), 80))
+    rows = []
+    for name, slots in (("good", (0, 1)), ("bad", (1,)), ("fine", (0, 1))):
+        o = f"{tmp_path}/{name}.svs"
+        rows += [(o, 0, -1, 32, 16, 16, 16, False, 1.0, "d", None, None), *((o, 0, s, None, None, None, None, None, None, None, None, data) for s in slots)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    with pytest.raises(Exception, match="lacks slot"):
+        write_svs(df, 1)
+    assert os.listdir(tmp_path) == []
+    write_svs(df, 1, failures=f"{tmp_path}/told/f.json")
+    assert sorted(os.listdir(tmp_path)) == ["fine.svs", "good.svs", "told"]
+    assert "bad.svs" in open(f"{tmp_path}/told/f.json").read()
+
+
+def test_one_parse_gives_every_relation(spark, folder):
+    S.register(spark)
+    whole = S.read_slides(spark, folder, "all")
+    for r in ("slides", "levels", "tiles", "images", "files", "errors"):
+        names = S.columns_of(r)
+        alone = S.read_slides(spark, folder, r, mode="permissive").select(*names)
+        assert sorted(map(str, whole.where(F.col("relation") == r).select(*names).collect())) == sorted(map(str, alone.collect()))
