@@ -84,6 +84,16 @@ def scratch_mark() -> int:
     return len(_scratch)
 
 
+def discard(copy: DataFrame) -> None:
+    """Deletes the scratch copies that a materialised table reads, once nothing needs it any more."""
+    spark = copy.sparkSession
+    jvm, conf, read = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), copy.inputFiles()
+    for path in [p for p in _scratch if any(f"/{p.rpartition('/')[2]}/" in f for f in read)]:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+        _scratch.remove(path)
+
+
 def release(spark: SparkSession, since: int, keep: DataFrame) -> None:
     """Deletes the scratch copies made since a mark, but for those that ``keep`` reads."""
     read = set(keep.inputFiles())
