@@ -1,19 +1,20 @@
 """Language-model scoring with Brown classes.
 
 Tokens are the lower-cased words of a text and one end. P(w | v) = P(class w | class v) * P(w | class w):
-class transitions with absolute discounting over the class frequencies, word emissions with 0.1
-added, and in each class one more word for all that training has not seen.
-
-Classes: words that training has ``FLOOR`` times are types of their own, however many they are; a
-rarer word, seen or not, belongs to the type of its signature, a hash of its last three bytes and
-its length into ``SIGNATURES`` types. The types are assigned to ``CLASSES`` classes by the exchange
-algorithm in two steps. First on the driver over a bounded table: words that make up at least
-1/``COMMON`` of the training tokens, and all others by signature; each in turn moves to the class
-that most raises the likelihood of the type bigrams, until none moves or ``SWEEPS`` are done. From
-there over all types and their sparse bigrams, which are dealt out in blocks of types: in each of
-``ROUNDS`` every block moves a share of its types against the class bigrams as of the round's start
-and its own moves; a round that lowers the likelihood is undone and the share halved. The driver
-has one byte a type and the class bigrams; tasks have one byte a type and a block.
+class transitions with absolute discounting over the class frequencies; word emissions with 0.1
+added, and in each class but the end's one more word for all that training has not seen. An unseen
+word has the sum over the classes; after it the classes are as frequent as they are anywhere. So the
+probabilities after any word sum to one.
+
+Classes are assigned by exchange, in three steps that all weigh what the likelihood of the class
+bigrams gains. First on the driver over a bounded table: words that make up at least 1/``COMMON`` of
+the training tokens, beside one type for all others; each in turn moves to the class where it gains
+most, until none moves or ``SWEEPS`` are done. Then over all words that training has ``FLOOR`` times,
+however many they are, from the class of the others: their sparse bigrams are dealt out in blocks,
+and in each of ``ROUNDS`` every block moves a share of its words against the class bigrams as of the
+round's start and its own moves; a round that lowers the likelihood is undone and the share halved.
+Last, each rarer word of the training texts is put by its own neighbours where it gains most. The
+driver has one byte a word of the second step and the class bigrams; tasks have that and a block.
 
 The corpus is encoded once: chunks of documents with a dictionary of word hashes (64 bits) and
 token numbers. Dictionary parts are counted by hash, the counts go back to their chunks, and each
@@ -37,16 +38,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slidemill.session import materialise, ship_package
+from slidemill.session import discard, materialise, ship_package
 
-COMMON, SIGNATURES, CLASSES, SWEEPS = 2000, 1000, 128, 4
-#: Training tokens from which a word is a type of its own, and rounds of exchange over all types.
+COMMON, CLASSES, SWEEPS = 2000, 128, 4
+#: Training tokens from which a word takes part in the rounds of exchange, and their number.
 FLOOR, ROUNDS = 5, 6
 #: Types of a block, about, and (type, class) pairs that are weighed at once.
 BLOCK_TYPES, WEIGHED = 16384, 4096
 FOLDS, ADDED, DISCOUNT = 10, 0.1, 0.75
 #: Tokens of a chunk, save for a longer single document.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 #: Texts that are taken out of an Arrow batch at once.
 TEXTS = 256
 #: Rows of the bigram table that are summed together, and groups of tasks whose sums are summed first.
@@ -58,10 +59,6 @@ def held_out(doc_id) -> bool:
     return doc_id is None or zlib.crc32(str(doc_id).encode()) % FOLDS == 0
 
 
-def signature(word: bytes) -> int:
-    return xxhash.xxh32_intdigest(word[-3:] + bytes([min(len(word), 12) // 3])) % SIGNATURES
-
-
 def squeeze(x: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
 
@@ -70,8 +67,8 @@ def expand(data: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
 
 
-CHUNK_COLUMNS = {"chunk": pa.int64(), "docs": pa.binary(), "null_ids": pa.binary(), "sizes": pa.binary(), "tokens": pa.binary(), "hashes": pa.binary(), "signatures": pa.binary(), "counts": pa.binary(), "train_tokens": pa.int64(), "train_docs": pa.int64()}
-CHUNK_SCHEMA = "chunk long, docs binary, null_ids binary, sizes binary, tokens binary, hashes binary, signatures binary, counts binary, train_tokens long, train_docs long"
+CHUNK_COLUMNS = {"chunk": pa.int64(), "docs": pa.binary(), "null_ids": pa.binary(), "sizes": pa.binary(), "tokens": pa.binary(), "hashes": pa.binary(), "counts": pa.binary(), "train_tokens": pa.int64(), "train_docs": pa.int64()}
+CHUNK_SCHEMA = "chunk long, docs binary, null_ids binary, sizes binary, tokens binary, hashes binary, counts binary, train_tokens long, train_docs long"
 
 
 def _encode(chunk_tokens: int):
@@ -101,7 +98,6 @@ def _encode(chunk_tokens: int):
                 "sizes": squeeze(size),
                 "tokens": squeeze(flat),
                 "hashes": squeeze(hashes[order]),
-                "signatures": squeeze(np.array([signature(w) for w in names], np.uint16)[order]),
                 "counts": squeeze(counts),
                 "train_tokens": int(size[train].sum() + train.sum()),
                 "train_docs": int(train.sum()),
@@ -125,89 +121,92 @@ def _encode(chunk_tokens: int):
     return run
 
 
+def _cut(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """Where the parts of rising hashes begin and end."""
+    return np.concatenate([[0], np.searchsorted(hashes, [b * (2**64 // parts) for b in range(1, parts)]), [len(hashes)]]).astype(int)
+
+
 def _deal(parts: int):
     """Each chunk's dictionary in parts by hash."""
 
     def run(batches):
         for batch in batches:
-            for chunk, hashes, counts, signatures in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                hashes, counts, signatures = expand(hashes, "<u8"), expand(counts, "<u4"), expand(signatures, "<u2")
-                cut = np.searchsorted(hashes, [b * (2**64 // parts) for b in range(1, parts)])
-                cut = np.concatenate([[0], cut, [len(hashes)]]).astype(int)
-                rows = [(b, chunk, squeeze(hashes[x:y]), squeeze(counts[x:y]), squeeze(signatures[x:y])) for b, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if x < y]
+            for chunk, hashes, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                hashes, counts = expand(hashes, "<u8"), expand(counts, "<u4")
+                cut = _cut(hashes, parts)
+                rows = [(b, chunk, squeeze(hashes[x:y]), squeeze(counts[x:y])) for b, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if x < y]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["part", "chunk", "hashes", "counts", "signatures"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["part", "chunk", "hashes", "counts"])
 
     return run
 
 
-COUNTED = "kind int, part long, chunk long, counts binary, types binary, hash long, n long, words long"
+COUNTED = "kind int, part long, chunk long, counts binary, types binary, hash long, n long"
+
+
+def _groups(batches):
+    """Rows that come ordered by their first column, as lists of equal ones."""
+    held = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and row[0] != held[0][0]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
 
 
 def _count(total: int, common: int):
-    """Rows (part, chunk, hashes, counts, signatures) come ordered by part. Yields each chunk's counts
-    and its words' places among the part's types, from 1 (kind 0), the common words with their places
-    (1), the distinct words of the signatures that are no types (2), and the types' signatures (3)."""
+    """Rows (part, chunk, hashes, counts) come ordered by part. Yields each chunk's counts and its words'
+    places among the part's types, from 1 (kind 0), the common words with their places (1), and the numbers
+    of rarer words (2) and of types (3)."""
 
     def settle(held):
-        chunks, hashes, counts, signatures = zip(*((c, expand(h, "<u8"), expand(n, "<u4"), expand(s, "<u2")) for _, c, h, n, s in held), strict=True)
+        chunks, hashes, counts = zip(*((c, expand(h, "<u8"), expand(n, "<u4")) for _, c, h, n in held), strict=True)
         part = held[0][0]
-        known, first, at = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+        known, at = np.unique(np.concatenate(hashes), return_inverse=True)
         sums = np.bincount(at, np.concatenate(counts)).astype(np.int64)
         often = sums * common >= total if total else np.zeros(len(sums), bool)
         typed = often | (sums >= FLOOR)
         place = np.where(typed, np.cumsum(typed), 0)
-        own = np.concatenate(signatures)[first]
         rows, end = [], 0
         for chunk, h in zip(chunks, hashes, strict=True):
             mine = at[end : end + len(h)]
             end += len(h)
-            rows.append((0, part, chunk, squeeze(sums[mine].astype(np.uint64)), squeeze(place[mine].astype(np.uint32)), None, None, None))
-        rows += [(1, part, None, None, None, int(h), int(x), 1) for h, x in zip(known[often].view(np.int64), place[often], strict=True)]
-        words = np.bincount(own[~typed & (sums > 0)], minlength=SIGNATURES)
-        rows += [(2, part, None, None, None, int(s), None, int(words[s])) for s in np.flatnonzero(words)]
-        rows.append((3, part, None, None, squeeze(own[typed].astype(np.uint16)), None, int(typed.sum()), None))
-        types = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+            rows.append((0, part, chunk, squeeze(sums[mine].astype(np.uint64)), squeeze(place[mine].astype(np.uint32)), None, None))
+        rows += [(1, part, None, None, None, int(h), int(x)) for h, x in zip(known[often].view(np.int64), place[often], strict=True)]
+        rows += [(2, part, None, None, None, None, int((~typed & (sums > 0)).sum())), (3, part, None, None, None, None, int(typed.sum()))]
+        types = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[c.split()[0] for c in COUNTED.split(", ")])
 
-    def run(batches):
-        held = []
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and row[0] != held[0][0]:
-                    yield settle(held)
-                    held = []
-                held.append(row)
-        if held:
-            yield settle(held)
-
-    return run
+    return lambda batches: (settle(held) for held in _groups(batches))
 
 
-def types_of(hashes: np.ndarray, signatures: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The type of each dictionary word: its place among the common hashes, or past them by signature."""
+def types_of(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The type of each dictionary word: its place among the common hashes, or the one after them."""
     at = np.searchsorted(common, hashes)
     own = common[np.minimum(at, len(common) - 1)] == hashes if len(common) else np.zeros(len(hashes), bool)
-    return np.where(own, at, len(common) + signatures.astype(np.int64))
+    return np.where(own, at, len(common))
 
 
 def with_ends(values: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """The values of all documents with ``end`` after each, and before each its predecessor."""
     after = np.insert(values, np.cumsum(sizes), end)
-    return after, np.concatenate([[end], after[:-1]])
+    return after, np.concatenate([[end], after[:-1]])[: len(after)]
 
 
 def _pairs(common: np.ndarray, block: int):
     """Counts of type bigrams in the training documents, summed in each task; sparse, by blocks of rows."""
-    n = len(common) + SIGNATURES + 1
+    n = len(common) + 2
 
     def run(batches):
         table = np.zeros(n * n, np.int64)
         for batch in batches:
-            for docs, null_ids, sizes, tokens, hashes, signatures in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for docs, null_ids, sizes, tokens, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 sizes = expand(sizes, "<i8")
-                train = np.array([not (x or held_out(int(i))) for i, x in zip(expand(docs, "<i8"), expand(null_ids, "u1"), strict=True)])
-                kinds = types_of(expand(hashes, "<u8"), expand(signatures, "<u2"), common)
+                train = _training(docs, null_ids)
+                kinds = types_of(expand(hashes, "<u8"), common)
                 flat = kinds[expand(tokens, "<u4")[np.repeat(train, sizes)]]
                 now, before = with_ends(flat, sizes[train], n - 1)
                 if train.any():
@@ -250,8 +249,9 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
-def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
-    """Classes of types from their bigram counts; the last type (the end) is alone in class 0.
+def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS, others: bool = False) -> np.ndarray:
+    """Classes of types from their bigram counts; the last type (the end) is alone in class 0, and with
+    ``others`` the one before it stays in the last class.
 
     Maximises sum n(c,d) log n(c,d) - sum n(c) log n(c) - sum n(d) log n(d), the likelihood of the
     class bigrams, by moving one type at a time, the frequent ones first.
@@ -261,6 +261,9 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
     order = np.argsort(-mass[:-1], kind="stable")
     of = np.zeros(t, np.int64)
     of[order] = 1 + np.arange(t - 1) % max(1, classes - 1)
+    if others:
+        of[-2] = classes - 1
+        order = order[order != t - 2]
     member = np.zeros((t, classes))
     member[np.arange(t), of] = 1
     into, out = pairs.T @ member, pairs @ member  # per type: by class of the one before, after
@@ -322,28 +325,31 @@ def fit(pairs: np.ndarray, tokens: np.ndarray, words: np.ndarray, classes: int =
     return class_model(of, member.T @ (pairs @ member), np.bincount(of, tokens, classes), np.bincount(of, words, classes))
 
 
-TYPED = "docs binary, null_ids binary, sizes binary, tokens binary, kinds binary, counts binary"
+TYPED = "chunk long, docs binary, null_ids binary, sizes binary, tokens binary, hashes binary, kinds binary, counts binary"
 
 
 def _typed(offsets: np.ndarray, types: int):
-    """Chunks with what came back by part: the type and the count of each dictionary word."""
+    """Chunks with what came back by part: the type and the count of each dictionary word. Beyond the types
+    are numbers for the rarer words, for the end, and for words that training hasn't."""
 
     def run(batches):
         for batch in batches:
-            for docs, null_ids, sizes, tokens, signatures, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                kinds, counts = types + expand(signatures, "<u2").astype(np.int64), [np.zeros(0, np.uint64)]
-                end = 0
+            for chunk, docs, null_ids, sizes, tokens, hashes, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                kinds, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
                 for x in sorted(found or [], key=lambda x: x["part"]):
-                    place = expand(x["types"], "<u4").astype(np.int64)
-                    kinds[end : end + len(place)] = np.where(place > 0, offsets[x["part"]] + place - 1, kinds[end : end + len(place)])
-                    counts.append(expand(x["counts"], "<u8"))
-                    end += len(place)
-                row = (docs, null_ids, sizes, tokens, squeeze(kinds.astype(np.uint32)), squeeze(np.concatenate(counts)))
-                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in row], names=[c.split()[0] for c in TYPED.split(", ")])
+                    place, n = expand(x["types"], "<u4").astype(np.int64), expand(x["counts"], "<u8")
+                    kinds.append(np.where(place > 0, offsets[x["part"]] + place - 1, np.where(n > 0, types, types + 2)))
+                    counts.append(n)
+                row = (docs, null_ids, sizes, tokens, hashes, squeeze(np.concatenate(kinds).astype(np.uint32)), squeeze(np.concatenate(counts)))
+                yield pa.RecordBatch.from_arrays([pa.array([chunk]), *(pa.array([x], pa.binary()) for x in row)], names=[c.split()[0] for c in TYPED.split(", ")])
 
     return run
 
 
+def _training(docs: bytes, null_ids: bytes) -> np.ndarray:
+    return np.array([not (x or held_out(int(i))) for i, x in zip(expand(docs, "<i8"), expand(null_ids, "u1"), strict=True)], bool)
+
+
 def pack(keys: np.ndarray) -> bytes:
     """Rising keys by their differences, byte by byte, which leaves little of each."""
     return squeeze(np.diff(keys.astype(np.uint64), prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T)
@@ -377,9 +383,9 @@ def _bigrams(n: int, blocks: int):
 
     def run(batches):
         for batch in batches:
-            for docs, null_ids, sizes, tokens, kinds, _ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for docs, null_ids, sizes, tokens, kinds in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 sizes = expand(sizes, "<i8")
-                train = np.array([not (x or held_out(int(i))) for i, x in zip(expand(docs, "<i8"), expand(null_ids, "u1"), strict=True)])
+                train = _training(docs, null_ids)
                 if not train.any():
                     continue
                 flat = expand(kinds, "<u4").astype(np.int64)[expand(tokens, "<u4")[np.repeat(train, sizes)]]
@@ -494,7 +500,7 @@ def _move(of, table: np.ndarray, turn: int, share: int, n: int, blocks: int):
                     sides.append((own, other, counts))
                 sides = [np.bincount(own * classes + of.value[other], counts, len(ids) * classes).reshape(-1, classes) for own, other, counts in sides]
                 mass = sides[0].sum(axis=1) + same
-                todo = np.flatnonzero((ids < n - 1) & (mass > 0) & ((np.arange(len(ids)) + turn) % share == 0))
+                todo = np.flatnonzero((ids < n - 2) & (mass > 0) & ((np.arange(len(ids)) + turn) % share == 0))
                 todo = todo[np.argsort(-mass[todo], kind="stable")]
                 weight = np.cumsum((sides[0][todo] > 0).sum(axis=1) + (sides[1][todo] > 0).sum(axis=1))
                 for at in np.split(todo, np.flatnonzero(np.diff(weight // WEIGHED)) + 1) if len(todo) else ():
@@ -517,15 +523,32 @@ def likelihood(table: np.ndarray) -> float:
     return float(_xlogx(table).sum() - _xlogx(table.sum(axis=0)).sum() - _xlogx(table.sum(axis=1)).sum())
 
 
+def _sum_tables(size: int):
+    def run(batches):
+        table = np.zeros(size)
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                table += expand(x, "<f8")
+        yield pa.RecordBatch.from_arrays([pa.array([squeeze(table)])], names=["pairs"])
+
+    return run
+
+
+def sum_of_tables(tables: DataFrame, classes: int) -> np.ndarray:
+    """The sum of the tasks' class tables; the driver gets at most LANES of them."""
+    lanes = tables.withColumn("lane", F.spark_partition_id() % LANES).repartition(LANES, "lane").select("pairs")
+    found = np.zeros(classes * classes)
+    for r in lanes.mapInArrow(_sum_tables(classes * classes), "pairs binary").collect():
+        found += expand(bytes(r["pairs"]), "<f8")
+    return found.reshape(classes, classes)
+
+
 def exchange_all(neighbours: DataFrame, of: np.ndarray, blocks: int, classes: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of all types, and class bigrams, from those that they start in; the last type stays."""
+    """Classes of all types, and class bigrams, from those that they start in; the last two types stay."""
     context, n = neighbours.sparkSession.sparkContext, len(of)
 
     def pairs_of(shared):
-        found = np.zeros(classes * classes)
-        for r in neighbours.mapInArrow(_class_pairs(shared, classes, n, blocks), "pairs binary").collect():
-            found += expand(bytes(r["pairs"]), "<f8")
-        return found.reshape(classes, classes)
+        return sum_of_tables(neighbours.mapInArrow(_class_pairs(shared, classes, n, blocks), "pairs binary"), classes)
 
     shared = context.broadcast(of)
     table, share = pairs_of(shared), 2
@@ -546,22 +569,131 @@ def exchange_all(neighbours: DataFrame, of: np.ndarray, blocks: int, classes: in
     return of, table
 
 
+RARE = "part long, chunk long, hashes binary, keys binary, counts binary"
+
+
+def _rare(of, classes: int, types: int, parts: int):
+    """Of each chunk, by part: the rarer words' hashes, and how often which class stands after (class) and
+    before (``classes`` + class) each in the training documents."""
+
+    def run(batches):
+        width = 2 * classes
+        for batch in batches:
+            for chunk, docs, null_ids, sizes, tokens, hashes, kinds in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                sizes, kinds, hashes = expand(sizes, "<i8"), expand(kinds, "<u4").astype(np.int64), expand(hashes, "<u8")
+                train, rare = _training(docs, null_ids), np.flatnonzero(kinds == types)
+                place = np.full(len(kinds) + 1, -1)
+                place[rare] = np.arange(len(rare))
+                cls = np.append(of.value[np.minimum(kinds, types)], of.value[-1]).astype(np.int64)
+                flat = expand(tokens, "<u4").astype(np.int64)[np.repeat(train, sizes)]
+                now, before = with_ends(flat, sizes[train], len(kinds))
+                after, into = place[before] >= 0, place[now] >= 0
+                keys, counts = np.unique(np.concatenate([place[before[after]] * width + cls[now[after]], place[now[into]] * width + classes + cls[before[into]]]), return_counts=True)
+                cut = _cut(hashes[rare], parts)
+                at = np.searchsorted(keys, cut * width)
+                rows = [(b, chunk, squeeze(hashes[rare[cut[b] : cut[b + 1]]]), pack(keys[at[b] : at[b + 1]] - cut[b] * width), squeeze(counts[at[b] : at[b + 1]].astype(np.uint32))) for b in np.flatnonzero(np.diff(cut)).tolist()]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["part", "chunk", "hashes", "keys", "counts"])
+
+    return run
+
+
+PLACED = "part long, chunk long, classes binary, words binary"
+
+
+def _place(table: np.ndarray):
+    """Rows of ``_rare`` come ordered by part. Yields for each chunk its rarer words' classes, and once a
+    part (chunk null) the number of words by class."""
+    classes = len(table)
+    width = 2 * classes
+
+    def settle(held):
+        hashes = [expand(h, "<u8") for _, _, h, _, _ in held]
+        known, at = np.unique(np.concatenate(hashes), return_inverse=True)
+        ends = np.cumsum([len(h) for h in hashes])
+        keys, counts = [], []
+        for (*_, k, n), begin in zip(held, ends - [len(h) for h in hashes], strict=True):
+            word, cell = np.divmod(unpack(k), width)
+            keys.append(at[begin + word] * width + cell)
+            counts.append(expand(n, "<u4").astype(np.int64))
+        keys, counts = _summed(np.concatenate(keys), np.concatenate(counts))
+        best = np.empty(len(known), np.uint8)
+        for a in range(0, len(known), WEIGHED):
+            b = min(a + WEIGHED, len(known))
+            x, y = np.searchsorted(keys, (a * width, b * width))
+            near = np.bincount(keys[x:y] - a * width, counts[x:y], (b - a) * width).reshape(-1, width)
+            best[a:b] = _weigh(table, np.full(b - a, classes - 1), near[:, :classes], near[:, classes:], np.zeros(b - a)).argmax(axis=1)
+        part, own = held[0][0], best[at]
+        rows = [(part, chunk, squeeze(own[end - len(h) : end]), None) for (_, chunk, *_), h, end in zip(held, hashes, ends, strict=True)]
+        rows.append((part, None, None, squeeze(np.bincount(best, minlength=classes).astype(np.int64))))
+        types = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[c.split()[0] for c in PLACED.split(", ")])
+
+    return lambda batches: (settle(held) for held in _groups(batches))
+
+
+CLASSED = "docs binary, null_ids binary, sizes binary, tokens binary, classes binary, counts binary"
+
+
+def _classed(of, classes: int, types: int):
+    """Chunks with the class of each dictionary word; ``classes`` for words that training hasn't."""
+
+    def run(batches):
+        for batch in batches:
+            for docs, null_ids, sizes, tokens, kinds, counts, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                kinds = expand(kinds, "<u4").astype(np.int64)
+                own = np.append(of.value, classes)[kinds].astype(np.uint8)
+                own[kinds == types] = np.concatenate([np.zeros(0, np.uint8), *(expand(x["classes"], "u1") for x in sorted(found or [], key=lambda x: x["part"]))])
+                row = (docs, null_ids, sizes, tokens, squeeze(own), counts)
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in row], names=[c.split()[0] for c in CLASSED.split(", ")])
+
+    return run
+
+
+def _class_table(classes: int):
+    """Class bigrams of the training documents of a task's chunks."""
+
+    def run(batches):
+        table = np.zeros(classes * classes)
+        for batch in batches:
+            for docs, null_ids, sizes, tokens, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                sizes, train = expand(sizes, "<i8"), _training(docs, null_ids)
+                if train.any():
+                    now, before = with_ends(expand(own, "u1").astype(np.int64)[expand(tokens, "<u4")[np.repeat(train, sizes)]], sizes[train], 0)
+                    table += np.bincount(before * classes + now, minlength=classes * classes)
+        yield pa.RecordBatch.from_arrays([pa.array([squeeze(table)])], names=["pairs"])
+
+    return run
+
+
+def unseen(model: dict) -> tuple[np.ndarray, np.ndarray]:
+    """log10 of the class transitions with a row for what follows an unseen word, and of an unseen word after each class."""
+    prior = (model["size"] + ADDED) / (model["size"].sum() + ADDED * len(model["size"]))
+    step = np.vstack([10 ** model["step"], prior])
+    left = ADDED / 10 ** model["room"]
+    left[0] = 0.0  # the end is all of its class
+    return np.log10(step), np.log10(step @ left)
+
+
 def _score(model: dict, total: int, distinct: int, ends: int):
-    """Rows of a chunk, with its types and counts; scores of its documents."""
-    n = len(model["of"])
+    """Rows of a chunk, with its classes and counts; scores of its documents."""
     room = np.log10(total + ADDED * (distinct + 1))
+    step, new = unseen(model)
+    classes = len(new) - 1
+    emit = np.append(model["room"], 0.0)
 
     def run(batches):
         for batch in batches:
-            for docs, null_ids, sizes, tokens, kinds, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for docs, null_ids, sizes, tokens, own, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 docs, null_ids, sizes = expand(docs, "<i8"), expand(null_ids, "u1").astype(bool), expand(sizes, "<i8")
                 counts = np.append(expand(counts, "<u8"), ends).astype(float)
-                kinds = np.append(expand(kinds, "<u4").astype(np.int64), n - 1)
-                classes = model["of"][kinds].astype(np.int64)
+                cls = np.append(expand(own, "u1").astype(np.int64), 0)
                 alone = np.log10(counts + ADDED)
-                now, before = with_ends(expand(tokens, "<u4").astype(np.int64), sizes, len(kinds) - 1)
+                word = np.where(cls == 0, 0.0, alone - emit[cls])
+                now, before = with_ends(expand(tokens, "<u4").astype(np.int64), sizes, len(cls) - 1)
                 base = alone[now] - room
-                own = model["step"][classes[before], classes[now]] + (alone - model["room"][classes])[now]
+                here, last = cls[now], cls[before]
+                mine = np.where(here == classes, new[last], step[last, np.minimum(here, classes - 1)] + word[now])
                 at = np.cumsum(sizes + 1) - sizes - 1
                 known = np.add.reduceat((counts > 0)[now].astype(np.int64), at)
                 out = [
@@ -571,54 +703,79 @@ def _score(model: dict, total: int, distinct: int, ends: int):
                     pa.array(known),
                     pa.array(np.full(len(docs), total)),
                     pa.array(np.add.reduceat(base, at)),
-                    pa.array(np.add.reduceat(own, at)),
+                    pa.array(np.add.reduceat(mine, at)),
                 ]
                 yield pa.RecordBatch.from_arrays(out, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
 
 
-def brown_scores(docs: DataFrame, chunk_tokens: int = CHUNK, common: int = COMMON, classes: int = CLASSES, sweeps: int = SWEEPS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each document."""
+def first_classes(types: int, classes: int) -> np.ndarray:
+    """The classes that types begin in, dealt out in turn; then those of the rarer words, and of the end."""
+    return np.append(1 + np.arange(types) % max(1, classes - 1), [classes - 1, 0]).astype(np.uint8)
+
+
+def learn(docs: DataFrame, chunk_tokens: int = CHUNK, common: int = COMMON, classes: int = CLASSES, sweeps: int = SWEEPS) -> tuple[DataFrame, dict, int, int, int]:
+    """The corpus as chunks with the classes of their words, the class model, and the numbers of training
+    tokens, distinct training tokens and training documents."""
     spark = docs.sparkSession
     ship_package(spark)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     chunks = materialise(texts.mapInArrow(_encode(chunk_tokens), CHUNK_SCHEMA), "chunks")
-    sums = chunks.agg(F.coalesce(F.sum("train_tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("train_docs"), F.lit(0)).alias("docs")).first()
+    sums = chunks.agg(F.coalesce(F.sum("train_tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("train_docs"), F.lit(0)).alias("docs"), F.count("*").alias("chunks")).first()
     total, ends = int(sums["tokens"]), int(sums["docs"])
-    parts = chunks.select("chunk", "hashes", "counts", "signatures").mapInArrow(_deal(2 * tasks), "part long, chunk long, hashes binary, counts binary, signatures binary")
-    counted = materialise(parts.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(_count(total, common), COUNTED), "counts")
+    each = max(tasks, int(sums["chunks"]))  # so many tasks that each has few chunks
+    split = max(2 * tasks, min(8 * tasks, int(sums["chunks"])))
+    parts = chunks.select("chunk", "hashes", "counts").mapInArrow(_deal(split), "part long, chunk long, hashes binary, counts binary")
+    counted = materialise(parts.repartition(split, "part").sortWithinPartitions("part").mapInArrow(_count(total, common), COUNTED), "counts")
     often = counted.where("kind = 1").select("part", "hash", "n").collect()  # at most `common` words
     hashes = np.sort(np.array([r["hash"] for r in often], np.int64).view(np.uint64))
-    n = len(hashes) + SIGNATURES + 1
-    words = np.zeros(SIGNATURES, np.int64)
-    for r in counted.where("kind = 2").groupBy("hash").agg(F.sum("words").alias("words")).collect():  # a row a signature
-        words[r["hash"]] = r["words"]
-    offsets, types, start = np.zeros(2 * tasks + 1, np.int64), 0, []
-    for r in sorted(counted.where("kind = 3").select("part", "n", "types").toLocalIterator(), key=lambda r: r["part"]):  # two bytes a type
+    n = len(hashes) + 2
+    rarer = counted.where("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    offsets, types = np.zeros(split + 1, np.int64), 0
+    for r in sorted(counted.where("kind = 3").select("part", "n").collect(), key=lambda r: r["part"]):  # a row a part
         offsets[r["part"]] = types
         types += r["n"]
-        start.append(expand(bytes(r["types"]), "<u2"))
     pairs = np.zeros(n * n)
-    found = chunks.select("docs", "null_ids", "sizes", "tokens", "hashes", "signatures").mapInArrow(_pairs(hashes, BLOCK), PAIRS)
+    found = chunks.select("docs", "null_ids", "sizes", "tokens", "hashes").mapInArrow(_pairs(hashes, BLOCK), PAIRS)
     for keys in (["block", "lane"], ["block"]):
         found = found.repartition(tasks, *keys).sortWithinPartitions(*keys).mapInArrow(_sum_pairs(BLOCK * n), PAIRS)
         found = found.withColumn("lane", F.lit(0).cast("long"))
     for r in found.toLocalIterator():  # at most n * n numbers
         pairs[r["block"] * BLOCK * n + expand(bytes(r["places"]), "<u4").astype(np.int64)] = expand(bytes(r["counts"]), "<i8")
-    coarse = exchange(pairs.reshape(n, n), classes, sweeps).astype(np.uint8)
-    of = np.concatenate([coarse[len(hashes) + np.concatenate([*start, np.zeros(0, np.uint16)]).astype(np.int64)], coarse[len(hashes) :]])
+    coarse = exchange(pairs.reshape(n, n), classes, sweeps, others=True).astype(np.uint8)
+    of = first_classes(types, classes)
     for r in often:
         of[offsets[r["part"]] + r["n"] - 1] = coarse[np.searchsorted(hashes, np.array([r["hash"]], np.int64).view(np.uint64))[0]]
-    back = counted.where("kind = 0").groupBy(F.col("chunk").alias("__chunk")).agg(F.collect_list(F.struct("part", "counts", "types")).alias("found"))
-    # By number, so that few chunks' tokens are in a task.
-    joined = chunks.repartition(tasks, "chunk").join(back.repartition(tasks, "__chunk"), F.col("chunk") == F.col("__chunk"), "left").select("docs", "null_ids", "sizes", "tokens", "signatures", "found")
+    back = counted.where("kind = 0").groupBy(F.col("chunk").alias("of_chunk")).agg(F.collect_list(F.struct("part", "counts", "types")).alias("found"))
+    joined = chunks.repartition(each, "chunk").join(back.repartition(each, "of_chunk"), F.col("chunk") == F.col("of_chunk"), "left").select("chunk", "docs", "null_ids", "sizes", "tokens", "hashes", "found")
     typed = materialise(joined.mapInArrow(_typed(offsets, types), TYPED), "typed")
+    discard(chunks)
+    discard(counted)
     blocks = max(tasks, types // BLOCK_TYPES + 1)
-    found = typed.mapInArrow(_bigrams(len(of), blocks), NEIGHBOURS).repartition(tasks, "block").sortWithinPartitions("block")
+    found = typed.select("docs", "null_ids", "sizes", "tokens", "kinds").mapInArrow(_bigrams(len(of), blocks), NEIGHBOURS).repartition(blocks, "block").sortWithinPartitions("block")
     neighbours = materialise(found.mapInArrow(_sum_neighbours, NEIGHBOURS), "neighbours")
     of, table = exchange_all(neighbours, of, blocks, classes)
-    distinct = np.bincount(of[:types], minlength=classes) + np.bincount(of[types:], np.append(words, ends > 0), classes)
-    model = class_model(of, table, table.sum(axis=0), distinct)
-    return typed.mapInArrow(_score(model, total, types + int(words.sum()) + (ends > 0), ends), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    discard(neighbours)
+    shared = spark.sparkContext.broadcast(of)
+    rare = typed.select("chunk", "docs", "null_ids", "sizes", "tokens", "hashes", "kinds").mapInArrow(_rare(shared, classes, types, split), RARE)
+    placed = materialise(rare.repartition(split, "part").sortWithinPartitions("part").mapInArrow(_place(table), PLACED), "rare")
+    words = np.zeros(classes, np.int64)
+    for r in placed.where("chunk IS NULL").select("words").collect():  # a row a part
+        words += expand(bytes(r["words"]), "<i8")
+    back = placed.where("chunk IS NOT NULL").groupBy(F.col("chunk").alias("of_chunk")).agg(F.collect_list(F.struct("part", "classes")).alias("found"))
+    joined = typed.repartition(each, "chunk").join(back.repartition(each, "of_chunk"), F.col("chunk") == F.col("of_chunk"), "left").select("docs", "null_ids", "sizes", "tokens", "kinds", "counts", "found")
+    classed = materialise(joined.mapInArrow(_classed(shared, classes, types), CLASSED), "classed")
+    discard(typed)
+    discard(placed)
+    table = sum_of_tables(classed.select("docs", "null_ids", "sizes", "tokens", "classes").mapInArrow(_class_table(classes), "pairs binary"), classes)
+    distinct = np.bincount(of[:types], minlength=classes) + words
+    distinct[0] += ends > 0
+    return classed, class_model(of, table, table.sum(axis=0), distinct), total, types + int(rarer) + (ends > 0), ends
+
+
+def brown_scores(docs: DataFrame, chunk_tokens: int = CHUNK, common: int = COMMON, classes: int = CLASSES, sweeps: int = SWEEPS) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each document."""
+    classed, model, total, distinct, ends = learn(docs, chunk_tokens, common, classes, sweeps)
+    return classed.mapInArrow(_score(model, total, distinct, ends), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

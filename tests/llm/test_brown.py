@@ -107,3 +107,82 @@ def test_weights_of_moves_are_differences_of_the_objective():
             other[i] = c
             a, b = (B.likelihood(np.eye(4)[x].T @ pairs @ np.eye(4)[x]) for x in (other, of))
             assert np.isclose(gain[i, c] - gain[i, of[i]], a - b)
+
+
+def brute_scores(rows, of, classes):
+    """Scores by plain sums, from the class of each training word."""
+    train = [[*words(t), None] for i, t in rows if not B.held_out(i)]
+    c = Counter(w for d in train for w in d)
+    size, distinct = Counter(), Counter()
+    for w, n in c.items():
+        size[of[w]] += n
+        distinct[of[w]] += 1
+    pair, before = Counter(), Counter()
+    follows = {}
+    for d in train:
+        for v, w in zip([None, *d], d):
+            pair[of[v], of[w]] += 1
+            before[of[v]] += 1
+            follows.setdefault(of[v], set()).add(of[w])
+    total = sum(size.values())
+    prior = [(size[x] + 0.1) / (total + 0.1 * classes) for x in range(classes)]
+
+    def step(v, x):
+        if v == "new" or not before[v]:
+            return prior[x]
+        return max(pair[v, x] - 0.75, 0) / before[v] + 0.75 * len(follows[v]) / before[v] * prior[x]
+
+    def word(v, w):
+        if w in of:
+            own = 1.0 if of[w] == 0 else (c[w] + 0.1) / (size[of[w]] + 0.1 * (distinct[of[w]] + 1))
+            return step(v, of[w]) * own
+        return sum(step(v, x) * 0.1 / (size[x] + 0.1 * (distinct[x] + 1)) for x in range(1, classes))
+
+    out = []
+    for i, t in rows:
+        v, score = 0, 0.0
+        for w in [*words(t), None]:
+            score += log10(word(v, w))
+            v = of.get(w, "new")
+        out.append((i, round(score, 6)))
+    sums = [sum(word(v, w) for w in of) + word(v, object()) for v in {*of.values(), "new"}]
+    return sorted(out, key=str), sums
+
+
+def test_scores_against_brute_force(docs_of, odd_rows):
+    import xxhash
+
+    rng = random.Random(6)
+    rows = [*odd_rows, *corpus(120), *((2000 + i, " ".join(rng.choice(["n1x", "v2y", f"rare{rng.randrange(90)}", f"once{i}"]) for _ in range(12))) for i in range(40))]
+    classed, model, total, distinct, ends = B.learn(docs_of(rows), 300, classes=7)
+    got = classed.mapInArrow(B._score(model, total, distinct, ends), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").collect()
+    # The class of each training word, read off the chunks of a single document each.
+    one, *_ = B.learn(docs_of(rows, 1), 0, classes=7)
+    of = {None: 0}
+    for r in one.collect():
+        flat = np.frombuffer(B.expand(bytes(r.tokens), "u1"), "<u4")
+        doc = int(B.expand(bytes(r.docs), "<i8")[0])
+        for i, t in rows:
+            if (i or 0) == doc and len(words(t)) == len(flat):
+                own = B.expand(bytes(r.classes), "u1")
+                names = sorted(set(words(t)), key=lambda w: xxhash.xxh64_intdigest(w, 5))
+                if [names.index(w) for w in words(t)] == flat.tolist():
+                    of |= {w: int(own[k]) for k, w in enumerate(names) if own[k] < 7}
+    c = Counter(w for i, t in rows if not B.held_out(i) for w in [*words(t), None])
+    assert set(of) == set(c) and any(1 < c[w] < B.FLOOR for w in of) and len(set(of.values())) > 3
+    want, sums = brute_scores(rows, of, 7)
+    assert np.allclose(sums, 1)
+    assert sorted(((r.doc_id, round(r.score, 6)) for r in got), key=str) == want
+
+
+def test_rarer_words_get_the_class_of_their_neighbours(docs_of):
+    """Words seen three times each, which always stand for a noun or a verb, help in held-out texts."""
+    rng = random.Random(8)
+    nouns, verbs = [f"n{i}x" for i in range(40)], [f"v{i}y" for i in range(40)]
+    rare = [[f"{k}rare{i}" for i in range(300)] * 4 for k in "nv"]
+    for x in rare:
+        rng.shuffle(x)
+    rows = [(i, " ".join((rare[k % 2].pop() if k in (4, 5, 10, 11) and rare[k % 2] else rng.choice((nouns, verbs)[k % 2])) for k in range(20))) for i in range(400)]
+    out = B.brown_scores(docs_of(rows), classes=6).collect()
+    held = [r for r in out if r.held_out]
+    assert len(held) > 20 and sum(r.score for r in held) > sum(r.base_score for r in held) + 0.2 * sum(r.n_tokens for r in held)
