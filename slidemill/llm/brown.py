@@ -17,7 +17,8 @@ Last, each rarer word of the training texts is put by its own neighbours where i
 driver has one byte a word of the second step and the class bigrams; tasks have that and a block.
 
 The corpus is encoded once: chunks of documents with a dictionary of word hashes (64 bits) and
-token numbers. Dictionary parts are counted by hash, the counts go back to their chunks, and each
+token numbers. The token numbers stay in files of the shared folder, one a task, where each later
+pass reads them, so that they are never shuffled. Dictionary parts are counted by hash, the counts go back to their chunks, and each
 chunk is scored with them; so what is shuffled grows with the corpus, and no word is in every task
 more than once a chunk.
 
@@ -28,23 +29,25 @@ Without training documents the scores are those of unseen words.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slidemill.session import discard, materialise, ship_package
+from slidemill.session import discard, materialise, scratch_path, ship_package
 
 COMMON, CLASSES, SWEEPS = 2000, 128, 4
 #: Training tokens from which a word takes part in the rounds of exchange, and their number.
 FLOOR, ROUNDS = 5, 6
 #: Types of a block, about, and (type, class) pairs that are weighed at once.
-BLOCK_TYPES, WEIGHED = 16384, 4096
+BLOCK_TYPES, WEIGHED = 4096, 4096
 FOLDS, ADDED, DISCOUNT = 10, 0.1, 0.75
 #: Tokens of a chunk, save for a longer single document.
 CHUNK = 1_000_000
@@ -67,14 +70,40 @@ def expand(data: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
 
 
-CHUNK_COLUMNS = {"chunk": pa.int64(), "docs": pa.binary(), "null_ids": pa.binary(), "sizes": pa.binary(), "tokens": pa.binary(), "hashes": pa.binary(), "counts": pa.binary(), "train_tokens": pa.int64(), "train_docs": pa.int64()}
-CHUNK_SCHEMA = "chunk long, docs binary, null_ids binary, sizes binary, tokens binary, hashes binary, counts binary, train_tokens long, train_docs long"
+CHUNK_COLUMNS = {"chunk": pa.int64(), "docs": pa.binary(), "null_ids": pa.binary(), "sizes": pa.binary(), "tokens": pa.string(), "hashes": pa.binary(), "counts": pa.binary(), "train_tokens": pa.int64(), "train_docs": pa.int64()}
+CHUNK_SCHEMA = "chunk long, docs binary, null_ids binary, sizes binary, tokens string, hashes binary, counts binary, train_tokens long, train_docs long"
 
 
-def _encode(chunk_tokens: int):
-    """Texts to chunks: token numbers into a dictionary that is ordered by word hash."""
+class Tokens:
+    """Token numbers in files of a folder, each told by 'name:offset:length'; handles stay open for a task."""
+
+    def __init__(self, folder: str):
+        self.where, self.path = fs.FileSystem.from_uri(folder)
+        self.files: dict = {}
+
+    def __call__(self, told: str) -> np.ndarray:
+        name, at, n = told.split(":")
+        if name not in self.files:
+            self.files[name] = self.where.open_input_file(f"{self.path}/{name}")
+        return expand(self.files[name].read_at(int(n), int(at)), "<u4")
+
+    def close(self) -> None:
+        for f in self.files.values():
+            f.close()
+
+
+def _encode(folder: str, chunk_tokens: int):
+    """Texts to chunks: token numbers into a dictionary that is ordered by word hash. An attempt of a
+    task writes to a file of its own, which its rows name."""
 
     def run(batches):
+        where, path = fs.FileSystem.from_uri(folder)
+        where.create_dir(path, recursive=True)
+        name = f"{TaskContext.get().partitionId():07d}-{uuid.uuid4().hex}"
+        with where.open_output_stream(f"{path}/{name}") as file:
+            yield from encoded(batches, name, file)
+
+    def encoded(batches, name, file):
         part, number = TaskContext.get().partitionId(), 0
         words: dict[bytes, int] = {}
         ids, sizes, tokens = [], [], []
@@ -91,12 +120,15 @@ def _encode(chunk_tokens: int):
             size = np.array(sizes, np.int64)
             train = np.array([not held_out(i) for i in ids])
             counts = np.bincount(flat[np.repeat(train, size)], minlength=len(names)).astype(np.uint32)
+            data = squeeze(flat)
+            told = f"{name}:{file.tell()}:{len(data)}"
+            file.write(data)
             row = {
                 "chunk": (part << 24) | number,
                 "docs": squeeze(np.array([i or 0 for i in ids], np.int64)),
                 "null_ids": squeeze(np.array([i is None for i in ids], np.uint8)),
                 "sizes": squeeze(size),
-                "tokens": squeeze(flat),
+                "tokens": told,
                 "hashes": squeeze(hashes[order]),
                 "counts": squeeze(counts),
                 "train_tokens": int(size[train].sum() + train.sum()),
@@ -196,18 +228,19 @@ def with_ends(values: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarr
     return after, np.concatenate([[end], after[:-1]])[: len(after)]
 
 
-def _pairs(common: np.ndarray, block: int):
+def _pairs(folder: str, common: np.ndarray, block: int):
     """Counts of type bigrams in the training documents, summed in each task; sparse, by blocks of rows."""
     n = len(common) + 2
 
     def run(batches):
+        numbers = Tokens(folder)
         table = np.zeros(n * n, np.int64)
         for batch in batches:
             for docs, null_ids, sizes, tokens, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 sizes = expand(sizes, "<i8")
                 train = _training(docs, null_ids)
                 kinds = types_of(expand(hashes, "<u8"), common)
-                flat = kinds[expand(tokens, "<u4")[np.repeat(train, sizes)]]
+                flat = kinds[numbers(tokens)[np.repeat(train, sizes)]]
                 now, before = with_ends(flat, sizes[train], n - 1)
                 if train.any():
                     table += np.bincount(before * n + now, minlength=n * n)
@@ -216,6 +249,7 @@ def _pairs(common: np.ndarray, block: int):
             part = table[b * block * n : (b + 1) * block * n]
             if len(at := np.flatnonzero(part)):
                 yield _sparse(b, lane, at, part[at])
+        numbers.close()
 
     return run
 
@@ -325,7 +359,7 @@ def fit(pairs: np.ndarray, tokens: np.ndarray, words: np.ndarray, classes: int =
     return class_model(of, member.T @ (pairs @ member), np.bincount(of, tokens, classes), np.bincount(of, words, classes))
 
 
-TYPED = "chunk long, docs binary, null_ids binary, sizes binary, tokens binary, hashes binary, kinds binary, counts binary"
+TYPED = "chunk long, docs binary, null_ids binary, sizes binary, tokens string, hashes binary, kinds binary, counts binary"
 
 
 def _typed(offsets: np.ndarray, types: int):
@@ -341,7 +375,7 @@ def _typed(offsets: np.ndarray, types: int):
                     kinds.append(np.where(place > 0, offsets[x["part"]] + place - 1, np.where(n > 0, types, types + 2)))
                     counts.append(n)
                 row = (docs, null_ids, sizes, tokens, hashes, squeeze(np.concatenate(kinds).astype(np.uint32)), squeeze(np.concatenate(counts)))
-                yield pa.RecordBatch.from_arrays([pa.array([chunk]), *(pa.array([x], pa.binary()) for x in row)], names=[c.split()[0] for c in TYPED.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (chunk, *row)], names=[c.split()[0] for c in TYPED.split(", ")])
 
     return run
 
@@ -376,19 +410,20 @@ def _neighbours(block: int, sides) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(out, names=[c.split()[0] for c in NEIGHBOURS.split(", ")])
 
 
-def _bigrams(n: int, blocks: int):
+def _bigrams(folder: str, n: int, blocks: int):
     """Each training bigram of a chunk twice: with the block of its first type (out) and of its second (in).
 
     Type i is number i // blocks of block i % blocks; a key is that number times n, plus the neighbour."""
 
     def run(batches):
+        numbers = Tokens(folder)
         for batch in batches:
             for docs, null_ids, sizes, tokens, kinds in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 sizes = expand(sizes, "<i8")
                 train = _training(docs, null_ids)
                 if not train.any():
                     continue
-                flat = expand(kinds, "<u4").astype(np.int64)[expand(tokens, "<u4")[np.repeat(train, sizes)]]
+                flat = expand(kinds, "<u4").astype(np.int64)[numbers(tokens)[np.repeat(train, sizes)]]
                 now, before = with_ends(flat, sizes[train], n - 1)
                 before *= n
                 before += now
@@ -410,6 +445,7 @@ def _bigrams(n: int, blocks: int):
                         part = [(keys[:0], counts[:0])] * 2
                         part[side] = (key[cut[b] : cut[b + 1]] - b * (n // blocks + 1) * n, mine[cut[b] : cut[b + 1]])
                         yield _neighbours(int(b), part)
+        numbers.close()
 
     return run
 
@@ -548,7 +584,7 @@ def exchange_all(neighbours: DataFrame, of: np.ndarray, blocks: int, classes: in
     context, n = neighbours.sparkSession.sparkContext, len(of)
 
     def pairs_of(shared):
-        return sum_of_tables(neighbours.mapInArrow(_class_pairs(shared, classes, n, blocks), "pairs binary"), classes)
+        return sum_of_tables(neighbours.select("block", "out_keys", "out_counts").mapInArrow(_class_pairs(shared, classes, n, blocks), "pairs binary"), classes)
 
     shared = context.broadcast(of)
     table, share = pairs_of(shared), 2
@@ -572,11 +608,12 @@ def exchange_all(neighbours: DataFrame, of: np.ndarray, blocks: int, classes: in
 RARE = "part long, chunk long, hashes binary, keys binary, counts binary"
 
 
-def _rare(of, classes: int, types: int, parts: int):
+def _rare(folder: str, of, classes: int, types: int, parts: int):
     """Of each chunk, by part: the rarer words' hashes, and how often which class stands after (class) and
     before (``classes`` + class) each in the training documents."""
 
     def run(batches):
+        numbers = Tokens(folder)
         width = 2 * classes
         for batch in batches:
             for chunk, docs, null_ids, sizes, tokens, hashes, kinds in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -585,7 +622,7 @@ def _rare(of, classes: int, types: int, parts: int):
                 place = np.full(len(kinds) + 1, -1)
                 place[rare] = np.arange(len(rare))
                 cls = np.append(of.value[np.minimum(kinds, types)], of.value[-1]).astype(np.int64)
-                flat = expand(tokens, "<u4").astype(np.int64)[np.repeat(train, sizes)]
+                flat = numbers(tokens).astype(np.int64)[np.repeat(train, sizes)]
                 now, before = with_ends(flat, sizes[train], len(kinds))
                 after, into = place[before] >= 0, place[now] >= 0
                 keys, counts = np.unique(np.concatenate([place[before[after]] * width + cls[now[after]], place[now[into]] * width + classes + cls[before[into]]]), return_counts=True)
@@ -594,6 +631,7 @@ def _rare(of, classes: int, types: int, parts: int):
                 rows = [(b, chunk, squeeze(hashes[rare[cut[b] : cut[b + 1]]]), pack(keys[at[b] : at[b + 1]] - cut[b] * width), squeeze(counts[at[b] : at[b + 1]].astype(np.uint32))) for b in np.flatnonzero(np.diff(cut)).tolist()]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["part", "chunk", "hashes", "keys", "counts"])
+        numbers.close()
 
     return run
 
@@ -632,7 +670,7 @@ def _place(table: np.ndarray):
     return lambda batches: (settle(held) for held in _groups(batches))
 
 
-CLASSED = "docs binary, null_ids binary, sizes binary, tokens binary, classes binary, counts binary"
+CLASSED = "docs binary, null_ids binary, sizes binary, tokens string, classes binary, counts binary"
 
 
 def _classed(of, classes: int, types: int):
@@ -645,23 +683,25 @@ def _classed(of, classes: int, types: int):
                 own = np.append(of.value, classes)[kinds].astype(np.uint8)
                 own[kinds == types] = np.concatenate([np.zeros(0, np.uint8), *(expand(x["classes"], "u1") for x in sorted(found or [], key=lambda x: x["part"]))])
                 row = (docs, null_ids, sizes, tokens, squeeze(own), counts)
-                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in row], names=[c.split()[0] for c in CLASSED.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=[c.split()[0] for c in CLASSED.split(", ")])
 
     return run
 
 
-def _class_table(classes: int):
+def _class_table(folder: str, classes: int):
     """Class bigrams of the training documents of a task's chunks."""
 
     def run(batches):
+        numbers = Tokens(folder)
         table = np.zeros(classes * classes)
         for batch in batches:
             for docs, null_ids, sizes, tokens, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 sizes, train = expand(sizes, "<i8"), _training(docs, null_ids)
                 if train.any():
-                    now, before = with_ends(expand(own, "u1").astype(np.int64)[expand(tokens, "<u4")[np.repeat(train, sizes)]], sizes[train], 0)
+                    now, before = with_ends(expand(own, "u1").astype(np.int64)[numbers(tokens)[np.repeat(train, sizes)]], sizes[train], 0)
                     table += np.bincount(before * classes + now, minlength=classes * classes)
         yield pa.RecordBatch.from_arrays([pa.array([squeeze(table)])], names=["pairs"])
+        numbers.close()
 
     return run
 
@@ -675,7 +715,7 @@ def unseen(model: dict) -> tuple[np.ndarray, np.ndarray]:
     return np.log10(step), np.log10(step @ left)
 
 
-def _score(model: dict, total: int, distinct: int, ends: int):
+def _score(folder: str, model: dict, total: int, distinct: int, ends: int):
     """Rows of a chunk, with its classes and counts; scores of its documents."""
     room = np.log10(total + ADDED * (distinct + 1))
     step, new = unseen(model)
@@ -683,6 +723,7 @@ def _score(model: dict, total: int, distinct: int, ends: int):
     emit = np.append(model["room"], 0.0)
 
     def run(batches):
+        numbers = Tokens(folder)
         for batch in batches:
             for docs, null_ids, sizes, tokens, own, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 docs, null_ids, sizes = expand(docs, "<i8"), expand(null_ids, "u1").astype(bool), expand(sizes, "<i8")
@@ -690,7 +731,7 @@ def _score(model: dict, total: int, distinct: int, ends: int):
                 cls = np.append(expand(own, "u1").astype(np.int64), 0)
                 alone = np.log10(counts + ADDED)
                 word = np.where(cls == 0, 0.0, alone - emit[cls])
-                now, before = with_ends(expand(tokens, "<u4").astype(np.int64), sizes, len(cls) - 1)
+                now, before = with_ends(numbers(tokens).astype(np.int64), sizes, len(cls) - 1)
                 base = alone[now] - room
                 here, last = cls[now], cls[before]
                 mine = np.where(here == classes, new[last], step[last, np.minimum(here, classes - 1)] + word[now])
@@ -706,6 +747,7 @@ def _score(model: dict, total: int, distinct: int, ends: int):
                     pa.array(np.add.reduceat(mine, at)),
                 ]
                 yield pa.RecordBatch.from_arrays(out, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        numbers.close()
 
     return run
 
@@ -715,14 +757,15 @@ def first_classes(types: int, classes: int) -> np.ndarray:
     return np.append(1 + np.arange(types) % max(1, classes - 1), [classes - 1, 0]).astype(np.uint8)
 
 
-def learn(docs: DataFrame, chunk_tokens: int = CHUNK, common: int = COMMON, classes: int = CLASSES, sweeps: int = SWEEPS) -> tuple[DataFrame, dict, int, int, int]:
-    """The corpus as chunks with the classes of their words, the class model, and the numbers of training
-    tokens, distinct training tokens and training documents."""
+def learn(docs: DataFrame, chunk_tokens: int = CHUNK, common: int = COMMON, classes: int = CLASSES, sweeps: int = SWEEPS) -> tuple[DataFrame, str, dict, int, int, int]:
+    """The corpus as chunks with the classes of their words, the folder of their tokens, the class model,
+    and the numbers of training tokens, distinct training tokens and training documents."""
     spark = docs.sparkSession
     ship_package(spark)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    chunks = materialise(texts.mapInArrow(_encode(chunk_tokens), CHUNK_SCHEMA), "chunks")
+    folder = scratch_path(spark, "tokens")
+    chunks = materialise(texts.mapInArrow(_encode(folder, chunk_tokens), CHUNK_SCHEMA), "chunks")
     sums = chunks.agg(F.coalesce(F.sum("train_tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("train_docs"), F.lit(0)).alias("docs"), F.count("*").alias("chunks")).first()
     total, ends = int(sums["tokens"]), int(sums["docs"])
     each = max(tasks, int(sums["chunks"]))  # so many tasks that each has few chunks
@@ -738,7 +781,7 @@ def learn(docs: DataFrame, chunk_tokens: int = CHUNK, common: int = COMMON, clas
         offsets[r["part"]] = types
         types += r["n"]
     pairs = np.zeros(n * n)
-    found = chunks.select("docs", "null_ids", "sizes", "tokens", "hashes").mapInArrow(_pairs(hashes, BLOCK), PAIRS)
+    found = chunks.select("docs", "null_ids", "sizes", "tokens", "hashes").mapInArrow(_pairs(folder, hashes, BLOCK), PAIRS)
     for keys in (["block", "lane"], ["block"]):
         found = found.repartition(tasks, *keys).sortWithinPartitions(*keys).mapInArrow(_sum_pairs(BLOCK * n), PAIRS)
         found = found.withColumn("lane", F.lit(0).cast("long"))
@@ -754,12 +797,12 @@ def learn(docs: DataFrame, chunk_tokens: int = CHUNK, common: int = COMMON, clas
     discard(chunks)
     discard(counted)
     blocks = max(tasks, types // BLOCK_TYPES + 1)
-    found = typed.select("docs", "null_ids", "sizes", "tokens", "kinds").mapInArrow(_bigrams(len(of), blocks), NEIGHBOURS).repartition(blocks, "block").sortWithinPartitions("block")
+    found = typed.select("docs", "null_ids", "sizes", "tokens", "kinds").mapInArrow(_bigrams(folder, len(of), blocks), NEIGHBOURS).repartition(blocks, "block").sortWithinPartitions("block")
     neighbours = materialise(found.mapInArrow(_sum_neighbours, NEIGHBOURS), "neighbours")
     of, table = exchange_all(neighbours, of, blocks, classes)
     discard(neighbours)
     shared = spark.sparkContext.broadcast(of)
-    rare = typed.select("chunk", "docs", "null_ids", "sizes", "tokens", "hashes", "kinds").mapInArrow(_rare(shared, classes, types, split), RARE)
+    rare = typed.select("chunk", "docs", "null_ids", "sizes", "tokens", "hashes", "kinds").mapInArrow(_rare(folder, shared, classes, types, split), RARE)
     placed = materialise(rare.repartition(split, "part").sortWithinPartitions("part").mapInArrow(_place(table), PLACED), "rare")
     words = np.zeros(classes, np.int64)
     for r in placed.where("chunk IS NULL").select("words").collect():  # a row a part
@@ -769,13 +812,13 @@ def learn(docs: DataFrame, chunk_tokens: int = CHUNK, common: int = COMMON, clas
     classed = materialise(joined.mapInArrow(_classed(shared, classes, types), CLASSED), "classed")
     discard(typed)
     discard(placed)
-    table = sum_of_tables(classed.select("docs", "null_ids", "sizes", "tokens", "classes").mapInArrow(_class_table(classes), "pairs binary"), classes)
+    table = sum_of_tables(classed.select("docs", "null_ids", "sizes", "tokens", "classes").mapInArrow(_class_table(folder, classes), "pairs binary"), classes)
     distinct = np.bincount(of[:types], minlength=classes) + words
     distinct[0] += ends > 0
-    return classed, class_model(of, table, table.sum(axis=0), distinct), total, types + int(rarer) + (ends > 0), ends
+    return classed, folder, class_model(of, table, table.sum(axis=0), distinct), total, types + int(rarer) + (ends > 0), ends
 
 
 def brown_scores(docs: DataFrame, chunk_tokens: int = CHUNK, common: int = COMMON, classes: int = CLASSES, sweeps: int = SWEEPS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each document."""
-    classed, model, total, distinct, ends = learn(docs, chunk_tokens, common, classes, sweeps)
-    return classed.mapInArrow(_score(model, total, distinct, ends), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    classed, folder, model, total, distinct, ends = learn(docs, chunk_tokens, common, classes, sweeps)
+    return classed.mapInArrow(_score(folder, model, total, distinct, ends), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

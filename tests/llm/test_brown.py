@@ -154,13 +154,14 @@ def test_scores_against_brute_force(docs_of, odd_rows):
 
     rng = random.Random(6)
     rows = [*odd_rows, *corpus(120), *((2000 + i, " ".join(rng.choice(["n1x", "v2y", f"rare{rng.randrange(90)}", f"once{i}"]) for _ in range(12))) for i in range(40))]
-    classed, model, total, distinct, ends = B.learn(docs_of(rows), 300, classes=7)
-    got = classed.mapInArrow(B._score(model, total, distinct, ends), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").collect()
+    classed, folder, model, total, distinct, ends = B.learn(docs_of(rows), 300, classes=7)
+    got = classed.mapInArrow(B._score(folder, model, total, distinct, ends), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").collect()
     # The class of each training word, read off the chunks of a single document each.
-    one, *_ = B.learn(docs_of(rows, 1), 0, classes=7)
+    one, folder, *_ = B.learn(docs_of(rows, 1), 0, classes=7)
+    numbers = B.Tokens(folder)
     of = {None: 0}
     for r in one.collect():
-        flat = np.frombuffer(B.expand(bytes(r.tokens), "u1"), "<u4")
+        flat = numbers(r.tokens)
         doc = int(B.expand(bytes(r.docs), "<i8")[0])
         for i, t in rows:
             if (i or 0) == doc and len(words(t)) == len(flat):
