@@ -636,6 +636,30 @@ def _rare(folder: str, of, classes: int, types: int, parts: int):
     return run
 
 
+def insertion_tables(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What the objective gains in each class by 0 to FLOOR bigrams with one of another class (after it, then
+    before it), and loses by so many tokens of it (as first, then as second of a bigram)."""
+    more = np.arange(FLOOR + 1.0)[:, None, None]
+    grid = np.concatenate([table.T, table])  # by the neighbour's class and side, then the word's
+    whole = np.stack([table.sum(axis=1), table.sum(axis=0)])
+    return _xlogx(grid + more) - _xlogx(grid), _xlogx(whole + more) - _xlogx(whole)
+
+
+def insertion(gains: np.ndarray, sides: np.ndarray, word: np.ndarray, cell: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
+    """What the objective gains by each of n words of under FLOOR tokens in each class, the others being as
+    they are; the words' neighbours are given in order of the word, by cell and count."""
+    classes = gains.shape[-1]
+    out = np.zeros((n, classes))
+    if len(word):
+        first = np.flatnonzero(np.diff(word, prepend=-1))
+        out[word[first]] = np.add.reduceat(gains[count, cell], first, axis=0)
+    for side in (0, 1):
+        own = cell // classes == side
+        out -= sides[np.bincount(word[own], count[own], n).astype(np.int64), side]
+    out[:, 0] = -np.inf
+    return out
+
+
 PLACED = "part long, chunk long, classes binary, words binary"
 
 
@@ -644,6 +668,7 @@ def _place(table: np.ndarray):
     part (chunk null) the number of words by class."""
     classes = len(table)
     width = 2 * classes
+    gains, sides = insertion_tables(table)
 
     def settle(held):
         hashes = [expand(h, "<u8") for _, _, h, _, _ in held]
@@ -659,8 +684,8 @@ def _place(table: np.ndarray):
         for a in range(0, len(known), WEIGHED):
             b = min(a + WEIGHED, len(known))
             x, y = np.searchsorted(keys, (a * width, b * width))
-            near = np.bincount(keys[x:y] - a * width, counts[x:y], (b - a) * width).reshape(-1, width)
-            best[a:b] = _weigh(table, np.full(b - a, classes - 1), near[:, :classes], near[:, classes:], np.zeros(b - a)).argmax(axis=1)
+            word, cell = np.divmod(keys[x:y] - a * width, width)
+            best[a:b] = insertion(gains, sides, word, cell, counts[x:y], b - a).argmax(axis=1)
         part, own = held[0][0], best[at]
         rows = [(part, chunk, squeeze(own[end - len(h) : end]), None) for (_, chunk, *_), h, end in zip(held, hashes, ends, strict=True)]
         rows.append((part, None, None, squeeze(np.bincount(best, minlength=classes).astype(np.int64))))

@@ -187,3 +187,21 @@ def test_rarer_words_get_the_class_of_their_neighbours(docs_of):
     out = B.brown_scores(docs_of(rows), classes=6).collect()
     held = [r for r in out if r.held_out]
     assert len(held) > 20 and sum(r.score for r in held) > sum(r.base_score for r in held) + 0.2 * sum(r.n_tokens for r in held)
+
+
+def test_insertion_is_a_difference_of_the_objective():
+    rng = np.random.default_rng(9)
+    table = rng.integers(0, 40, (5, 5)).astype(float)
+    gains, sides = B.insertion_tables(table)
+    word, cell, count = np.array([0, 0, 2]), np.array([3, 6, 1]), np.array([2, 3, 1])
+    got = B.insertion(gains, sides, word, cell, count, 3)
+    f = lambda x: (x * np.log(np.maximum(x, 1))).sum()
+    for w in range(3):
+        for c in range(1, 5):
+            want = 0.0
+            after, before = np.zeros(5), np.zeros(5)
+            for d, n in zip(cell[word == w], count[word == w], strict=True):
+                (after if d < 5 else before)[d % 5] += n
+            want += f(table[c] + after) - f(table[c]) + f(table[:, c] + before) - f(table[:, c])
+            want -= f(table[c].sum() + after.sum()) - f(table[c].sum()) + f(table[:, c].sum() + before.sum()) - f(table[:, c].sum())
+            assert np.isclose(got[w, c], want)
