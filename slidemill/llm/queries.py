@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from slidemill.llm import brown, exact_dedup, licenses, packing, quality, repeats, sentence_pieces, simhash, token_files, toxicity
 from slidemill.session import ship_package
 
@@ -40,7 +42,9 @@ def op7_sentence_pieces(spark, sf_dir):
 
 
 def op8_license_scan(spark, sf_dir):
-    return licenses.scan(_documents(spark, sf_dir)).drop("spans")
+    spans = F.col("spans")
+    out = licenses.scan(_documents(spark, sf_dir))
+    return out.select("doc_id", "n_sentences", "licenses", "kinds", spans["licence"].alias("found"), spans["start"].alias("starts"), spans["end"].alias("ends"))
 
 
 def op9_quality_rules(spark, sf_dir):
