@@ -54,12 +54,27 @@ def _best_pair(counts: np.ndarray, skip: int, room: int) -> int:
     return best
 
 
+def _two_above(counts: np.ndarray, floor: int, skip: int) -> int:
+    """The sum of the two smallest pieces longer than ``floor``, leaving out one of length skip; a great number if there aren't two."""
+    out = 0
+    need = 2
+    for length in np.flatnonzero(counts[floor + 1 :]) + floor + 1:
+        take = min(need, int(counts[length]) - (length == skip))
+        out, need = out + take * int(length), need - take
+        if not need:
+            return out
+    return 1 << 40
+
+
 def dominance(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Takes out of counts, longest first, sequences that dominate every other one with that piece.
 
     With j the longest piece left and k the longest that fits beside it, {j, k} dominates where it
     fills the sequence, where no two pieces fit beside j, or where no three do and no two are longer
-    together than k. Where nothing fits beside j, {j} stands alone.
+    together than k. Where at most two fit beside j, {j, k, b} dominates with b the longest that fits
+    beside j and k, if no two pieces longer than b fit beside j: of any two that do, the longer is at
+    most k and the shorter at most b. Where nothing fits beside j, {j} stands alone. What is taken out
+    makes none of this untrue, so a choice holds until one of its lengths is used up.
     """
     fixed = []
     for j in range(capacity, 0, -1):
@@ -75,14 +90,20 @@ def dominance(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...],
             small = _two_smallest(counts, j, 3)
             only_one = len(small) < 2 or small[0] + small[1] > room
             only_two = len(small) < 3 or sum(small) > room
-            if not (k == room or only_one or (only_two and _best_pair(counts, j, room) <= k)):
+            chosen = None
+            if k == room or only_one or (only_two and _best_pair(counts, j, room) <= k):
+                chosen = (j, k)
+            elif only_two:
+                have[k] -= 1
+                beside = np.flatnonzero(have[: room - k + 1])
+                if len(beside) and _two_above(counts, int(beside[-1]), j) > room:
+                    chosen = (j, k, int(beside[-1]))
+            if chosen is None:
                 break
-            n = int(counts[j] // 2 if k == j else min(counts[j], counts[k]))
-            if not (k == room or only_one):
-                n = 1  # what is left may change the choice
-            counts[j] -= n
-            counts[k] -= n
-            fixed.append(((j, k), n))
+            n = min(int(counts[x]) // chosen.count(x) for x in set(chosen))
+            for x in chosen:
+                counts[x] -= n
+            fixed.append((chosen, n))
     return fixed
 
 
@@ -187,7 +208,8 @@ def place_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     histogram = {r["length"]: r["n"] for r in per_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     bases = per_task.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("base"))
-    ranked = pieces.join(bases, ["task", "length"]).withColumn("rank", F.col("base") + F.col("place")).drop("task", "place", "base")
+    # Merged, never broadcast: the bases grow with the tasks.
+    ranked = pieces.join(bases.hint("merge"), ["task", "length"]).withColumn("rank", F.col("base") + F.col("place")).drop("task", "place", "base")
     names = [f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name != "rank"]
     return ranked.mapInArrow(_assign(plan(histogram, capacity)), ", ".join([*names, "sequence_id long", "offset long"]))
 
