@@ -39,7 +39,8 @@ def _gather(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of the links (a, b), root being the smallest node reachable.
 
-    Alternates large-star and small-star (Kiveris et al.); each round is written to the shared
+    Links of a node with itself and repeated links say nothing; null nodes aren't allowed; no links, no
+    rows. Alternates large-star and small-star (Kiveris et al.); each round is written to the shared
     folder. Hubs are pre-aggregated before the shuffle and their joins can be split by AQE.
     """
     now = materialise(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from slidemill.llm.frames import free_name
 from slidemill.session import materialise, ship_package
 
 #: Counters of the Misra-Gries summaries, and so the bound on rows that are broadcast.
@@ -102,14 +103,16 @@ def drop_copies(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     doc_id is the key of documents. Rows that share a doc_id stand or fall together, and rows that
     repeat both doc_id and normalised text become one.
     """
-    ids = exact_dedup(docs, counters).groupBy(F.col("doc_id").alias("__id")).agg(F.max("kept").alias("__kept"), F.count("*").alias("__n"))
-    ids = materialise(ids.where(~F.col("__kept") | (F.col("__n") > 1)), "copies")
-    same = F.col("doc_id").eqNullSafe(F.col("__id"))
-    left = docs.join(ids.where(~F.col("__kept")), same, "left_anti")
-    repeated = ids.where(F.col("__kept")).select("__id")
+    name = free_name(docs.columns, "of_id")
+    row = free_name([*docs.columns, name], "row")
+    ids = exact_dedup(docs, counters).groupBy(F.col("doc_id").alias(name)).agg(F.max("kept").alias("stays"), F.count("*").alias("rows"))
+    ids = materialise(ids.where("NOT stays OR rows > 1"), "copies")
+    same = F.col("doc_id").eqNullSafe(F.col(name))
+    left = docs.join(ids.where("NOT stays").select(name), same, "left_anti")
+    repeated = ids.where("stays").select(name)
     if repeated.isEmpty():
         return left
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     order = Window.partitionBy("doc_id", F.sha2(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "").cast("binary"), 256)).orderBy(F.char_length(text).desc())
-    once = left.join(repeated, same, "left_semi").withColumn("__row", F.row_number().over(order)).where("__row = 1")
+    once = left.join(repeated, same, "left_semi").withColumn(row, F.row_number().over(order)).where(F.col(row) == 1)
     return left.join(repeated, same, "left_anti").unionByName(once.select(*docs.columns))

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slidemill.llm.components import connected_components, local_components
+from slidemill.llm.frames import free_name
 from slidemill.session import materialise, ship_package
 
 SEGMENTS, BUDGET, SHINGLE, SEED = 8, 4, 4, 42
@@ -203,7 +204,7 @@ def links(prints: DataFrame, agreeing: int, chunk: int = CHUNK) -> DataFrame:
 
 
 def near_components(docs: DataFrame, shingle: int = SHINGLE, chunk: int = CHUNK) -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 hex digits), component_id, group_links."""
+    """One row per document: doc_id, fingerprint (16 hex digits), component_id."""
     table = fingerprint_table(docs, shingle)
     prints = materialise(table.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints")
     found = connected_components(links(prints.select("fp"), agreeing_segments(prints.count()), chunk))
@@ -216,5 +217,6 @@ def near_components(docs: DataFrame, shingle: int = SHINGLE, chunk: int = CHUNK)
 
 def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, chunk: int = CHUNK) -> DataFrame:
     """One document of each component, the one of the smallest doc_id, with all its columns."""
-    gone = near_components(docs, shingle, chunk).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(materialise(gone, "near-copies"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    name = free_name(docs.columns, "of_id")
+    gone = near_components(docs, shingle, chunk).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(materialise(gone, "near-copies"), F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
