@@ -117,11 +117,11 @@ def segments(data: bytes):
     at = 2
     while at + 2 <= len(data):
         if data[at] != 0xFF:
-            raise ValueError(f"malformed JPEG segment at offset {at}")
+            raise ValueError(f"no marker stands at byte {at} of the JPEG")
         while at + 1 < len(data) and data[at + 1] == 0xFF:
             at += 1
         if at + 1 >= len(data):
-            raise ValueError("truncated JPEG segment")
+            raise ValueError("the JPEG ends within a segment")
         marker, at = data[at + 1], at + 2
         if marker in (0x01, 0xD8) or 0xD0 <= marker <= 0xD7:
             continue
@@ -129,7 +129,7 @@ def segments(data: bytes):
             return
         size = int.from_bytes(data[at : at + 2], "big")
         if at + 2 > len(data) or size < 2:
-            raise ValueError("truncated JPEG segment")
+            raise ValueError("the JPEG ends within a segment")
         yield marker, at + 2, at + size
         if marker == 0xDA:
             return

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -39,14 +41,23 @@ def decode_tile(data: bytes, compression: str, width: int, height: int) -> np.nd
     return hevc_tile(data, width, height)
 
 
-def hevc_tile(data: bytes, width: int, height: int) -> np.ndarray:
-    """One HEVC packet as pixels, padded white; needs PyAV, which is optional."""
+@cache
+def hevc_context():
+    """The worker's one HEVC decoder; needs PyAV, which is optional."""
     try:
         import av
     except ImportError as e:
         raise ValueError("HEVC tiles need the PyAV package on the executors") from e
-    context = av.CodecContext.create("hevc", "r")
-    frames = [*context.decode(av.Packet(data)), *context.decode(None)]
+    return av.Packet, av.CodecContext.create("hevc", "r")
+
+
+def hevc_tile(data: bytes, width: int, height: int) -> np.ndarray:
+    """One HEVC packet as pixels, padded white."""
+    packet, context = hevc_context()
+    frames = [*context.decode(packet(data)), *context.decode(None)]
+    context.flush_buffers()  # ready for the next tile
+    if not frames:
+        raise ValueError("an HEVC tile without a picture")
     out = codec.white(width, height)
     codec.paste(out, frames[0].to_ndarray(format="rgb24"), 0, 0)
     return out

@@ -26,7 +26,7 @@ class Blob:
 
     def read(self, offset: int, length: int, what: str = "data") -> bytes:
         if offset < 0 or length < 0 or offset + length > self.size:
-            raise SlideError(f"truncated {what} in {self.path}")
+            raise SlideError(f"{self.path} ends within its {what}")
         return self.file.read_at(length, offset)
 
     def record(self, offset: int, dtype: np.dtype, what: str = "record"):
@@ -38,7 +38,7 @@ class Blob:
     def need(self, offset: int, length: int, what: str) -> tuple[int, int]:
         """The range, which has to be present and lie in the file."""
         if not (offset > 0 and length > 0 and offset < self.size and length <= self.size - offset):
-            raise SlideError(f"invalid byte range for {what} in {self.path}")
+            raise SlideError(f"{self.path}: a byte range of its {what} lies outside")
         return int(offset), int(length)
 
     def close(self) -> None:
@@ -102,7 +102,7 @@ def grid(width: int, height: int, downsample: float, cols: int, rows: int, range
 
 def check_ranges(blob: Blob, offset: np.ndarray, length: np.ndarray, what: str) -> None:
     if not ((offset > 0) & (length > 0) & (offset < blob.size) & (length <= blob.size - offset)).all():
-        raise SlideError(f"invalid byte range for {what} in {blob.path}")
+        raise SlideError(f"{blob.path}: a byte range of its {what} lies outside")
 
 
 def ceil_div(a: int, b: int) -> int:

@@ -81,3 +81,46 @@ def test_stack_trim_paste():
 @given(st.binary(max_size=60), st.binary(max_size=3))
 def test_positions(data, needle):
     assert positions(data, needle) == ([i for i in range(len(data)) if data[i : i + len(needle)] == needle and i + len(needle) <= len(data)] if needle else [])
+
+
+def test_hevc_tiles_share_one_decoder(monkeypatch):
+    """With a stand-in for PyAV: one context for all tiles, flushed after each; a tile without a picture is an error."""
+    import sys
+    import types
+
+    import numpy as np
+    import pytest
+
+    from slidemill.operators import compose
+
+    made = []
+
+    class Context:
+        def __init__(self):
+            self.held, self.flushed = [], 0
+
+        def decode(self, packet):
+            if packet is not None:
+                self.held = [types.SimpleNamespace(to_ndarray=lambda format, v=packet[0]: np.full((4, 6, 3), v, np.uint8))] if packet else []
+                return []
+            return self.held
+
+        def flush_buffers(self):
+            self.held, self.flushed = [], self.flushed + 1
+
+    def create(name, mode):
+        assert (name, mode) == ("hevc", "r")
+        made.append(Context())
+        return made[-1]
+
+    monkeypatch.setitem(sys.modules, "av", types.SimpleNamespace(Packet=bytes, CodecContext=types.SimpleNamespace(create=create)))
+    compose.hevc_context.cache_clear()
+    try:
+        for v in (7, 9):
+            out = compose.hevc_tile(bytes([v]), 8, 8)
+            assert out.shape == (8, 8, 3) and (out[:4, :6] == v).all() and (out[4:] == 255).all()
+        with pytest.raises(ValueError, match="without a picture"):
+            compose.hevc_tile(b"", 8, 8)
+        assert len(made) == 1 and made[0].flushed == 3
+    finally:
+        compose.hevc_context.cache_clear()
