@@ -348,3 +348,4 @@ SELECT *, CASE WHEN current <> 0 THEN baseline / current END AS speedup FROM g""
     ),
     "resolution_rational": R.sql("levels", " SELECT slide_id, level, CAST(round(greatest(CAST(10000 AS DOUBLE) / s.mpp / pow(CAST(2 AS DOUBLE), level), 0) * 1000) AS BIGINT) AS numerator FROM levels JOIN slides s USING (slide_id)"),
 }
+SQL["splice_bytes_all"] = SQL["splice_bytes"]
