@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -92,6 +93,13 @@ class Tokens:
             f.close()
 
 
+def numbering() -> defaultdict:
+    """Gives each new key the next number."""
+    numbers = defaultdict()
+    numbers.default_factory = numbers.__len__
+    return numbers
+
+
 def _encode(folder: str, chunk_tokens: int):
     """Texts to chunks: token numbers into a dictionary that is ordered by word hash. An attempt of a
     task writes to a file of its own, which its rows name."""
@@ -105,7 +113,7 @@ def _encode(folder: str, chunk_tokens: int):
 
     def encoded(batches, name, file):
         part, number = TaskContext.get().partitionId(), 0
-        words: dict[bytes, int] = {}
+        words = numbering()
         ids, sizes, tokens = [], [], []
         held = 0
 
@@ -134,14 +142,13 @@ def _encode(folder: str, chunk_tokens: int):
                 "train_tokens": int(size[train].sum() + train.sum()),
                 "train_docs": int(train.sum()),
             }
-            words, ids, sizes, tokens, held, number = {}, [], [], [], 0, number + 1
+            words, ids, sizes, tokens, held, number = numbering(), [], [], [], 0, number + 1
             return pa.RecordBatch.from_arrays([pa.array([row[n]], t) for n, t in CHUNK_COLUMNS.items()], names=list(CHUNK_COLUMNS))
 
         for batch in (b.slice(at, TEXTS) for b in batches for at in range(0, b.num_rows, TEXTS)):
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = (t or "").encode().lower().split()
-                own = words.setdefault
-                tokens.append(np.array([own(w, len(words)) for w in found], np.uint32))
+                tokens.append(np.fromiter(map(words.__getitem__, found), np.uint32, len(found)))
                 ids.append(i)
                 sizes.append(len(found))
                 held += len(found) + 1
@@ -491,8 +498,21 @@ def _weigh(table: np.ndarray, here: np.ndarray, out: np.ndarray, into: np.ndarra
     n, classes = out.shape
     each = np.arange(n)
     gain = np.zeros((n, classes))
-    for grid, mine, back in ((table.T, out, into), (table, into, out)):
-        i, d = np.nonzero(mine)
+    gains, _ = insertion_tables(table)
+    for part, (grid, mine, back) in enumerate(((table.T, out, into), (table, into, out))):
+        # Small counts of other classes by the tables of gains, which don't know that the type leaves its own.
+        few = np.where(mine <= FLOOR, mine, 0)
+        few[each, here] = 0
+        for k in range(1, FLOOR + 1):
+            gain += (few == k).astype(float) @ gains[k, part * classes : (part + 1) * classes]
+        i, d = np.nonzero(few)
+        x, base = few[i, d], grid[d, here[i]]
+        gain[each, here] += np.bincount(i, 2 * _xlogx(base) - _xlogx(base - x) - _xlogx(base + x), n)
+        side = np.repeat(grid.sum(axis=0)[None], n, axis=0)
+        whole = mine.sum(axis=1) + same
+        side[each, here] -= whole
+        gain -= _xlogx(side + whole[:, None]) - _xlogx(side)
+        i, d = np.nonzero(mine - few)
         if not len(i):
             continue
         x, home = mine[i, d], d == here[i]
@@ -505,10 +525,6 @@ def _weigh(table: np.ndarray, here: np.ndarray, out: np.ndarray, into: np.ndarra
         base += x[:, None]
         first = np.flatnonzero(np.diff(i, prepend=-1))
         gain[i[first]] += np.add.reduceat(_xlogx(base) - was, first, axis=0)
-        side = np.repeat(grid.sum(axis=0)[None], n, axis=0)
-        whole = mine.sum(axis=1) + same
-        side[each, here] -= whole
-        gain -= _xlogx(side + whole[:, None]) - _xlogx(side)
     corner = np.repeat(np.diag(table)[None], n, axis=0)
     corner[each, here] -= out[each, here] + into[each, here] + same
     gain += _xlogx(corner + out + into + same[:, None]) - _xlogx(corner + out) - _xlogx(corner + into) + _xlogx(corner)
@@ -544,10 +560,12 @@ def _move(of, table: np.ndarray, turn: int, share: int, n: int, blocks: int):
                     gain = _weigh(now, here, out, into, same[at])
                     best = gain.argmax(axis=1)
                     go = np.flatnonzero(gain[np.arange(len(at)), best] > gain[np.arange(len(at)), here] + 1e-9)
-                    for x, to in ((here[go], -1), (best[go], 1)):
-                        np.add.at(now, x, to * out[go])
-                        np.add.at(now.T, x, to * into[go])
-                        np.add.at(now, (x, x), to * same[at][go])
+                    change = np.zeros((classes, len(go)))
+                    change[here[go], np.arange(len(go))] = -1
+                    change[best[go], np.arange(len(go))] = 1
+                    now += change @ out[go]
+                    now += (change @ into[go]).T
+                    now[np.diag_indices(classes)] += change @ same[at][go]
                     np.maximum(now, 0, out=now)
                     mine[at[go]] = best[go]
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([squeeze(mine.astype(np.uint8))])], names=["block", "classes"])
