@@ -54,7 +54,7 @@ HELD = 200_000
 #: Rows that are taken out of an Arrow batch at a time.
 TOGETHER = 128
 #: Phrases of one trigger that are compared together at most, and bytes of a text to sort.
-CROWD, SORTED = 2000, 1_000_000
+CROWD, SORTED = 2000, 500_000
 #: Phrases of one trigger among those that a task gathers, beyond which they go to so many parts of the dictionary.
 HOT, LANES = 1000, 256
 #: Bytes by which phrases of the second parse overlap, and their mean length.
