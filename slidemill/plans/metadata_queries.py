@@ -166,11 +166,12 @@ def quality_estimate(spark, sf_dir):
     scaled = lambda v: F.greatest(F.lit(1), F.least(F.lit(255), F.expr(f"({v} * s + 50) div 100")))
     own = s.withColumn("s", scale(F.col("q"))).select("slide_id", F.array(*[scaled(v) + (F.col("slide_id") % 3 if i == 5 else 0) for i, v in enumerate(table)]).alias("own"))
     each = spark.range(1, 101).withColumnRenamed("id", "q").withColumn("s", scale(F.col("q"))).select("q", F.array(*[scaled(v) for v in table]).alias("std"))
-    # A hundred fixed candidates for each distinct table: slides share few of them.
+    # A hundred fixed candidates for each distinct table: slides share at most 300 of them (100 qualities, 3 shifts of an entry).
     candidates = each.agg(F.array_sort(F.collect_list(F.struct("q", "std"))).alias("all"))
     distance = lambda c: F.aggregate(F.zip_with(c["std"], F.col("own"), lambda a, b: F.abs(a - b)), F.lit(0).cast("long"), lambda x, y: x + y)
     scored = own.select("own").distinct().crossJoin(F.broadcast(candidates)).select("own", F.array_min(F.transform("all", lambda c: F.struct(distance(c).alias("d"), c["q"].alias("q")))).alias("best"))
-    return own.join(scored, "own").select("slide_id", F.col("best.q").alias("quality"), F.col("best.d").alias("distance"))
+    # Named, since by its estimates, which take an array for one entry, Spark would broadcast the slides' side.
+    return own.join(F.broadcast(scored), "own").select("slide_id", F.col("best.q").alias("quality"), F.col("best.d").alias("distance"))
 
 
 def bigtiff_switch(spark, sf_dir):
