@@ -17,7 +17,9 @@ from slidemill.sources.formats.model import Blob
 
 
 class Files:
-    """Reads ranges of a slide's address space; handles stay open for a task."""
+    """Reads ranges of a slide's address space; the handles last used stay open."""
+
+    MOST = 64
 
     def __init__(self):
         self.open: dict[str, Blob] = {}
@@ -26,9 +28,12 @@ class Files:
         if not length:
             return b""
         file = max((f for f in files if f["base"] <= offset), key=lambda f: f["base"])  # the last that begins at or before
-        if file["file"] not in self.open:
-            self.open[file["file"]] = Blob(file["file"])
-        return self.open[file["file"]].read(offset - file["base"], length, "tile")
+        name = file["file"]
+        blob = self.open.pop(name, None) or Blob(name)
+        self.open[name] = blob  # last in order
+        if len(self.open) > self.MOST:
+            self.open.pop(next(iter(self.open))).close()
+        return blob.read(offset - file["base"], length, "tile")
 
     def close(self) -> None:
         for blob in self.open.values():

@@ -6,18 +6,18 @@ SQL knows what each decoded byte range has to show.
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from slidemill.functions import codec
 from slidemill.operators import compose
 from slidemill.plans import relations as R
 from slidemill.plans.convert import convert
-from slidemill.session import local_path, scratch_path, ship_package
+from slidemill.session import local_path, materialise, scratch_path, ship_package
 from slidemill.sources import samples, slide_source
 from slidemill.sources.formats import tiff
-from slidemill.sources.formats.model import Blob
+from slidemill.sources.formats.model import Blob, SlideError
 
 FORMATS = ("tiff", "dmetrix", "sdpc", "kfb", "csp", "bkio", "ndpi", "mrxs")
 KEY = r"s(\d+)\.[a-zA-Z]+$"
@@ -49,24 +49,46 @@ def _key():
     return F.regexp_extract("path", KEY, 1).cast("long")
 
 
-def _seen(frames):
-    """The least and the greatest value of each tile's part that shows."""
+def _parsed(spark, folder: str, *relations: str, faults: bool = False) -> dict:
+    """Relations of the slides of a folder, by one parse of each; a slide that can't be read fails, unless ``faults`` are wanted."""
+    wanted = [*relations, "errors"]
+    all_rows = slide_source.read_slides(spark, folder, "all").where(F.col("relation").isin(wanted))
+    names = ["relation", *dict.fromkeys(c for r in wanted for c in slide_source.columns_of(r))]
+    rows = materialise(all_rows.select(*names), "parsed")
+    out = {r: rows.where(F.col("relation") == r).select(*slide_source.columns_of(r)) for r in wanted}
+    if not faults and (bad := out["errors"].head()):
+        raise SlideError(f"{bad.path}: {bad.message}")
+    return out
+
+
+def _by_slide(rows):
+    """Rows dealt to tasks by slide and in its order, so that a task opens each file once."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, "path").sortWithinPartitions("path")
+
+
+PLACED = {"path": "string", "level": "int", "slot": "long", "x": "long", "y": "long", "width": "long", "height": "long", "src_x": "long", "src_y": "long"}
+
+
+def _seen(batches):
+    """Adds the least and the greatest value of each tile's part that shows."""
     opened = compose.Files()
     try:
-        for pdf in frames:
+        for batch in batches:
             least, most = [], []
-            for t in pdf.to_dict("records"):
+            for t in batch.to_pylist():
                 if not t["length"] > 0:
                     least.append(None)
                     most.append(None)
                     continue
-                image = codec.decode_jpeg(bytes(t["prefix"]) + opened.read(t["files"], int(t["offset"]), int(t["length"])) + bytes(t["suffix"]))
-                if not pd.isna(t["x"]):
-                    x, y = int(t["src_x"]), int(t["src_y"])
-                    image = image[y : y + int(t["height"]), x : x + int(t["width"])]
+                image = codec.decode_jpeg(t["prefix"] + opened.read(t["files"], t["offset"], t["length"]) + t["suffix"])
+                if t["x"] is not None:
+                    x, y = t["src_x"], t["src_y"]
+                    image = image[y : y + t["height"], x : x + t["width"]]
                 least.append(int(image.min()))
                 most.append(int(image.max()))
-            yield pdf[["path", "level", "slot"]].assign(least=pd.array(least, "Int32"), most=pd.array(most, "Int32"))
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in PLACED]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(least, pa.int32()), pa.array(most, pa.int32())], names=[*PLACED, "least", "most"])
     finally:
         opened.close()
 
@@ -74,13 +96,13 @@ def _seen(frames):
 def tiles_read(spark, sf_dir, form: str):
     """A row for each tile of each level, and for levels without tiles; with what level and slide declare."""
     folder = written(spark, R.table(spark, sf_dir, "supplier").select("s_suppkey"), (form,))
-    read = lambda r: slide_source.read_slides(spark, folder, r)
-    files = read("files").groupBy("path").agg(F.collect_list(F.struct("file", "base")).alias("files"))
-    levels, tiles = read("levels"), read("tiles")
-    shown = tiles.join(levels.select("path", "level", "prefix", "suffix"), ["path", "level"]).join(files, "path").mapInPandas(_seen, "path string, level int, slot long, least int, most int")
-    own = tiles.select("path", "level", "slot", "x", "y", F.col("width").alias("w"), F.col("height").alias("h"), "src_x", "src_y").join(shown, ["path", "level", "slot"])
+    read = _parsed(spark, folder, "slides", "levels", "tiles", "files")
+    files = read["files"].groupBy("path").agg(F.collect_list(F.struct("file", "base")).alias("files"))
+    levels = read["levels"]
+    whole = read["tiles"].join(levels.select("path", "level", "prefix", "suffix"), ["path", "level"]).join(files, "path")
+    own = _by_slide(whole).mapInArrow(_seen, ", ".join(f"{c} {t}" for c, t in PLACED.items()) + ", least int, most int").withColumnsRenamed({"width": "w", "height": "h"})
     every = levels.select("path", "level", F.col("width").alias("level_w"), F.col("height").alias("level_h"), "downsample", "cols", "rows", "pitch_w", "pitch_h").join(own, ["path", "level"], "left")
-    slides = read("slides").select("path", F.col("width").alias("slide_w"), F.col("height").alias("slide_h"), "tile_w", "tile_h", "mpp", "app_mag", "quality", "compression", "levels")
+    slides = read["slides"].select("path", F.col("width").alias("slide_w"), F.col("height").alias("slide_h"), "tile_w", "tile_h", "mpp", "app_mag", "quality", "compression", "levels")
     return every.join(slides, "path").select(_key().alias("s_suppkey"), *[c for c in (*every.columns, *slides.columns[1:]) if c != "path"])
 
 
@@ -96,29 +118,33 @@ def _tiles_query(form: str):
 def container_images(spark, sf_dir):
     """Embedded images of all formats: kind, declared size, and what they show."""
     folder = written(spark, R.table(spark, sf_dir, "supplier").select("s_suppkey"))
-    files = slide_source.read_slides(spark, folder, "files").groupBy("path").agg(F.collect_list(F.struct("file", "base")).alias("files"))
+    read = _parsed(spark, folder, "images", "files")
+    files = read["files"].groupBy("path").agg(F.collect_list(F.struct("file", "base")).alias("files"))
+    names = ["path", "ord", "kind", "width", "height"]
 
-    def run(frames):
+    def run(batches):
         opened = compose.Files()
         try:
-            for pdf in frames:
+            for batch in batches:
                 out = []
-                for m in pdf.to_dict("records"):
-                    image = compose.decode_strips([opened.read(m["files"], s["offset"], s["length"]) for s in m["strips"]], bytes(m["tables"] or b""), m["width"], m["height"])
-                    out.append((m["path"], m["ord"], m["kind"], m["width"], m["height"], image.shape[1], image.shape[0], int(image.min()), int(image.max())))
-                yield pd.DataFrame(out, columns=["path", "ord", "kind", "width", "height", "w", "h", "least", "most"])
+                for m in batch.to_pylist():
+                    image = compose.decode_strips([opened.read(m["files"], s["offset"], s["length"]) for s in m["strips"]], m["tables"] or b"", m["width"], m["height"])
+                    out.append({"w": image.shape[1], "h": image.shape[0], "least": int(image.min()), "most": int(image.max())})
+                seen = [pa.array([o[c] for o in out], t) for c, t in (("w", pa.int64()), ("h", pa.int64()), ("least", pa.int32()), ("most", pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), *seen], names=[*names, "w", "h", "least", "most"])
         finally:
             opened.close()
 
-    found = slide_source.read_slides(spark, folder, "images").join(files, "path").mapInPandas(run, "path string, ord int, kind string, width long, height long, w long, h long, least int, most int")
+    found = _by_slide(read["images"].join(files, "path")).mapInArrow(run, "path string, ord int, kind string, width long, height long, w long, h long, least int, most int")
     return found.select(F.regexp_extract("path", "([a-z]+)/[^/]+$", 1).alias("format"), _key().alias("s_suppkey"), "ord", "kind", "width", "height", "w", "h", "least", "most")
 
 
 def container_errors(spark, sf_dir):
     """Which containers can't be read, where every fourth key's end early."""
     folder = written(spark, R.table(spark, sf_dir, "supplier").select("s_suppkey"), cut=True)
-    bad = slide_source.read_slides(spark, folder, "errors").select("path", (F.length("message") > 0).alias("told"))
-    good = slide_source.read_slides(spark, folder, "slides", mode="permissive").select("path", "format")
+    read = _parsed(spark, folder, "slides", faults=True)
+    bad = read["errors"].select("path", (F.length("message") > 0).alias("told"))
+    good = read["slides"].select("path", "format")
     both = good.join(bad, "path", "full")
     return both.select(F.regexp_extract("path", "([a-z]+)/[^/]+$", 1).alias("folder"), _key().alias("s_suppkey"), "format", F.coalesce("told", F.lit(False)).alias("failed"))
 

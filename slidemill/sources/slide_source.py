@@ -1,8 +1,8 @@
 """The ``slide`` data source: containers as relations.
 
 ``spark.read.format("slide").option("relation", ...).load(path)`` reads a file, a folder (all supported
-files below it) or a glob. Each file is a partition; only indexes are read, never pixels. Filters on
-path and level are applied in the source. Options: ``relation`` (slides, levels, tiles, images, files,
+files below it) or a glob. Neighbouring small files share a partition, large ones have their own; only
+indexes are read, never pixels. Filters on path, level and relation are applied in the source. Options: ``relation`` (slides, levels, tiles, images, files,
 errors, or ``all`` for the rows of each by one parse of a file), ``mode`` (``failfast``, or ``permissive``:
 files that can't be read are left to ``errors``), and ``paths``, a JSON list of files in the path's stead.
 """
@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 from pyspark.sql.types import StructType
 
 from slidemill.sources.formats.model import Slide, SlideError
@@ -41,8 +41,17 @@ def columns_of(relation: str) -> list[str]:
     return [c.split(" ", 1)[0] for c in re.split(r", (?=\w+ \w+)(?![^<]*>)", SCHEMAS[relation])]
 
 
+#: A partition's files: so many bytes and files at most, but no more than makes this many partitions of them all.
+GROUP_BYTES, GROUP_FILES, LEAST_GROUPS = 256 << 20, 256, 64
+
+
 def list_files(path: str) -> list[str]:
     """Supported files: of a folder all below it, of a glob those that match, else the file itself; sorted."""
+    return [p for p, _ in sized_files(path)]
+
+
+def sized_files(path: str) -> list[tuple[str, int]]:
+    """``list_files`` with their bytes."""
     from pyarrow import fs
 
     uri = "://" in path or path.startswith("file:")
@@ -51,14 +60,27 @@ def list_files(path: str) -> list[str]:
     if "*" in path:
         pattern = path.removeprefix(head) if head else (path if not uri else inner + path.partition("*")[0].rpartition("/")[2] + "*" + path.partition("*")[2])
         found = system.get_file_info(fs.FileSelector(pattern.partition("*")[0].rpartition("/")[0] or "/", recursive=True, allow_not_found=True))
-        return sorted(head + f.path for f in found if f.type == fs.FileType.File and fnmatch.fnmatch(f.path, pattern) and extension_of(f.path) in READERS)
+        return sorted((head + f.path, f.size) for f in found if f.type == fs.FileType.File and fnmatch.fnmatch(f.path, pattern) and extension_of(f.path) in READERS)
     info = system.get_file_info(inner)
     if info.type == fs.FileType.Directory:
         found = system.get_file_info(fs.FileSelector(inner, recursive=True))
-        return sorted(head + f.path for f in found if f.type == fs.FileType.File and extension_of(f.path) in READERS)
+        return sorted((head + f.path, f.size) for f in found if f.type == fs.FileType.File and extension_of(f.path) in READERS)
     if info.type == fs.FileType.NotFound:
         raise FileNotFoundError(path)
-    return [path]
+    return [(path, info.size)]
+
+
+def grouped(files: list[tuple[str, int]]) -> list[list[str]]:
+    """Runs of files that share a partition, since a task costs more than a small container's index."""
+    most = max(1, min(GROUP_FILES, -(-len(files) // LEAST_GROUPS)))
+    out, held = [], 0
+    for path, size in files:
+        if not out or len(out[-1]) == most or held + size > GROUP_BYTES:
+            out.append([])
+            held = 0
+        out[-1].append(path)
+        held += size
+    return out
 
 
 def level_rows(slide: Slide, only: int | None = None):
@@ -108,10 +130,23 @@ def wide(relation: str, rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(out, names=["relation", *COLUMNS])
 
 
+def joined(batches, most: int = 10_000):
+    """Small batches of one schema as fewer ones."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= most:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, rows = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 class SlidePartition(InputPartition):
-    def __init__(self, path: str):
-        super().__init__(path)
-        self.path = path
+    def __init__(self, paths: list[str]):
+        super().__init__(paths)
+        self.paths = paths
 
 
 class SlideReader(DataSourceReader):
@@ -123,6 +158,7 @@ class SlideReader(DataSourceReader):
             raise ValueError("a path is needed")
         self.level: int | None = None
         self.only: str | None = None
+        self.relations: tuple[str, ...] = tuple(r for r in SCHEMAS if r != "all")
 
     def pushFilters(self, filters: list[Filter]):
         for f in filters:
@@ -130,29 +166,38 @@ class SlideReader(DataSourceReader):
                 self.level = f.value
             elif isinstance(f, EqualTo) and f.attribute == ("path",):
                 self.only = f.value
+            elif isinstance(f, (EqualTo, In)) and f.attribute == ("relation",) and self.relation == "all":
+                wanted = f.value if isinstance(f, In) else (f.value,)
+                self.relations = tuple(r for r in self.relations if r in wanted)
             else:
                 yield f
 
     def partitions(self):
-        return [SlidePartition(p) for p in (list_files(self.path) if self.paths is None else self.paths) if self.only in (None, p)]
+        files = sized_files(self.path) if self.paths is None else [(p, 0) for p in self.paths]
+        return [SlidePartition(g) for g in grouped([f for f in files if self.only in (None, f[0])])]
 
     def read(self, partition: SlidePartition) -> Iterator:
+        rows = (row for path in partition.paths for row in self.read_file(path))
+        return joined(rows) if self.relation in ("tiles", "all") else rows
+
+    def read_file(self, path: str) -> Iterator:
         try:
-            slide = open_slide(partition.path)
+            slide = open_slide(path)
         except (SlideError, ValueError, OSError) as e:
             if not self.permissive:
-                raise SlideError(f"{partition.path}: {e}") from e
+                raise SlideError(f"{path}: {e}") from e
             if self.relation == "errors":
-                yield partition.path, str(e)
-            elif self.relation == "all":
-                yield wide("errors", [(partition.path, str(e))])
+                yield path, str(e)
+            elif self.relation == "all" and "errors" in self.relations:
+                yield wide("errors", [(path, str(e))])
             return
         if self.relation == "tiles":
             yield from tile_batches(slide, self.level)
         elif self.relation == "all":
             for relation in ("slides", "levels", "images", "files"):
-                yield wide(relation, list(rows_of(slide, relation)))
-            for batch in tile_batches(slide):
+                if relation in self.relations:
+                    yield wide(relation, list(rows_of(slide, relation)))
+            for batch in tile_batches(slide) if "tiles" in self.relations else ():
                 yield wide("tiles", batch)
         else:
             yield from rows_of(slide, self.relation, self.level)

@@ -1,8 +1,13 @@
 """What keeps queries within their limits on larger tables."""
 
+import numpy as np
 import pytest
 
-from slidemill.plans import metadata_queries
+from slidemill.functions import codec
+from slidemill.operators import compose
+from slidemill.plans import container_queries, metadata_queries
+from slidemill.sources import samples, slide_source
+from slidemill.sources.formats.model import SlideError
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,3 +28,55 @@ def test_quality_estimate_broadcasts_no_slides(spark, default_threshold):
     plan = plan_of(metadata_queries.quality_estimate(spark, SF))
     joins = [line for line in plan.splitlines() if "BroadcastHashJoin" in line]
     assert joins and all("BuildRight" in line for line in joins)
+
+
+def test_small_files_share_a_partition_and_large_ones_do_not():
+    small = [(f"/s{i}.tif", 1000) for i in range(6000)]
+    groups = slide_source.grouped(small)
+    assert len(groups) <= 64 and [p for g in groups for p in g] == [p for p, _ in small]
+    assert slide_source.grouped([(f"/s{i}.tif", 1 << 30) for i in range(200)]) == [[f"/s{i}.tif"] for i in range(200)]
+    assert slide_source.grouped([]) == []
+    reader = slide_source.SlideReader({"path": "/x", "paths": '["/a.tif", "/b.tif"]'}, "slides")
+    assert [p.paths for p in reader.partitions()] == [["/a.tif"], ["/b.tif"]]
+
+
+def test_slides_of_a_partition_keep_their_rows_and_faults(spark, tmp_path):
+    for k in range(150):
+        path = samples.numbered("tiff", k, f"{tmp_path}/tiff")
+        if k == 70:
+            samples.cut_short(path)
+    slide_source.register(spark)
+    rows = slide_source.read_slides(spark, str(tmp_path), "all")
+    assert rows.rdd.getNumPartitions() <= 75
+    counts = dict(rows.groupBy("relation").count().collect())
+    assert (counts["slides"], counts["errors"], counts["images"]) == (149, 1, 298)
+    some = rows.where("relation IN ('slides', 'errors')")
+    assert some.count() == 150
+    with pytest.raises(SlideError, match="s70.tif"):
+        container_queries._parsed(spark, str(tmp_path), "slides")
+
+
+def test_few_handles_stay_open(tmp_path):
+    paths = [tmp_path / f"{i}" for i in range(200)]
+    for i, p in enumerate(paths):
+        p.write_bytes(bytes([0, i]))
+    files = compose.Files()
+    for _ in range(2):
+        assert [files.read([{"file": str(p), "base": 0}], 1, 1)[0] for p in paths] == list(range(200))
+        assert len(files.open) <= 64
+    files.close()
+
+
+@pytest.mark.parametrize("form", container_queries.FORMATS)
+def test_containers_are_parsed_once(spark, form):
+    plan = plan_of(container_queries.tiles_read(spark, SF, form))
+    assert "BatchScan" not in plan and plan.count("MapInArrow") == 1
+
+
+def test_small_pictures_are_coded_as_ever():
+    image = np.random.default_rng(1).integers(0, 256, (20, 30, 3), np.uint8)
+    data = codec.encode_jpeg(image, 90)
+    assert data == codec.encode_ycbcr(codec.to_ycbcr(image), 90)
+    first = codec.decode_jpeg(data)
+    first[:] = 0  # a picture is its caller's own
+    assert (codec.decode_jpeg(data) == codec.to_rgb(codec.decode_ycbcr(data))).all()
