@@ -174,9 +174,13 @@ def fallback_level(spark, sf_dir):
 
 def _scan(lv):
     """Cells of each level in row-major order with their level-0 place, rounded half to even."""
-    cells = lv.withColumn("row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1))).withColumn("col", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cols") - 1)))
-    place = lambda c: F.bround((F.col(c) * 256).cast("double") * F.pow(F.lit(2.0), F.col("level")) * 0.7, 0).cast("long")
-    return cells.select("slide_id", "level", (F.col("row") * F.col("cols") + F.col("col")).alias("slot"), place("col").alias("at_x"), place("row").alias("at_y"))
+    tasks = int(lv.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a level has far more cells than its row is wide
+    scale = F.expr("shiftleft(1L, level)").cast("double")
+    place = lambda c: F.rint((F.col(c) * 256).cast("double") * F.col("scale") * 0.7).cast("long")
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    by_row = lv.repartition(tasks).withColumn("scale", scale).withColumn("row", each("rows"))
+    by_row = by_row.select("slide_id", "level", "cols", "scale", (F.col("row") * F.col("cols")).alias("first"), place("row").alias("at_y"))
+    return by_row.withColumn("col", each("cols")).select("slide_id", "level", (F.col("first") + F.col("col")).alias("slot"), place("col").alias("at_x"), "at_y")
 
 
 def tile_scan(spark, sf_dir):

@@ -5,7 +5,7 @@ import pytest
 
 from slidemill.functions import codec
 from slidemill.operators import compose
-from slidemill.plans import container_queries, metadata_queries
+from slidemill.plans import container_queries, metadata_queries, tile_queries
 from slidemill.sources import samples, slide_source
 from slidemill.sources.formats.model import SlideError
 
@@ -80,3 +80,8 @@ def test_small_pictures_are_coded_as_ever():
     first = codec.decode_jpeg(data)
     first[:] = 0  # a picture is its caller's own
     assert (codec.decode_jpeg(data) == codec.to_rgb(codec.decode_ycbcr(data))).all()
+
+
+def test_tile_scan_deals_levels_to_all_tasks(spark):
+    plan = plan_of(tile_queries.tile_scan_all(spark, SF))
+    assert "REPARTITION_BY_NUM" in plan and "bround" not in plan
