@@ -85,3 +85,8 @@ def test_small_pictures_are_coded_as_ever():
 def test_tile_scan_deals_levels_to_all_tasks(spark):
     plan = plan_of(tile_queries.tile_scan_all(spark, SF))
     assert "REPARTITION_BY_NUM" in plan and "bround" not in plan
+
+
+@pytest.mark.parametrize("query", [container_queries.container_images, container_queries.container_errors])
+def test_all_formats_are_parsed_once(spark, query):
+    assert "BatchScan" not in plan_of(query(spark, SF))
