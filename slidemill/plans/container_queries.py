@@ -49,10 +49,10 @@ def _key():
     return F.regexp_extract("path", KEY, 1).cast("long")
 
 
-def _parsed(spark, folder: str, *relations: str, faults: bool = False) -> dict:
+def _parsed(spark, folder: str, *relations: str, faults: bool = False, **options) -> dict:
     """Relations of the slides of a folder, by one parse of each; a slide that can't be read fails, unless ``faults`` are wanted."""
     wanted = [*relations, "errors"]
-    all_rows = slide_source.read_slides(spark, folder, "all").where(F.col("relation").isin(wanted))
+    all_rows = slide_source.read_slides(spark, folder, "all", **options).where(F.col("relation").isin(wanted))
     names = ["relation", *dict.fromkeys(c for r in wanted for c in slide_source.columns_of(r))]
     rows = materialise(all_rows.select(*names), "parsed")
     out = {r: rows.where(F.col("relation") == r).select(*slide_source.columns_of(r)) for r in wanted}
@@ -150,11 +150,11 @@ def container_errors(spark, sf_dir):
 
 
 def container_files(spark, sf_dir):
-    """Backing files: a slide's own, or the data files of its folder; and the level filter in the source."""
+    """Backing files: a slide's own, or the data files of its folder; and the tiles of one level, which the source leaves out all others of."""
     folder = written(spark, R.table(spark, sf_dir, "supplier").select("s_suppkey"), ("mrxs", "tiff"))
-    files = slide_source.read_slides(spark, folder, "files")
-    n = slide_source.read_slides(spark, folder, "tiles").where("level = 1").groupBy("path").agg(F.count("*").alias("tiles_1"))
-    return files.join(n, "path").select(_key().alias("s_suppkey"), F.regexp_extract("file", "([^/]+)$", 1).alias("file"), "base", (F.col("length") > 0).alias("sized"), "tiles_1")
+    read = _parsed(spark, folder, "files", "tiles", level=1)
+    n = read["tiles"].where("level = 1").groupBy("path").agg(F.count("*").alias("tiles_1"))
+    return read["files"].join(n, "path").select(_key().alias("s_suppkey"), F.regexp_extract("file", "([^/]+)$", 1).alias("file"), "base", (F.col("length") > 0).alias("sized"), "tiles_1")
 
 
 PAGES = "output string, page int, width long, height long, tile_w long, tile_h long, tiles long, reduced long, text string, least int, most int"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 
@@ -13,14 +14,29 @@ class SlideError(ValueError):
     """A container that can't be read."""
 
 
+@cache
+def mounted():
+    """The one file system of plain paths."""
+    from pyarrow import fs
+
+    return fs.LocalFileSystem()
+
+
+def file_system(path: str):
+    """The file system of a path or URI, and the path in it."""
+    if "://" in path or path.startswith("file:"):
+        from pyarrow import fs
+
+        return fs.FileSystem.from_uri(path)
+    return mounted(), path
+
+
 class Blob:
     """Random access to a file at a path or URI, in bounds."""
 
     def __init__(self, path: str):
-        from pyarrow import fs
-
         self.path = path
-        self.system, self.inner = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+        self.system, self.inner = file_system(path)
         self.file = self.system.open_input_file(self.inner)
         self.size = self.file.size()
 

@@ -4,7 +4,8 @@
 files below it) or a glob. Neighbouring small files share a partition, large ones have their own; only
 indexes are read, never pixels. Filters on path, level and relation are applied in the source. Options: ``relation`` (slides, levels, tiles, images, files,
 errors, or ``all`` for the rows of each by one parse of a file), ``mode`` (``failfast``, or ``permissive``:
-files that can't be read are left to ``errors``), and ``paths``, a JSON list of files in the path's stead.
+files that can't be read are left to ``errors``), ``level`` (of levels and tiles that one alone, in ``all`` too),
+and ``paths``, a JSON list of files in the path's stead.
 """
 
 from __future__ import annotations
@@ -42,7 +43,9 @@ def columns_of(relation: str) -> list[str]:
 
 
 #: A partition's files: so many bytes and files at most, but no more than makes this many partitions of them all.
-GROUP_BYTES, GROUP_FILES, LEAST_GROUPS = 256 << 20, 256, 64
+GROUP_BYTES, GROUP_FILES, LEAST_GROUPS = 256 << 20, 1024, 64
+#: Rows of many slides make one batch from so many on; the tiles of a level go in runs of so many at most.
+BATCH_ROWS, RUN = 10_000, 100_000
 
 
 def list_files(path: str) -> list[str]:
@@ -89,58 +92,52 @@ def level_rows(slide: Slide, only: int | None = None):
             yield slide.path, i, v.width, v.height, v.downsample, v.cols, v.rows, *v.pitch, v.prefix, v.suffix, v.place is not None
 
 
-def tile_batches(slide: Slide, only: int | None = None, most: int = 100_000):
-    """Arrow batches of the tiles; a slide's tiles are many, and go column by column."""
-    names = [c.split()[0] for c in SCHEMAS["tiles"].split(", ")]
+def tile_runs(slide: Slide, only: int | None = None):
+    """Runs of a slide's tiles (path, level's number, level, first and end of the slots); tiles are many, and go column by column."""
     for i, v in enumerate(slide.levels):
-        if only is not None and i != only:
-            continue
-        for a in range(0, len(v.offset), most):
-            n = len(v.offset[a : a + most])
-            place = [pa.array(np.ascontiguousarray(v.place[a : a + most, k])) for k in range(6)] if v.place is not None else [pa.nulls(n, pa.int64())] * 6
-            yield pa.RecordBatch.from_arrays([pa.array([slide.path] * n), pa.array(np.full(n, i, np.int32)), pa.array(np.arange(a, a + n)), pa.array(v.offset[a : a + most]), pa.array(v.length[a : a + most]), *place], names=names)
+        if only is None or i == only:
+            yield from ((slide.path, i, v, a, min(a + RUN, len(v.offset))) for a in range(0, len(v.offset), RUN))
 
 
 def rows_of(slide: Slide, relation: str, level: int | None = None):
-    """The rows of a slide in a relation other than tiles."""
+    """The rows of a slide in a relation, and of tiles the runs."""
     if relation == "slides":
         yield slide.path, READERS[extension_of(slide.path)], slide.width, slide.height, slide.tile_w, slide.tile_h, slide.mpp, slide.app_mag, slide.quality, slide.compression, len(slide.levels)
     elif relation == "levels":
         yield from level_rows(slide, level)
+    elif relation == "tiles":
+        yield from tile_runs(slide, level)
     elif relation == "images":
         for i, m in enumerate(slide.images):
-            yield slide.path, i, m.kind, m.width, m.height, [tuple(map(int, s)) for s in m.strips], m.tables
+            yield slide.path, i, m.kind, m.width, m.height, [{"offset": int(o), "length": int(n)} for o, n in m.strips], m.tables
     elif relation == "files":
         yield from ((slide.path, *f) for f in slide.files or [(slide.path, 0, None)])
 
 
-def wide(relation: str, rows) -> pa.RecordBatch:
-    """Rows, or a batch, of a relation as a batch of relation ``all``."""
-    names, n = columns_of(relation), rows.num_rows if isinstance(rows, pa.RecordBatch) else len(rows)
-    out = [pa.array([relation] * n, pa.string())]
-    for c, t in COLUMNS.items():
-        if c not in names:
-            out.append(pa.nulls(n, ARROW[t]))
-        elif isinstance(rows, pa.RecordBatch):
-            out.append(rows.column(names.index(c)))
-        elif t.startswith("array"):
-            out.append(pa.array([[{"offset": o, "length": k} for o, k in r[names.index(c)]] for r in rows], ARROW[t]))
-        else:
-            out.append(pa.array([r[names.index(c)] for r in rows], ARROW[t]))
-    return pa.RecordBatch.from_arrays(out, names=["relation", *COLUMNS])
-
-
-def joined(batches, most: int = 10_000):
-    """Small batches of one schema as fewer ones."""
-    held, rows = [], 0
-    for batch in batches:
-        held.append(batch)
-        rows += batch.num_rows
-        if rows >= most:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-            held, rows = [], 0
-    if held:
-        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+def tile_batch(runs: list) -> pa.RecordBatch:
+    """The tiles of runs, of one slide or many."""
+    size = np.array([b - a for *_, a, b in runs])
+    of = np.repeat(np.arange(len(runs)), size)
+    placed = np.array([v.place is not None for _, _, v, _, _ in runs])[of]
+    place = np.concatenate([v.place[a:b] if v.place is not None else np.zeros((b - a, 6), np.int64) for _, _, v, a, b in runs])
+    slot = np.arange(len(of)) - np.repeat(np.cumsum(size) - size - [a for *_, a, _ in runs], size)
+    columns = [slot, *(np.concatenate([getattr(v, c)[a:b] for _, _, v, a, b in runs]) for c in ("offset", "length"))]
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in runs], pa.string()).take(pa.array(of)), pa.array(np.array([r[1] for r in runs], np.int32)[of]), *map(pa.array, columns), *(pa.array(np.ascontiguousarray(place[:, k]), mask=~placed) for k in range(6))], names=columns_of("tiles"))
+
+
+def batch_of(relation: str, rows: list) -> pa.RecordBatch:
+    """Rows, or runs of tiles, as a batch."""
+    if relation == "tiles":
+        return tile_batch(rows)
+    names = columns_of(relation)
+    return pa.RecordBatch.from_arrays([pa.array(c, ARROW[COLUMNS[n]]) for n, c in zip(names, zip(*rows, strict=True), strict=True)], names=names)
+
+
+def wide(relation: str, batch: pa.RecordBatch) -> pa.RecordBatch:
+    """A batch of a relation as one of relation ``all``."""
+    names, n = batch.schema.names, batch.num_rows
+    own = [batch.column(names.index(c)) if c in names else pa.nulls(n, ARROW[t]) for c, t in COLUMNS.items()]
+    return pa.RecordBatch.from_arrays([pa.array([relation] * n, pa.string()), *own], names=["relation", *COLUMNS])
 
 
 class SlidePartition(InputPartition):
@@ -156,15 +153,15 @@ class SlideReader(DataSourceReader):
         self.permissive = options.get("mode", "failfast").lower() == "permissive" or relation in ("errors", "all")
         if not self.path and self.paths is None:
             raise ValueError("a path is needed")
-        self.level: int | None = None
+        self.level = int(options["level"]) if "level" in options else None
         self.only: str | None = None
         self.relations: tuple[str, ...] = tuple(r for r in SCHEMAS if r != "all")
 
     def pushFilters(self, filters: list[Filter]):
         for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("level",) and self.relation in ("levels", "tiles"):
+            if isinstance(f, EqualTo) and f.attribute == ("level",) and self.relation in ("levels", "tiles") and self.level in (None, f.value):
                 self.level = f.value
-            elif isinstance(f, EqualTo) and f.attribute == ("path",):
+            elif isinstance(f, EqualTo) and f.attribute == ("path",) and self.only in (None, f.value):
                 self.only = f.value
             elif isinstance(f, (EqualTo, In)) and f.attribute == ("relation",) and self.relation == "all":
                 wanted = f.value if isinstance(f, In) else (f.value,)
@@ -176,31 +173,37 @@ class SlideReader(DataSourceReader):
         files = sized_files(self.path) if self.paths is None else [(p, 0) for p in self.paths]
         return [SlidePartition(g) for g in grouped([f for f in files if self.only in (None, f[0])])]
 
-    def read(self, partition: SlidePartition) -> Iterator:
-        rows = (row for path in partition.paths for row in self.read_file(path))
-        return joined(rows) if self.relation in ("tiles", "all") else rows
+    def read(self, partition: SlidePartition) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] = {}
+        many = 0
+        for path in partition.paths:
+            for relation, row in self.read_file(path):
+                held.setdefault(relation, []).append(row)
+                many += row[-1] - row[-2] if relation == "tiles" else 1
+                if many >= BATCH_ROWS:
+                    yield from self.batches(held)
+                    held, many = {}, 0
+        yield from self.batches(held)
+
+    def batches(self, held: dict[str, list]) -> Iterator[pa.RecordBatch]:
+        for relation, rows in held.items():
+            batch = batch_of(relation, rows)
+            yield wide(relation, batch) if self.relation == "all" else batch
 
     def read_file(self, path: str) -> Iterator:
+        """(relation, row or run of tiles) of what is wanted of a file."""
+        wanted = self.relations if self.relation == "all" else (self.relation,)
         try:
             slide = open_slide(path)
         except (SlideError, ValueError, OSError) as e:
             if not self.permissive:
                 raise SlideError(f"{path}: {e}") from e
-            if self.relation == "errors":
-                yield path, str(e)
-            elif self.relation == "all" and "errors" in self.relations:
-                yield wide("errors", [(path, str(e))])
+            if "errors" in wanted:
+                yield "errors", (path, str(e))
             return
-        if self.relation == "tiles":
-            yield from tile_batches(slide, self.level)
-        elif self.relation == "all":
-            for relation in ("slides", "levels", "images", "files"):
-                if relation in self.relations:
-                    yield wide(relation, list(rows_of(slide, relation)))
-            for batch in tile_batches(slide) if "tiles" in self.relations else ():
-                yield wide("tiles", batch)
-        else:
-            yield from rows_of(slide, self.relation, self.level)
+        for relation in wanted:
+            for row in rows_of(slide, relation, self.level):
+                yield relation, row
 
 
 class SlideSource(DataSource):

@@ -90,3 +90,32 @@ def test_tile_scan_deals_levels_to_all_tasks(spark):
 @pytest.mark.parametrize("query", [container_queries.container_images, container_queries.container_errors])
 def test_all_formats_are_parsed_once(spark, query):
     assert "BatchScan" not in plan_of(query(spark, SF))
+
+
+def test_files_and_one_level_come_by_one_parse(spark):
+    assert "BatchScan" not in plan_of(container_queries.container_files(spark, SF))
+
+
+def rows_read(reader, paths):
+    batches = list(reader.read(slide_source.SlidePartition(paths)))
+    return len(batches), sorted((tuple(map(str, r.values())) for b in batches for r in b.to_pylist()))
+
+
+@pytest.mark.parametrize("relation", ["slides", "levels", "tiles", "images", "files", "all"])
+def test_slides_share_batches(tmp_path, monkeypatch, relation):
+    paths = [samples.numbered(f, k, f"{tmp_path}/{f}") for f in ("tiff", "kfb", "mrxs") for k in range(4)]
+    options = {"path": str(tmp_path)}
+    few, rows = rows_read(slide_source.SlideReader(options, relation), paths)
+    assert few <= 5
+    monkeypatch.setattr(slide_source, "BATCH_ROWS", 7)
+    monkeypatch.setattr(slide_source, "RUN", 3)
+    many, again = rows_read(slide_source.SlideReader(options, relation), paths)
+    assert many > few and again == rows
+
+
+def test_one_level_of_all_relations(tmp_path):
+    paths = [samples.numbered("kfb", k, str(tmp_path)) for k in range(4)]
+    read = lambda **o: [r for b in slide_source.SlideReader({"path": str(tmp_path), **o}, "all").read(slide_source.SlidePartition(paths)) for r in b.to_pylist()]
+    one = read(level="1")
+    assert [r for r in read() if r["relation"] not in ("levels", "tiles") or r["level"] == 1] == one
+    assert sum(r["relation"] == "tiles" for r in one) == 4
