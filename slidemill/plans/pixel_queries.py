@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from slidemill.functions import codec
 from slidemill.functions.bytes import jpeg_is_420
 from slidemill.functions.codec_columns import RANGE, grey_jpeg, picture_range
+from slidemill.operators import compose
+from slidemill.plans import container_queries
 from slidemill.plans import relations as R
 from slidemill.session import scratch_path, ship_package
 from slidemill.sources import slide_source
@@ -56,23 +58,23 @@ def svs_write_read(spark, sf_dir):
     meta = tiles.where("slot = 0").select(output, zero, F.lit(-1).cast("long").alias("slot"), (F.col("cols") * 16).alias("width"), (F.col("rows") * 16).alias("height"), F.lit(16).cast("long").alias("tile_w"), F.lit(16).cast("long").alias("tile_h"), F.lit(False).alias("reduced"), F.lit(20000.0).alias("resolution"), F.lit("x|AppMag = 20|").alias("description"), none("tables", "binary"), none("data", "binary"))
     body = own.select(output, zero, "slot", none("width", "long"), none("height", "long"), none("tile_w", "long"), none("tile_h", "long"), none("reduced", "boolean"), none("resolution", "double"), none("description", "string"), none("tables", "binary"), "data")
     write_svs(meta.unionByName(body))
-    read = slide_source.read_slides(spark, folder, "tiles")
-    slides = slide_source.read_slides(spark, folder, "slides").select("path", "width", "height", "mpp", "app_mag")
+    read = container_queries._parsed(spark, folder, "slides", "tiles")
+    slides = read["slides"].select("path", "width", "height", "mpp", "app_mag")
 
     @F.pandas_udf(RANGE)
     def shown(path: pd.Series, offset: pd.Series, length: pd.Series) -> pd.DataFrame:
-        from slidemill.sources.formats.model import Blob
-
-        out = []
-        for p, o, n in zip(path, offset, length, strict=True):
-            blob = Blob(p)
-            i = codec.decode_jpeg(blob.read(o, n))
-            blob.close()
-            out.append((i.shape[1], i.shape[0], int(i.min()), int(i.max())))
+        out, opened = [], compose.Files()
+        try:
+            for p, o, n in zip(path, offset, length, strict=True):
+                i = codec.decode_jpeg(opened.read([{"file": p, "base": 0}], o, n))
+                out.append((i.shape[1], i.shape[0], int(i.min()), int(i.max())))
+        finally:
+            opened.close()
         return pd.DataFrame(out, columns=["width", "height", "least", "most"])
 
     key = F.regexp_extract("path", r"s(\d+)\.tif$", 1).cast("long").alias("s_suppkey")
-    seen = read.select("path", "slot", shown("path", "offset", "length").alias("i")).join(slides, "path")
+    tiles = container_queries._by_slide(read["tiles"].select("path", "slot", "offset", "length"))
+    seen = tiles.select("path", "slot", shown("path", "offset", "length").alias("i")).join(slides, "path")
     return seen.select(key, "slot", F.col("i.least").alias("least"), F.col("i.most").alias("most"), "width", "height", "mpp", "app_mag")
 
 

@@ -5,7 +5,7 @@ import pytest
 
 from slidemill.functions import codec
 from slidemill.operators import compose
-from slidemill.plans import container_queries, metadata_queries, tile_queries
+from slidemill.plans import container_queries, metadata_queries, pixel_queries, tile_queries
 from slidemill.sources import samples, slide_source
 from slidemill.sources.formats.model import SlideError
 
@@ -119,3 +119,7 @@ def test_one_level_of_all_relations(tmp_path):
     one = read(level="1")
     assert [r for r in read() if r["relation"] not in ("levels", "tiles") or r["level"] == 1] == one
     assert sum(r["relation"] == "tiles" for r in one) == 4
+
+
+def test_written_slides_are_parsed_once(spark):
+    assert "BatchScan" not in plan_of(pixel_queries.svs_write_read(spark, SF))
