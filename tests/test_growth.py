@@ -123,3 +123,19 @@ def test_one_level_of_all_relations(tmp_path):
 
 def test_written_slides_are_parsed_once(spark):
     assert "BatchScan" not in plan_of(pixel_queries.svs_write_read(spark, SF))
+
+
+def test_tables_of_a_quality_are_made_once(monkeypatch):
+    rng = np.random.default_rng(2)
+    codec.encode_jpeg(rng.integers(0, 256, (16, 32, 3), np.uint8), 83)
+    monkeypatch.setattr(codec, "scaled_table", None)
+    image = rng.integers(0, 256, (20, 30, 3), np.uint8)
+    assert codec.decode_jpeg(codec.encode_jpeg(image, 83)).shape == image.shape
+
+
+def test_intervals_are_cut_from_one_transform(monkeypatch):
+    image = samples.picture(80, 32)
+    whole = codec.decode_jpeg(codec.encode_jpeg(image, 90))
+    monkeypatch.setattr(codec, "encode_ycbcr", None)
+    data = samples.restart_jpeg(image, 2)
+    assert data.count(b"\xff\xd0") == 1 and (codec.decode_jpeg(data) == whole).all()
