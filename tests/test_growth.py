@@ -139,3 +139,10 @@ def test_intervals_are_cut_from_one_transform(monkeypatch):
     monkeypatch.setattr(codec, "encode_ycbcr", None)
     data = samples.restart_jpeg(image, 2)
     assert data.count(b"\xff\xd0") == 1 and (codec.decode_jpeg(data) == whole).all()
+
+
+@pytest.mark.parametrize("form", ["bkio"])
+def test_levels_of_many_slides_are_one_batch(tmp_path, form):
+    paths = [samples.numbered(form, k, str(tmp_path)) for k in range(20)]
+    (batch,) = slide_source.SlideReader({"path": str(tmp_path)}, "levels").read(slide_source.SlidePartition(paths))
+    assert batch.num_rows == sum(len(slide_source.open_slide(p).levels) for p in paths)
