@@ -141,7 +141,7 @@ def test_intervals_are_cut_from_one_transform(monkeypatch):
     assert data.count(b"\xff\xd0") == 1 and (codec.decode_jpeg(data) == whole).all()
 
 
-@pytest.mark.parametrize("form", ["bkio", "csp", "dmetrix", "ndpi", "sdpc"])
+@pytest.mark.parametrize("form", ["bkio", "csp", "dmetrix", "ndpi", "sdpc", "tiff"])
 def test_levels_of_many_slides_are_one_batch(tmp_path, form):
     paths = [samples.numbered(form, k, str(tmp_path)) for k in range(20)]
     (batch,) = slide_source.SlideReader({"path": str(tmp_path)}, "levels").read(slide_source.SlidePartition(paths))
