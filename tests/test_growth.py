@@ -146,3 +146,10 @@ def test_levels_of_many_slides_are_one_batch(tmp_path, form):
     paths = [samples.numbered(form, k, str(tmp_path)) for k in range(20)]
     (batch,) = slide_source.SlideReader({"path": str(tmp_path)}, "levels").read(slide_source.SlidePartition(paths))
     assert batch.num_rows == sum(len(slide_source.open_slide(p).levels) for p in paths)
+
+
+@pytest.mark.parametrize("relation", ["images"])
+def test_all_formats_share_a_batch(tmp_path, relation):
+    paths = [samples.numbered(f, 1, f"{tmp_path}/{f}") for f in container_queries.FORMATS]
+    (batch,) = slide_source.SlideReader({"path": str(tmp_path)}, relation).read(slide_source.SlidePartition(paths))
+    assert set(batch.column(0).to_pylist()) == set(paths)
