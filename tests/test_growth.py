@@ -148,7 +148,7 @@ def test_levels_of_many_slides_are_one_batch(tmp_path, form):
     assert batch.num_rows == sum(len(slide_source.open_slide(p).levels) for p in paths)
 
 
-@pytest.mark.parametrize("relation", ["images"])
+@pytest.mark.parametrize("relation", ["images", "slides"])
 def test_all_formats_share_a_batch(tmp_path, relation):
     paths = [samples.numbered(f, 1, f"{tmp_path}/{f}") for f in container_queries.FORMATS]
     (batch,) = slide_source.SlideReader({"path": str(tmp_path)}, relation).read(slide_source.SlidePartition(paths))
