@@ -28,12 +28,15 @@ class Files:
         if not length:
             return b""
         file = max((f for f in files if f["base"] <= offset), key=lambda f: f["base"])  # the last that begins at or before
-        name = file["file"]
+        return self.read_of(file["file"], offset - file["base"], length)
+
+    def read_of(self, name: str, at: int, length: int) -> bytes:
+        """A range of one file."""
         blob = self.open.pop(name, None) or Blob(name)
         self.open[name] = blob  # last in order
         if len(self.open) > self.MOST:
             self.open.pop(next(iter(self.open))).close()
-        return blob.read(offset - file["base"], length, "tile")
+        return blob.read(at, length, "tile")
 
     def close(self) -> None:
         for blob in self.open.values():

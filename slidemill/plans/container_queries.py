@@ -6,8 +6,12 @@ SQL knows what each decoded byte range has to show.
 
 from __future__ import annotations
 
+from itertools import islice
+
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from slidemill.functions import codec
@@ -23,25 +27,29 @@ FORMATS = ("tiff", "dmetrix", "sdpc", "kfb", "csp", "bkio", "ndpi", "mrxs")
 KEY = r"s(\d+)\.[a-zA-Z]+$"
 
 
-def written(spark, keys, formats=FORMATS, cut: bool = False) -> str:
-    """The folder in which each key's containers stand; with ``cut`` those of every fourth key end early."""
+def written(spark, keys, formats=FORMATS, cut: bool = False, spread: bool = False) -> str:
+    """The folder in which each key's containers stand; with ``cut`` those of every fourth key end early.
+
+    With ``spread`` each task has a folder of its own, since tasks wait for each other to add files to one.
+    """
     slide_source.register(spark)
     folder = scratch_path(spark, "containers")
     base = local_path(folder)
     if base is None:
         raise ValueError("containers are written to a mounted folder")
 
-    def run(frames):
-        for pdf in frames:
-            for k in map(int, pdf.iloc[:, 0]):
+    def run(batches):
+        own = f"{base}/{TaskContext.get().partitionId()}" if spread else base
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
                 for f in formats:
-                    path = samples.numbered(f, k, f"{base}/{f}")
+                    path = samples.numbered(f, k, f"{own}/{f}")
                     if cut and k % 4 == 0:
                         samples.cut_short(path)
-            yield pdf
+            yield batch
 
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys.select(F.col(keys.columns[0]).cast("long").alias("k")).repartition(tasks).mapInPandas(run, "k long").write.format("noop").mode("overwrite").save()
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a key is one task's alone
+    keys.select(F.col(keys.columns[0]).cast("long").alias("k")).repartition(tasks, "k").mapInArrow(run, "k long").write.format("noop").mode("overwrite").save()
     return folder
 
 
@@ -67,43 +75,75 @@ def _by_slide(rows):
     return rows.repartition(tasks, "path").sortWithinPartitions("path")
 
 
-PLACED = {"path": "string", "level": "int", "slot": "long", "x": "long", "y": "long", "width": "long", "height": "long", "src_x": "long", "src_y": "long"}
+def _scan(spark, folder: str, relation: str):
+    """One relation of the slides of a folder, by one parse of each; its rows of a slide stay together."""
+    return materialise(slide_source.read_slides(spark, folder, relation), relation)
+
+
+PLACE = ("x", "y", "w", "h", "src_x", "src_y")
+SEEN = {"s_suppkey": "long"} | {c: t for c, t in slide_source.types_of("pyramid").items() if c not in ("path", "prefix", "suffix", "files", "first") and not t.startswith("array")} | dict.fromkeys(("slot", *PLACE), "long") | {"least": "int", "most": "int"}
+#: Rows that a batch of tiles has at about.
+TILES = 10_000
+
+
+def _tiles_of(batch) -> dict:
+    """The tiles of runs, one row each, and one for a run of none; with the least and greatest value of what shows."""
+    get = lambda c: batch.column(batch.schema.get_field_index(c))
+    n = get("length").value_lengths().to_numpy()
+    rows = np.maximum(n, 1)
+    of, start = np.repeat(np.arange(len(n)), rows), np.cumsum(rows) - rows
+    tile = np.repeat(n, rows) > 0
+    slot = np.arange(len(of)) - np.repeat(start - get("first").to_numpy(), rows)
+    placed = np.repeat(get("x").is_valid().to_numpy(zero_copy_only=False), rows) & tile
+    out = {"slot": pa.array(slot, mask=~tile)}
+    for c in PLACE:
+        full = np.zeros(len(of), np.int64)
+        full[placed] = get(c).flatten().to_numpy()
+        out[c] = pa.array(full, mask=~placed)
+    return out | {c: get(c).take(pa.array(of)) for c in SEEN if c in batch.schema.names and c not in out}
+
+
+def _shown(batch, opened):
+    """(least, greatest) value of each tile's part that shows, in the order of ``_tiles_of``."""
+    get = lambda c: batch.column(batch.schema.get_field_index(c))
+    flat = lambda c: get(c).flatten().to_numpy(zero_copy_only=False).tolist()
+    ends, names = np.cumsum(get("files").value_lengths().to_numpy()).tolist(), get("files").flatten().to_pylist()
+    tiles, places = zip(*map(flat, ("file", "offset", "length")), strict=True), zip(*map(flat, ("src_x", "src_y", "w", "h")), strict=True)
+    for n, first, prefix, suffix, placed in zip(get("length").value_lengths().to_pylist(), [0, *ends[:-1]], get("prefix").to_pylist(), get("suffix").to_pylist(), get("x").is_valid().to_pylist(), strict=True):
+        if not n:
+            yield None, None
+        for f, at, size in islice(tiles, n):
+            x, y, w, h = next(places) if placed else (0, 0, None, None)
+            if size <= 0:
+                yield None, None
+                continue
+            image = codec.decode_jpeg(prefix + opened.read_of(names[first + f], at, size) + suffix)
+            if placed:
+                image = image[y : y + h, x : x + w]
+            yield int(image.min()), int(image.max())
 
 
 def _seen(batches):
-    """Adds the least and the greatest value of each tile's part that shows."""
+    """A row for each tile of the runs."""
     opened = compose.Files()
     try:
-        for batch in batches:
-            least, most = [], []
-            for t in batch.to_pylist():
-                if not t["length"] > 0:
-                    least.append(None)
-                    most.append(None)
-                    continue
-                image = codec.decode_jpeg(t["prefix"] + opened.read(t["files"], t["offset"], t["length"]) + t["suffix"])
-                if t["x"] is not None:
-                    x, y = t["src_x"], t["src_y"]
-                    image = image[y : y + t["height"], x : x + t["width"]]
-                least.append(int(image.min()))
-                most.append(int(image.max()))
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in PLACED]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(least, pa.int32()), pa.array(most, pa.int32())], names=[*PLACED, "least", "most"])
+        for whole in batches:
+            n = np.maximum(whole.column(whole.schema.get_field_index("length")).value_lengths().to_numpy(), 1)
+            ends = np.flatnonzero(np.diff(np.cumsum(n) // TILES, append=-1)) + 1
+            for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                batch = whole.slice(a, b - a)
+                least, most = zip(*_shown(batch, opened), strict=True)
+                out = _tiles_of(batch) | {"least": pa.array(least, pa.int32()), "most": pa.array(most, pa.int32())}
+                yield pa.RecordBatch.from_arrays([out[c] for c in SEEN], names=list(SEEN))
     finally:
         opened.close()
 
 
 def tiles_read(spark, sf_dir, form: str):
     """A row for each tile of each level, and for levels without tiles; with what level and slide declare."""
-    folder = written(spark, R.table(spark, sf_dir, "supplier").select("s_suppkey"), (form,))
-    read = _parsed(spark, folder, "slides", "levels", "tiles", "files")
-    files = read["files"].groupBy("path").agg(F.collect_list(F.struct("file", "base")).alias("files"))
-    levels = read["levels"]
-    whole = read["tiles"].join(levels.select("path", "level", "prefix", "suffix"), ["path", "level"]).join(files, "path")
-    own = _by_slide(whole).mapInArrow(_seen, ", ".join(f"{c} {t}" for c, t in PLACED.items()) + ", least int, most int").withColumnsRenamed({"width": "w", "height": "h"})
-    every = levels.select("path", "level", F.col("width").alias("level_w"), F.col("height").alias("level_h"), "downsample", "cols", "rows", "pitch_w", "pitch_h").join(own, ["path", "level"], "left")
-    slides = read["slides"].select("path", F.col("width").alias("slide_w"), F.col("height").alias("slide_h"), "tile_w", "tile_h", "mpp", "app_mag", "quality", "compression", "levels")
-    return every.join(slides, "path").select(_key().alias("s_suppkey"), *[c for c in (*every.columns, *slides.columns[1:]) if c != "path"])
+    folder = written(spark, R.table(spark, sf_dir, "supplier").select("s_suppkey"), (form,), spread=True)
+    runs = _scan(spark, folder, "pyramid").withColumn("s_suppkey", _key()).drop("path")
+    return runs.mapInArrow(_seen, ", ".join(f"{c} {t}" for c, t in SEEN.items()))
 
 
 def _tiles_query(form: str):
@@ -117,9 +157,7 @@ def _tiles_query(form: str):
 
 def container_images(spark, sf_dir):
     """Embedded images of all formats: kind, declared size, and what they show."""
-    folder = written(spark, R.table(spark, sf_dir, "supplier").select("s_suppkey"))
-    read = _parsed(spark, folder, "images", "files")
-    files = read["files"].groupBy("path").agg(F.collect_list(F.struct("file", "base")).alias("files"))
+    folder = written(spark, R.table(spark, sf_dir, "supplier").select("s_suppkey"), spread=True)
     names = ["path", "ord", "kind", "width", "height"]
 
     def run(batches):
@@ -128,25 +166,22 @@ def container_images(spark, sf_dir):
             for batch in batches:
                 out = []
                 for m in batch.to_pylist():
-                    image = compose.decode_strips([opened.read(m["files"], s["offset"], s["length"]) for s in m["strips"]], m["tables"] or b"", m["width"], m["height"])
+                    image = compose.decode_strips([opened.read_of(s["file"], s["offset"], s["length"]) for s in m["strips"]], m["tables"] or b"", m["width"], m["height"])
                     out.append({"w": image.shape[1], "h": image.shape[0], "least": int(image.min()), "most": int(image.max())})
                 seen = [pa.array([o[c] for o in out], t) for c, t in (("w", pa.int64()), ("h", pa.int64()), ("least", pa.int32()), ("most", pa.int32()))]
                 yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), *seen], names=[*names, "w", "h", "least", "most"])
         finally:
             opened.close()
 
-    found = _by_slide(read["images"].join(files, "path")).mapInArrow(run, "path string, ord int, kind string, width long, height long, w long, h long, least int, most int")
+    found = _scan(spark, folder, "pictures").mapInArrow(run, "path string, ord int, kind string, width long, height long, w long, h long, least int, most int")
     return found.select(F.regexp_extract("path", "([a-z]+)/[^/]+$", 1).alias("format"), _key().alias("s_suppkey"), "ord", "kind", "width", "height", "w", "h", "least", "most")
 
 
 def container_errors(spark, sf_dir):
     """Which containers can't be read, where every fourth key's end early."""
-    folder = written(spark, R.table(spark, sf_dir, "supplier").select("s_suppkey"), cut=True)
-    read = _parsed(spark, folder, "slides", faults=True)
-    bad = read["errors"].select("path", (F.length("message") > 0).alias("told"))
-    good = read["slides"].select("path", "format")
-    both = good.join(bad, "path", "full")
-    return both.select(F.regexp_extract("path", "([a-z]+)/[^/]+$", 1).alias("folder"), _key().alias("s_suppkey"), "format", F.coalesce("told", F.lit(False)).alias("failed"))
+    folder = written(spark, R.table(spark, sf_dir, "supplier").select("s_suppkey"), cut=True, spread=True)
+    told = F.coalesce(F.length("message") > 0, F.lit(False))
+    return _scan(spark, folder, "states").select(F.regexp_extract("path", "([a-z]+)/[^/]+$", 1).alias("folder"), _key().alias("s_suppkey"), "format", told.alias("failed"))
 
 
 def container_files(spark, sf_dir):

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass, field
 from functools import cache
 
 import numpy as np
 
 HOLE = (0, 0)
+#: A mounted file of at most so many bytes is read at once, since each read of a range costs more than its bytes.
+WHOLE = 1 << 16
 
 
 class SlideError(ValueError):
@@ -31,19 +34,27 @@ def file_system(path: str):
     return mounted(), path
 
 
+def small_file(path: str) -> bytes | None:
+    """All bytes of a small file, None of a larger one."""
+    with open(path, "rb", buffering=0) as f:
+        size = os.fstat(f.fileno()).st_size
+        return f.read(size) if size <= WHOLE else None
+
+
 class Blob:
     """Random access to a file at a path or URI, in bounds."""
 
     def __init__(self, path: str):
         self.path = path
         self.system, self.inner = file_system(path)
-        self.file = self.system.open_input_file(self.inner)
-        self.size = self.file.size()
+        self.held = small_file(self.inner) if self.system is mounted() else None
+        self.file = None if self.held is not None else self.system.open_input_file(self.inner)
+        self.size = self.file.size() if self.file else len(self.held)
 
     def read(self, offset: int, length: int, what: str = "data") -> bytes:
         if offset < 0 or length < 0 or offset + length > self.size:
             raise SlideError(f"{self.path} ends within its {what}")
-        return self.file.read_at(length, offset)
+        return self.file.read_at(length, offset) if self.file else self.held[offset : offset + length]
 
     def record(self, offset: int, dtype: np.dtype, what: str = "record"):
         return np.frombuffer(self.read(offset, dtype.itemsize, what), dtype)[0]
@@ -58,7 +69,8 @@ class Blob:
         return int(offset), int(length)
 
     def close(self) -> None:
-        self.file.close()
+        if self.file:
+            self.file.close()
 
 
 def record(*fields: tuple) -> np.dtype:

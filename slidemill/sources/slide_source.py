@@ -3,7 +3,9 @@
 ``spark.read.format("slide").option("relation", ...).load(path)`` reads a file, a folder (all supported
 files below it) or a glob. Neighbouring small files share a partition, large ones have their own; only
 indexes are read, never pixels. Filters on path, level and relation are applied in the source. Options: ``relation`` (slides, levels, tiles, images, files,
-errors, or ``all`` for the rows of each by one parse of a file), ``mode`` (``failfast``, or ``permissive``:
+errors, or ``all`` for the rows of each by one parse of a file, or one of the joined relations: ``pyramid``, a row for
+each run of a level's tiles, from slot ``first`` on, with what level and slide declare, and one for a level without tiles;
+``pictures``, images with the file of each strip; ``states``, a row for each file, readable or not), ``mode`` (``failfast``, or ``permissive``:
 files that can't be read are left to ``errors``), ``level`` (of levels and tiles that one alone, in ``all`` too),
 and ``paths``, a JSON list of files in the path's stead.
 """
@@ -14,6 +16,7 @@ import fnmatch
 import json
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +37,30 @@ SCHEMAS = {
 }
 #: Relation ``all``: the rows of every relation, by its name, over the columns of all; equal names are of one type.
 COLUMNS = dict(c.split(" ", 1) for v in SCHEMAS.values() for c in re.split(r", (?=\w+ \w+)(?![^<]*>)", v))
+PLAIN = tuple(SCHEMAS)
 SCHEMAS["all"] = "relation string, " + ", ".join(f"{c} {t}" for c, t in COLUMNS.items())
 ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary(), "array<struct<offset: long, length: long>>": pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())]))}
 
 
+#: Relations joined from what one parse of a slide gives, so that no shuffle has to; ``offset`` counts from the start
+#: of the tile's file, which ``file`` gives the place of in ``files``. Numbers of tiles are lists, far less work than rows.
+SCHEMAS |= {
+    "pyramid": "path string, slide_w long, slide_h long, tile_w long, tile_h long, mpp double, app_mag double, quality int, compression string, levels int, level int, level_w long, level_h long, downsample double, cols long, rows long, pitch_w long, pitch_h long, prefix binary, suffix binary, files array<string>, first long, " + ", ".join(f"{c} array<long>" for c in ("file", "offset", "length", "x", "y", "w", "h", "src_x", "src_y")),
+    "pictures": "path string, ord int, kind string, width long, height long, strips array<struct<file: string, offset: long, length: long>>, tables binary",
+    "states": "path string, format string, message string",
+}
+ARROW |= {"array<string>": pa.list_(pa.string()), "array<long>": pa.list_(pa.int64())}
+ARROW["array<struct<file: string, offset: long, length: long>>"] = pa.list_(pa.struct([("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]))
+
+
+@cache
+def types_of(relation: str) -> dict[str, str]:
+    """Columns of a relation, and their types."""
+    return dict(c.split(" ", 1) for c in re.split(r", (?=\w+ \w+)(?![^<]*>)", SCHEMAS[relation]))
+
+
 def columns_of(relation: str) -> list[str]:
-    return [c.split(" ", 1)[0] for c in re.split(r", (?=\w+ \w+)(?![^<]*>)", SCHEMAS[relation])]
+    return list(types_of(relation))
 
 
 #: A partition's files: so many bytes and files at most, but no more than makes this many partitions of them all.
@@ -111,7 +132,56 @@ def rows_of(slide: Slide, relation: str, level: int | None = None):
         for i, m in enumerate(slide.images):
             yield slide.path, i, m.kind, m.width, m.height, [{"offset": int(o), "length": int(n)} for o, n in m.strips], m.tables
     elif relation == "files":
-        yield from ((slide.path, *f) for f in slide.files or [(slide.path, 0, None)])
+        yield from ((slide.path, *f) for f in files_of(slide))
+    elif relation == "pyramid":
+        for i, v in enumerate(slide.levels):
+            if level is None or i == level:
+                yield from ((slide, i, v, a, min(a + BATCH_ROWS, len(v.offset))) for a in range(0, len(v.offset) or 1, BATCH_ROWS))
+    elif relation == "pictures":
+        names = [f for f, *_ in files_of(slide)]
+        for i, m in enumerate(slide.images):
+            of, at = placed_in(slide, np.array([o for o, _ in m.strips], np.int64))
+            yield slide.path, i, m.kind, m.width, m.height, [{"file": names[k], "offset": o, "length": int(n)} for k, o, (_, n) in zip(of.tolist(), at.tolist(), m.strips, strict=True)], m.tables
+    elif relation == "states":
+        yield slide.path, READERS[extension_of(slide.path)], None
+
+
+def files_of(slide: Slide) -> list[tuple]:
+    return slide.files or [(slide.path, 0, None)]
+
+
+def placed_in(slide: Slide, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of a slide's files each offset lies in (the last that begins at or before), and where there."""
+    base = np.array([b for _, b, _ in files_of(slide)], np.int64)
+    if len(base) == 1:
+        return np.zeros(len(offset), np.int64), offset - base[0]
+    by = np.argsort(base, kind="stable")
+    of = by[np.maximum(np.searchsorted(base[by], offset, "right") - 1, 0)]
+    return of, offset - base[of]
+
+
+def lists(parts: list, held: np.ndarray | None = None) -> pa.ListArray:
+    """A list of each part; null where not ``held``."""
+    end = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+    at = pa.array(end, pa.int32(), mask=None if held is None else ~np.append(held, True))
+    return pa.ListArray.from_arrays(at, pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
+
+
+def pyramid_batch(runs: list) -> pa.RecordBatch:
+    """Runs (slide, level's number, level, first and end of the slots), joined; the numbers of a run's tiles are lists."""
+    declared, file, offset, length, place, none = [], [], [], [], [], np.zeros((0, 6), np.int64)
+    for s, i, v, a, b in runs:
+        declared.append((s.path, s.width, s.height, s.tile_w, s.tile_h, s.mpp, s.app_mag, s.quality, s.compression, len(s.levels), i, v.width, v.height, v.downsample, v.cols, v.rows, *v.pitch, v.prefix, v.suffix, [f for f, *_ in files_of(s)], a))
+        of, at = placed_in(s, v.offset[a:b])
+        file.append(of)
+        offset.append(at)
+        length.append(v.length[a:b])
+        place.append(none if v.place is None else v.place[a:b])
+    types = types_of("pyramid")
+    placed = np.array([v.place is not None for _, _, v, _, _ in runs])
+    columns = [pa.array(c, ARROW[t]) for c, t in zip(zip(*declared, strict=True), types.values(), strict=False)]
+    columns += [*map(lists, (file, offset, length)), *(lists([x[:, k] for x in place], placed) for k in range(6))]
+    return pa.RecordBatch.from_arrays(columns, names=list(types))
 
 
 def tile_batch(runs: list) -> pa.RecordBatch:
@@ -129,8 +199,10 @@ def batch_of(relation: str, rows: list) -> pa.RecordBatch:
     """Rows, or runs of tiles, as a batch."""
     if relation == "tiles":
         return tile_batch(rows)
-    names = columns_of(relation)
-    return pa.RecordBatch.from_arrays([pa.array(c, ARROW[COLUMNS[n]]) for n, c in zip(names, zip(*rows, strict=True), strict=True)], names=names)
+    if relation == "pyramid":
+        return pyramid_batch(rows)
+    types = types_of(relation)
+    return pa.RecordBatch.from_arrays([pa.array(c, ARROW[t]) for t, c in zip(types.values(), zip(*rows, strict=True), strict=True)], names=list(types))
 
 
 def wide(relation: str, batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -150,16 +222,16 @@ class SlideReader(DataSourceReader):
     def __init__(self, options: dict, relation: str):
         self.path, self.relation = options.get("path"), relation
         self.paths = json.loads(options["paths"]) if "paths" in options else None
-        self.permissive = options.get("mode", "failfast").lower() == "permissive" or relation in ("errors", "all")
+        self.permissive = options.get("mode", "failfast").lower() == "permissive" or relation in ("errors", "states", "all")
         if not self.path and self.paths is None:
             raise ValueError("a path is needed")
         self.level = int(options["level"]) if "level" in options else None
         self.only: str | None = None
-        self.relations: tuple[str, ...] = tuple(r for r in SCHEMAS if r != "all")
+        self.relations: tuple[str, ...] = PLAIN
 
     def pushFilters(self, filters: list[Filter]):
         for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("level",) and self.relation in ("levels", "tiles") and self.level in (None, f.value):
+            if isinstance(f, EqualTo) and f.attribute == ("level",) and self.relation in ("levels", "tiles", "pyramid") and self.level in (None, f.value):
                 self.level = f.value
             elif isinstance(f, EqualTo) and f.attribute == ("path",) and self.only in (None, f.value):
                 self.only = f.value
@@ -179,7 +251,7 @@ class SlideReader(DataSourceReader):
         for path in partition.paths:
             for relation, row in self.read_file(path):
                 held.setdefault(relation, []).append(row)
-                many += row[-1] - row[-2] if relation == "tiles" else 1
+                many += max(row[-1] - row[-2], 1) if relation in ("tiles", "pyramid") else 1
                 if many >= BATCH_ROWS:
                     yield from self.batches(held)
                     held, many = {}, 0
@@ -200,6 +272,8 @@ class SlideReader(DataSourceReader):
                 raise SlideError(f"{path}: {e}") from e
             if "errors" in wanted:
                 yield "errors", (path, str(e))
+            if "states" in wanted:
+                yield "states", (path, None, str(e))
             return
         for relation in wanted:
             for row in rows_of(slide, relation, self.level):

@@ -7,6 +7,7 @@ from slidemill.functions import codec
 from slidemill.operators import compose
 from slidemill.plans import container_queries, metadata_queries, pixel_queries, tile_queries
 from slidemill.sources import samples, slide_source
+from slidemill.sources.formats import model
 from slidemill.sources.formats.model import SlideError
 
 SF = "/root/testdata/sf0.001"
@@ -153,3 +154,36 @@ def test_all_formats_share_a_batch(tmp_path, relation):
     paths = [samples.numbered(f, 1, f"{tmp_path}/{f}") for f in container_queries.FORMATS]
     (batch,) = slide_source.SlideReader({"path": str(tmp_path)}, relation).read(slide_source.SlidePartition(paths))
     assert set(batch.column(0).to_pylist()) == set(paths)
+
+
+def test_images_need_no_shuffle(spark):
+    plan = plan_of(container_queries.container_images(spark, SF))
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_a_picture_names_the_file_of_each_strip(tmp_path):
+    paths = [samples.numbered(f, 1, f"{tmp_path}/{f}") for f in ("mrxs", "tiff")]
+    read = lambda r: [x for b in slide_source.SlideReader({"path": str(tmp_path)}, r).read(slide_source.SlidePartition(paths)) for x in b.to_pylist()]
+    pictures = read("pictures")
+    assert {s["file"].rpartition("/")[2] for m in pictures for s in m["strips"]} == {"Data0000.dat", "s1.tif"}
+    assert [{**m, "strips": [{k: v for k, v in s.items() if k != "file"} for s in m["strips"]]} for m in pictures] == read("images")
+
+
+def test_small_files_are_read_at_once_and_in_bounds(tmp_path):
+    small, large = tmp_path / "small", tmp_path / "large"
+    small.write_bytes(bytes(range(100)))
+    large.write_bytes(bytes(model.WHOLE + 1))
+    for path, size in ((small, 100), (large, model.WHOLE + 1)):
+        blob = model.Blob(str(path))
+        assert (blob.file is None) == (path == small) and blob.size == size and len(blob.read(size - 3, 3)) == 3
+        with pytest.raises(SlideError):
+            blob.read(size - 3, 4)
+        blob.close()
+    with pytest.raises(OSError):
+        model.Blob(str(tmp_path / "none"))
+
+
+def test_tasks_write_into_folders_of_their_own(spark):
+    folder = container_queries.written(spark, spark.range(40).repartition(4), ("csp",), spread=True)
+    files = slide_source.list_files(folder.removeprefix("file:"))
+    assert len(files) == 40 and len({f.split("/")[-3] for f in files}) > 1
