@@ -187,3 +187,11 @@ def test_tasks_write_into_folders_of_their_own(spark):
     folder = container_queries.written(spark, spark.range(40).repartition(4), ("csp",), spread=True)
     files = slide_source.list_files(folder.removeprefix("file:"))
     assert len(files) == 40 and len({f.split("/")[-3] for f in files}) > 1
+
+
+def test_errors_need_no_shuffle_and_have_every_file(spark, tmp_path):
+    assert "Exchange" not in plan_of(container_queries.container_errors(spark, SF))
+    paths = [samples.numbered("tiff", k, str(tmp_path)) for k in range(3)]
+    samples.cut_short(paths[1])
+    rows = [r for b in slide_source.SlideReader({"path": str(tmp_path)}, "states").read(slide_source.SlidePartition(paths)) for r in b.to_pylist()]
+    assert [(r["path"], r["format"], bool(r["message"])) for r in rows] == [(paths[0], "tiff", False), (paths[1], None, True), (paths[2], "tiff", False)]
