@@ -195,3 +195,9 @@ def test_errors_need_no_shuffle_and_have_every_file(spark, tmp_path):
     samples.cut_short(paths[1])
     rows = [r for b in slide_source.SlideReader({"path": str(tmp_path)}, "states").read(slide_source.SlidePartition(paths)) for r in b.to_pylist()]
     assert [(r["path"], r["format"], bool(r["message"])) for r in rows] == [(paths[0], "tiff", False), (paths[1], None, True), (paths[2], "tiff", False)]
+
+
+@pytest.mark.parametrize("form", ["bkio"])
+def test_tiles_need_no_shuffle(spark, form):
+    plan = plan_of(container_queries.tiles_read(spark, SF, form))
+    assert "Exchange" not in plan and "Join" not in plan
