@@ -35,7 +35,7 @@ MAGIC, BITS, BLOCK = b"SMDAC001", 8, 512
 FILE_IDS = 16_000_000
 END_ID = 1
 #: Texts that are tokenised together.
-TOGETHER = 512
+TOGETHER = 4096
 
 
 def encode_levels(ids: np.ndarray) -> bytes:
@@ -143,13 +143,14 @@ def _write(folder: str, tokenizer: str, end_id: int, file_ids: int):
         for batch in batches:
             for at in range(0, batch.num_rows, TOGETHER):
                 piece = batch.slice(at, TOGETHER)
-                found = byte_level(tokenizer).encode_batch([t or "" for t in piece.column(1).to_pylist()])
-                for i, x in zip(piece.column(0).to_pylist(), found, strict=True):
-                    if ids and held + len(x) + 1 > file_ids:
+                found, cut = byte_level(tokenizer).encode_ended(piece.column(1), end_id)
+                cut = cut.tolist()
+                for i, a, b in zip(piece.column(0).to_pylist(), cut[:-1], cut[1:], strict=True):
+                    if ids and held + b - a > file_ids:
                         yield flush()
                     ids.append(i)
-                    docs.append(np.append(x, np.uint16(end_id)))
-                    held += len(x) + 1
+                    docs.append(found[a:b])
+                    held += b - a
         if ids:
             yield flush()
 

@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -43,6 +44,22 @@ def test_cache_starts_anew(monkeypatch):
     check_all(["one two three four five six", "seven eight nine ten eleven twelve thirteen", "one two"])
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([*"'stremvldSJ9  \n\t.×ÉßÞ\u030c日\u2028", "'ll", "'re", "don't", "<|endoftext|>", "\x1c"]), max_size=30).map("".join), max_size=6))
+def test_columns_equal_the_libraries_whatever_the_slices(texts):
+    before, K.SLICE = K.SLICE, 12
+    try:
+        for path in (WORD, BYTE):
+            k = K.byte_level(path)
+            ids, counts = k.encode_column(pa.array(["x", *texts, None])[1:])
+            want = [e.ids for e in k.library.encode_batch([*texts, ""], add_special_tokens=False)]
+            assert counts.tolist() == list(map(len, want)) and ids.tolist() == [i for x in want for i in x]
+            ended, at = k.encode_ended(pa.array(texts, pa.string()), 7)
+            assert [ended[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [[*x, 7] for x in want[:-1]]
+    finally:
+        K.SLICE = before
+
+
 def slow_merge(word, rules):
     word = list(word)
     while True:
