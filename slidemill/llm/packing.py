@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from slidemill.llm.tokens import byte_level, public_path
 from slidemill.session import materialise, ship_package
 
-CAPACITY, END_ID, TOGETHER = 1024, 2, 512
+CAPACITY, END_ID, TOGETHER = 1024, 2, 4096
 
 
 def _two_smallest(counts: np.ndarray, skip: int, n: int) -> list[int]:
@@ -163,8 +163,10 @@ def _pieces(tokenizer: str, end_id: int, capacity: int, with_ids: bool):
             for at in range(0, batch.num_rows, TOGETHER):
                 part = batch.slice(at, TOGETHER)
                 rows, crcs, ids = [], [], []
-                for i, x in zip(part.column(0).to_pylist(), byte_level(tokenizer).encode_batch([t or "" for t in part.column(1).to_pylist()]), strict=True):
-                    whole = np.append(x, np.uint16(end_id)).astype("<u4")
+                found, at_ids = byte_level(tokenizer).encode_ended(part.column(1), end_id)
+                at_ids = at_ids.tolist()
+                for i, a, b in zip(part.column(0).to_pylist(), at_ids[:-1], at_ids[1:], strict=True):
+                    whole = found[a:b].astype("<u4")
                     for number, (start, length) in enumerate(cut(len(whole), capacity)):
                         rows.append((i, number, start, length, int(seen[length])))
                         seen[length] += 1

@@ -60,6 +60,18 @@ def test_columns_equal_the_libraries_whatever_the_slices(texts):
         K.SLICE = before
 
 
+def test_no_word_becomes_an_object(monkeypatch):
+    """Token files and packing cut and merge the words of a column as bytes, the distinct parts all at once."""
+    monkeypatch.setattr(K.ByteLevel, "encode_batch", None)
+    calls = []
+    monkeypatch.setattr(K, "merge_words", lambda *a: calls.append(len(a[1])) or merge_words(*a))
+    texts = [" ".join(f"w{i * j % 97}" for j in range(50)) for i in range(1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    monkeypatch.setattr(P.TaskContext, "get", lambda: type("T", (), {"partitionId": lambda self: 0})())
+    (out,) = P._pieces(BYTE, 2, 1024, False)([batch])
+    assert out.num_rows >= 1000 and len(calls) == 1 and calls[0] < 120
+
+
 def slow_merge(word, rules):
     word = list(word)
     while True:
