@@ -6,6 +6,7 @@ SQL knows what each decoded byte range has to show.
 
 from __future__ import annotations
 
+from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -27,6 +28,11 @@ FORMATS = ("tiff", "dmetrix", "sdpc", "kfb", "csp", "bkio", "ndpi", "mrxs")
 KEY = r"s(\d+)\.[a-zA-Z]+$"
 
 
+def writers(partitions: int, cores: int) -> int:
+    """Tasks that write containers: some for each core, since the start of one costs as much as a hundred containers."""
+    return min(partitions, max(32, 4 * cores))
+
+
 def written(spark, keys, formats=FORMATS, cut: bool = False, spread: bool = False) -> str:
     """The folder in which each key's containers stand; with ``cut`` those of every fourth key end early.
 
@@ -48,7 +54,7 @@ def written(spark, keys, formats=FORMATS, cut: bool = False, spread: bool = Fals
                         samples.cut_short(path)
             yield batch
 
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a key is one task's alone
+    tasks = writers(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)  # a key is one task's alone
     keys.select(F.col(keys.columns[0]).cast("long").alias("k")).repartition(tasks, "k").mapInArrow(run, "k long").write.format("noop").mode("overwrite").save()
     return folder
 
@@ -103,6 +109,19 @@ def _tiles_of(batch) -> dict:
     return out | {c: get(c).take(pa.array(of)) for c in SEEN if c in batch.schema.names and c not in out}
 
 
+@lru_cache(codec.MEMO_SIZE)
+def _small_span(data: bytes, x: int, y: int, w: int | None, h: int | None) -> tuple[int, int]:
+    image = codec.decode_jpeg(data)
+    if w is not None:
+        image = image[y : y + h, x : x + w]
+    return int(image.min()), int(image.max())
+
+
+def span(data: bytes, x: int = 0, y: int = 0, w: int | None = None, h: int | None = None) -> tuple[int, int]:
+    """(least, greatest) value of a part of a JPEG; of equal small ones it is taken once a worker, as they are decoded once."""
+    return (_small_span if len(data) <= codec.MEMO_BYTES else _small_span.__wrapped__)(data, x, y, w, h)
+
+
 def _shown(batch, opened):
     """(least, greatest) value of each tile's part that shows, in the order of ``_tiles_of``."""
     get = lambda c: batch.column(batch.schema.get_field_index(c))
@@ -117,10 +136,7 @@ def _shown(batch, opened):
             if size <= 0:
                 yield None, None
                 continue
-            image = codec.decode_jpeg(prefix + opened.read_of(names[first + f], at, size) + suffix)
-            if placed:
-                image = image[y : y + h, x : x + w]
-            yield int(image.min()), int(image.max())
+            yield span(prefix + opened.read_of(names[first + f], at, size) + suffix, x, y, w, h)
 
 
 def _seen(batches):

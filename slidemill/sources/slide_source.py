@@ -64,7 +64,7 @@ def columns_of(relation: str) -> list[str]:
 
 
 #: A partition's files: so many bytes and files at most, but no more than makes this many partitions of them all.
-GROUP_BYTES, GROUP_FILES, LEAST_GROUPS = 256 << 20, 1024, 64
+GROUP_BYTES, GROUP_FILES, LEAST_GROUPS = 256 << 20, 2048, 32
 #: Rows of many slides make one batch from so many on; the tiles of a level go in runs of so many at most.
 BATCH_ROWS, RUN = 10_000, 100_000
 

@@ -1,6 +1,7 @@
 """What keeps queries within their limits on larger tables."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from slidemill.functions import codec
@@ -201,3 +202,30 @@ def test_errors_need_no_shuffle_and_have_every_file(spark, tmp_path):
 def test_tiles_need_no_shuffle(spark, form):
     plan = plan_of(container_queries.tiles_read(spark, SF, form))
     assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_writing_tasks_follow_the_cores(spark, monkeypatch):
+    assert [container_queries.writers(*x) for x in ((200, 6), (8, 8), (10_000, 100), (211, 6))] == [32, 8, 400, 32]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        folder = container_queries.written(spark, spark.range(400), ("csp",), spread=True)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    files = slide_source.list_files(folder.removeprefix("file:"))
+    assert len(files) == 400 and 1 < len({f.split("/")[-3] for f in files}) <= 32
+
+
+@pytest.mark.parametrize("form", ["bkio", "csp", "dmetrix", "sdpc"])
+def test_equal_tiles_are_looked_at_once(tmp_path, monkeypatch, form):
+    paths = [samples.numbered(form, k, str(tmp_path)) for k in range(0, 6000, 600)]  # same shape and greys
+    container_queries._small_span.cache_clear()
+    decode, seen = codec.decode_jpeg, []
+    batches = [b.append_column("s_suppkey", pa.array(range(b.num_rows), pa.int64())) for b in slide_source.SlideReader({"path": str(tmp_path)}, "pyramid").read(slide_source.SlidePartition(paths))]
+    monkeypatch.setattr(codec, "decode_jpeg", lambda d: seen.append(d) or decode(d))
+    (out,) = container_queries._seen(batches)
+    assert len(seen) == len(set(seen)) <= out.num_rows / 10
+    assert out.column(out.schema.names.index("least")).to_pylist()[: out.num_rows // 10] == out.column(out.schema.names.index("most")).to_pylist()[-(out.num_rows // 10) :]
+    image = samples.picture(40, 30)
+    data, whole = codec.encode_jpeg(image, 90), decode(codec.encode_jpeg(image, 90))
+    assert container_queries.span(data, 3, 4, 20, 10) == (whole[4:14, 3:23].min(), whole[4:14, 3:23].max())
