@@ -8,8 +8,9 @@ from slidemill.functions import codec
 from slidemill.operators import compose
 from slidemill.plans import container_queries, metadata_queries, pixel_queries, tile_queries
 from slidemill.sources import samples, slide_source
-from slidemill.sources.formats import model
+from slidemill.sources.formats import model, tiff
 from slidemill.sources.formats.model import SlideError
+from slidemill.sources.formats.open import open_slide
 
 SF = "/root/testdata/sf0.001"
 
@@ -229,3 +230,12 @@ def test_equal_tiles_are_looked_at_once(tmp_path, monkeypatch, form):
     image = samples.picture(40, 30)
     data, whole = codec.encode_jpeg(image, 90), decode(codec.encode_jpeg(image, 90))
     assert container_queries.span(data, 3, 4, 20, 10) == (whole[4:14, 3:23].min(), whole[4:14, 3:23].max())
+
+
+@pytest.mark.parametrize("form", ["ndpi", "tiff"])
+def test_a_directory_reads_its_numbers_once(tmp_path, monkeypatch, form):
+    read, seen = tiff.Directory.payload, []
+    monkeypatch.setattr(tiff.Directory, "payload", lambda d, tag: seen.append((id(d), tag)) or read(d, tag))
+    open_slide(samples.numbered(form, 4, str(tmp_path)))
+    numbers = [s for s in seen if s[1] not in (tiff.DESCRIPTION, tiff.TABLES, tiff.LENS)]
+    assert len(numbers) == len(set(numbers))
